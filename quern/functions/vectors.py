@@ -11,11 +11,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_normalize(v: Column) -> Column:
     """``v`` divided by its length, as float; a zero vector stays zero."""
-    norm = F.sqrt(dot(v, v))
-    norm = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(v, lambda x: (x.cast("double") / norm).cast("float"))
+    scaled = lambda d: bound(F.sqrt(dot(d, d)), lambda n: F.transform(d, lambda x: (x.cast("double") / F.when(n == 0, 1.0).otherwise(n)).cast("float")))
+    return bound(v, scaled)
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -11,6 +11,7 @@ from quern.functions.vectors import hash_embedding
 from quern.operators import signals as S
 from quern.operators.fusion import fused_score, top_by, with_rank_terms
 from quern.plans.lineage import cut_lineage
+from quern.plans.skew import spread
 
 
 def prepare_items(items: DataFrame, embed=hash_embedding) -> DataFrame:
@@ -26,7 +27,8 @@ def prepare_queries(queries: DataFrame, embed=hash_embedding) -> DataFrame:
     base = queries.where("query_id IS NOT NULL").distinct()
     base = base.withColumns({"q_params": S.distinct_tokens(F.col("search_infm_params_text")), "q_text": S.distinct_tokens(F.col("search_query"))})
     vectors = embed(base.groupBy("query_id").agg(F.min("q_text").alias("q_text")), "query_id", "q_text", name="q_embedding")
-    return base.join(vectors, "query_id", "left").drop("search_query", "search_infm_params_text")
+    joined = base.join(vectors, "query_id", "left").drop("search_query", "search_infm_params_text")
+    return joined.withColumn("q_sparse", S.nonzero(F.col("q_embedding")))
 
 
 def query_categories(queries: DataFrame, items: DataFrame, unspecified: int = 0) -> DataFrame:
@@ -45,9 +47,12 @@ def category_pairs(queries: DataFrame, items: DataFrame, config: GeneratorConfig
     n = config.pair_chunks
     q = query_categories(queries, items, config.unspecified_category_value).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     i = items.withColumn("chunk", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))
-    confined = q.where("filter_category IS NOT NULL").join(i, (q["filter_category"] == i["item_category_id"]) & (q["chunk"] == i["chunk"])).drop("chunk")
-    open_to_all = q.where("filter_category IS NULL").join(i, "chunk").drop("chunk")
-    return confined.unionByName(open_to_all)
+    i = i.withColumns({"in_category": F.xxhash64("item_category_id", "chunk"), "in_chunk": F.xxhash64("chunk")})
+    confined = q.where("filter_category IS NOT NULL").withColumn("in_category", F.xxhash64("filter_category", "chunk")).drop("chunk")
+    confined = spread(confined, "in_category").join(spread(i.drop("chunk", "in_chunk"), "in_category"), "in_category")
+    confined = confined.where(F.col("filter_category") == F.col("item_category_id")).drop("in_category")
+    free = q.where("filter_category IS NULL").withColumn("in_chunk", F.xxhash64("chunk")).drop("chunk")
+    return confined.unionByName(spread(free, "in_chunk").join(spread(i.drop("chunk", "in_category"), "in_chunk"), "in_chunk").drop("in_chunk"))
 
 
 def score_pairs(queries: DataFrame, items: DataFrame, config: GeneratorConfig = GeneratorConfig(), text_score: Column | None = None, semantic: DataFrame | None = None) -> DataFrame:
@@ -72,7 +77,7 @@ def score_pairs(queries: DataFrame, items: DataFrame, config: GeneratorConfig =
         "item_id",
         params.alias("params_coverage_score"),
         (S.coverage(F.col("q_text"), F.col("text_tokens")) if text_score is None else text_score.cast("float")).alias("text_coverage_score"),
-        S.dense_similarity(F.col("q_embedding"), F.col("embedding")).alias("text_similarity_score"),
+        S.sparse_similarity(F.col("q_sparse"), F.col("embedding")).alias("text_similarity_score"),
         S.location_match(*place, decay_km=config.location_decay_km).alias("location_match_score"),
         S.location_distance_km(*place).cast("float").alias("location_distance_km"),
         F.coalesce(F.element_at("microcat_scores", F.coalesce("item_microcat_id", F.lit(-1).cast("long"))), F.lit(0.0).cast("float")).alias("microcat_match_score"),

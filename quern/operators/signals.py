@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.geo import haversine_km
 from quern.functions.text import Tokenizer, full_text, tokens
 from quern.functions.vectors import dot, mean_vectors
+from quern.plans.skew import spread
 
 
 def distinct_tokens(text: Column, tokenizer: Tokenizer = tokens) -> Column:
@@ -44,9 +45,9 @@ def semantic_matches(vocabulary: DataFrame, items: DataFrame, item_id: str, thre
 
     The vocabulary (token, embedding) meets the items (item_id, embedding) block by block; null vectors match nothing.
     """
-    v = vocabulary.select("token", F.col("embedding").alias("tv"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    v = vocabulary.select("token", nonzero(F.col("embedding")).alias("tv"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     i = items.select(item_id, F.col("embedding").alias("iv"), F.pmod(F.xxhash64(item_id), F.lit(chunks)).cast("int").alias("chunk"))
-    return v.join(i, "chunk").where(dot(F.col("tv"), F.col("iv")).cast("float") >= F.lit(threshold).cast("float")).select("token", item_id)
+    return spread(v, "chunk").join(spread(i, "chunk"), "chunk").where(F.aggregate("tv", F.lit(0.0), lambda s, e: s + e["v"] * F.get(F.col("iv"), e["i"]).cast("double")).cast("float") >= F.lit(threshold).cast("float")).select("token", item_id)
 
 
 def semantic_coverage(query_tokens: Column, item_tokens: Column, item_semantic: Column) -> Column:
@@ -82,6 +83,16 @@ def dense_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b), F.lit(0.0)).cast("float")
 
 
+def nonzero(v: Column) -> Column:
+    """The places and values of a vector that aren't 0."""
+    return F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("v"))), lambda e: e["v"] != 0)
+
+
+def sparse_similarity(a: Column, b: Column) -> Column:
+    """``dense_similarity`` for a left side given by ``nonzero``: the same sum in the same order, without its zero terms."""
+    return F.coalesce(F.aggregate(a, F.lit(0.0), lambda s, e: s + e["v"] * F.get(b, e["i"]).cast("double")), F.lit(0.0)).cast("float")
+
+
 def microcat_centroids(items: DataFrame, microcat: str = "item_microcat_id", vector: str = "embedding") -> DataFrame:
     """``microcat, centroid, n`` over the whole corpus; a null microcategory is one of its own."""
     return mean_vectors(items, microcat, vector)
@@ -91,7 +102,7 @@ def microcat_scores(queries: DataFrame, centroids: DataFrame, query_id: str, mic
     """``query_id, microcat, score`` of each query against each centroid: scored once per microcategory, then looked up."""
     c = centroids.select(microcat, "centroid", F.pmod(F.xxhash64(microcat), F.lit(8)).cast("int").alias("chunk"))
     q = queries.select(query_id, F.col("embedding").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("chunk"))
-    return q.join(c, "chunk").select(query_id, microcat, dense_similarity(F.col("qv"), F.col("centroid")).alias("score"))
+    return spread(q, "chunk").join(spread(c, "chunk"), "chunk").select(query_id, microcat, dense_similarity(F.col("qv"), F.col("centroid")).alias("score"))
 
 
 def item_text_tokens(tokenizer: Tokenizer = tokens) -> Column:

@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.001
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in a fixed number of partitions by ``keys``, for joins that yield far more than they read: adaptive
+    coalescing would go by the small input and leave the work to a few tasks."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def join_weighted(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (one row per ``key``, ``weight`` = its number of rows in ``rows``).
 

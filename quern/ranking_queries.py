@@ -20,6 +20,7 @@ from quern.operators import submission as U
 from quern.operators.features import FEATURE_COLUMNS, feature_table, features_by_priority, item_content_features
 from quern.operators.fusion import average_rank, fused_score, top_by, with_rank_terms
 from quern.plans.lineage import cut_lineage
+from quern.plans.skew import spread
 from quern.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,7 +92,7 @@ def _vector_pairs(spark: SparkSession, d: str, chunks: int = 16) -> DataFrame:
     e = T.table(spark, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_vec"), F.col("embedding").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     i = e.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
-    return q.join(i, "chunk").where("query_vec <> vec_id").select("query_vec", "vec_id", S.dense_similarity(F.col("qv"), F.col("embedding")).alias("similarity"))
+    return spread(q, "chunk").join(spread(i, "chunk"), "chunk").where("query_vec <> vec_id").select("query_vec", "vec_id", S.dense_similarity(F.col("qv"), F.col("embedding")).alias("similarity"))
 
 
 def dense_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -99,8 +100,7 @@ def dense_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def location_centroids(spark: SparkSession, d: str) -> DataFrame:
-    c = S.location_centroids(_items(spark, d).where("item_id IS NOT NULL").distinct())
-    return c.select("location_id", F.round("centroid_lat", 6).alias("centroid_lat"), F.round("centroid_lon", 6).alias("centroid_lon"))
+    return S.location_centroids(_items(spark, d).where("item_id IS NOT NULL").distinct())
 
 
 def location_signal(spark: SparkSession, d: str) -> DataFrame:

@@ -274,7 +274,7 @@ FROM best b LEFT JOIN fe USING (item_id) LEFT JOIN va USING (query_id) LEFT JOIN
         "semantic_match_matrix": f"WITH {_SEMANTIC} SELECT token, count(*) AS n_items FROM sm GROUP BY 1",
         "params_coverage_semantic": _sparse("search_infm_params_text", "item_infm_params_text", True),
         "dense_similarity_topk": f"SELECT *, row_number() OVER (PARTITION BY query_vec ORDER BY similarity DESC, vec_id) AS position FROM ({_VECTORS}) QUALIFY position <= 10",
-        "location_centroids": f"SELECT location_id, round(clat, 6) AS centroid_lat, round(clon, 6) AS centroid_lon FROM ({_CENTROIDS.format(f'({_ITEMS})')})",
+        "location_centroids": f"SELECT location_id, clat AS centroid_lat, clon AS centroid_lon FROM ({_CENTROIDS.format(f'({_ITEMS})')})",
         "location_signal": f"""SELECT interaction_id, round((CASE WHEN search_location_id = item_location_id THEN 1.0::DOUBLE ELSE coalesce(exp(-{km} / 5.0), 0.0::DOUBLE) END)::FLOAT::DOUBLE, 5) AS score,
   round(CASE WHEN search_location_id = item_location_id THEN 0.0::DOUBLE ELSE {km} END, 4) AS distance_km
 FROM (SELECT DISTINCT interaction_id, search_location_id, item_location_id, item_latitude::DOUBLE AS la, item_longitude::DOUBLE AS lo FROM train) LEFT JOIN ({_CENTROIDS.format(f'({_ITEMS})')}) ON location_id = search_location_id""",
