@@ -283,6 +283,15 @@ def _possible(kind: str, part: str) -> bool:
     return len(re.findall(r"[^\W\d_]+", low)) >= 2 and figures == 0
 
 
+def _trimmed(text: str, b: int, e: int) -> tuple[int, int]:
+    """A span without the punctuation around it; the dot of initials stays."""
+    while b < e and not (text[b].isalnum() or text[b] in "+("):
+        b += 1
+    while e > b and not text[e - 1].isalnum() and not (text[e - 1] == "." and e - b > 2 and text[e - 2].isalpha() and not text[e - 3].isalpha()):
+        e -= 1
+    return b, e
+
+
 def find_spans(tagger: Tagger, texts: list[str | None], size: int = 64) -> list[list[tuple[int, int, str]]]:
     """(begin, end, kind) spans of every text; nothing for null and empty ones. Texts of like length are decoded together."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
@@ -296,7 +305,7 @@ def find_spans(tagger: Tagger, texts: list[str | None], size: int = 64) -> list[
             for at, y in enumerate(marks):
                 if begin is not None and not (y and LABELS[y][0] == "I"):
                     kind = LABELS[marks[begin]][2:]
-                    b, e = found[k][begin][0], found[k][at - 1][1]
+                    b, e = _trimmed(texts[k], found[k][begin][0], found[k][at - 1][1])
                     if _possible(kind, texts[k][b:e]):
                         out[k].append((b, e, kind))
                     begin = None

@@ -132,7 +132,7 @@ class _Maker:
             f"ул. {s}, д. {n}, кв. {m}", f"улица {s}, дом {n}", f"ул. {s}, {n}", f"{s} ул., {n}", f"ул {s} д {n} кв {m}", f"{s} улица, {n}",
             f"пр-т {self.syllables(2).capitalize()}цев, {n}, офис {m}", f"проспект {s}, {n}", f"пер. {s[:-2]}ый, стр. {n}", f"переулок {s}, дом {n}", f"мкр. {self.syllables(2).capitalize()}{r.choice(('са', 'му', 'ра', 'н'))}, д.{n}, подъезд {r.randint(1, 9)}",
             f"наб. реки {self.syllables(2).capitalize()}, {n}/{r.randint(1, 9)}", f"бульвар {s}, {n}", f"ш. {s}, д. {n}", f"{s} улица {n} квартира {m}", f"{s} улица {n} квартира {m}", f"микрорайон {self.syllables(2).capitalize()}, дом {n}", f"наб. реки {r.choice(WOMEN)}, {n}/{r.randint(1, 9)}",
-            f"{n} {self.latin(s)} Street, apt {m}", f"{n} {self.latin(s)} Street", f"{self.latin(s)} st., {n}", f"ul. {self.latin(s)}, d. {n}, kv. {m}", f"пр-д {s}, д. {n}к{r.randint(1, 4)}", f"пл. {s}, {n}",
+            f"ул {s} {n}к{r.randint(1, 9)}", f"{n} {self.latin(s)} Street, apt {m}", f"{n} {self.latin(s)} Street", f"{self.latin(s)} st., {n}", f"ul. {self.latin(s)}, d. {n}, kv. {m}", f"пр-д {s}, д. {n}к{r.randint(1, 4)}", f"пл. {s}, {n}",
         )
         text = r.choice(forms)
         if "квартира" in text and r.random() < 0.7:
@@ -187,11 +187,11 @@ class _Maker:
         r, s = self.r, self.span(kind)
         w, how = r.choice(WORKS), r.choice(HOW)
         leads = {
-            "phone": (("Телефон для связи: ", ""), ("Тел. ", ""), ("тел:", ""), ("Звоните ", ""), ("Пишите или набирайте ", ""), ("Запись по номеру ", ""), ("номер ", " (не скрыт)"), ("Мессенджер ", ""), ("", " в любое время"), ("", ""), ("", ""), ("Вызов мастера. Запись по номеру ", ""), ("ватсап ", "")),
+            "phone": (("Телефон для связи: ", ""), ("Тел. ", ""), ("тел:", ""), ("Звоните ", ""), ("Пишите или набирайте ", ""), ("Запись по номеру ", ""), ("номер ", " (не скрыт)"), ("Мессенджер ", ""), ("", " в любое время"), ("", ""), ("", ""), ("Вызов мастера. Запись по номеру ", ""), ("ватсап ", ""), ("ватсап/звонок ", ""), ("сот ", " до 21 часа"), ("моб. ", ""), (f"{w} нужно срочно — ", ""), ("сот ", " до 21 часа")),
             "email": (("Почта ", ""), ("e-mail: ", ""), ("Электронный адрес ", ""), ("мыло ", ""), ("Пишите на ", ""), ("Смету отправлю с ", ""), ("Эскизы шлите: ", ""), (f"Вопросы про {w}: ", ""), ("ящик ", f" проверяю {how}"), ("", " — для заявок"), (f"Примеры, где делали {w}, вышлю, запрос на ", ""), ("Договор и чек придут с ", ""), ("", "")),
             "id_number": (("Данные для договора: ", ""), ("Чек выдаю, ", ""), ("Работаю официально, ", ""), ("Для пропуска: ", ""), (f"За {w} плачу налог, ", ""), ("Могу подтвердить личность (", ")"), ("", ", проверить можно при встрече"), ("", ""), ("- ", "")),
-            "address": (("Адрес: ", ""), ("Находимся: ", ""), ("Ждём вас, ", ""), ("Приём по адресу ", ""), ("Мастерская — ", ""), ("Технику везите сюда: ", ""), ("Принимаю дома, ", ""), ("Самовывоз: ", ""), ("офис ", ""), (f"Примеры, где делали {w}: ", ""), ("", ", вход со двора"), ("", "")),
-            "person_name": (("Меня зовут ", f", приеду {how}"), ("Исполнитель ", ", опыт большой"), ("Обращаться: ", ""), ("Спросить ", ""), ("Вас встретит ", ""), ("Договор подписывает ", ""), ("Мастер ", ""), ("Отзыв оставила семья, мастером был(а) ", ""), ("", f" делает {w}"), (f"За {w} отвечает ", ""), ("В бригаде ", ", рекомендуем"), ("Ваш мастер ", ""), ("", ""), ("", f" делает {w} {how}")),
+            "address": (("Адрес: ", ""), ("Находимся: ", ""), ("Ждём вас, ", ""), ("Приём по адресу ", ""), ("Мастерская — ", ""), ("Технику везите сюда: ", ""), ("Принимаю дома, ", ""), ("Самовывоз: ", ""), ("офис ", ""), (f"Примеры, где делали {w}: ", ""), ("", ", вход со двора"), ("", ""), ("Забрать готовое можно по ", ""), (f"Находимся: г. {self.place()}, ", ""), (f"Адрес: г. {self.place()}, ", "")),
+            "person_name": (("Меня зовут ", f", приеду {how}"), ("Исполнитель ", ", опыт большой"), ("Обращаться: ", ""), ("Спросить ", ""), ("Вас встретит ", ""), ("Договор подписывает ", ""), ("Мастер ", ""), ("Отзыв оставила семья, мастером был(а) ", ""), ("", f" делает {w}"), (f"За {w} отвечает ", ""), ("В бригаде ", ", рекомендуем"), ("Ваш мастер ", ""), ("", ""), ("", f" делает {w} {how}"), ("", " на связи"), ("", " на связи"), ("С уважением, ", ""), ("С уважением, ", ""), ("", "")),
         }[kind]
         before, after = r.choice(leads)
         if r.random() < 0.08:
