@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.config import SCORES, GeneratorConfig
-from quern.functions.text import tokens
+from quern.functions.text import Tokenizer, tokens
 from quern.functions.vectors import hash_embedding
 from quern.operators import signals as S
 from quern.operators.fusion import fused_score, top_by, with_rank_terms
@@ -14,18 +14,18 @@ from quern.plans.lineage import cut_lineage
 from quern.plans.skew import spread
 
 
-def prepare_items(items: DataFrame, embed=hash_embedding) -> DataFrame:
+def prepare_items(items: DataFrame, embed=hash_embedding, tokenizer: Tokenizer = tokens) -> DataFrame:
     """Distinct items with an id, their distinct tokens and their embedding."""
     base = items.where("item_id IS NOT NULL").distinct()
-    base = base.withColumns({"params_tokens": S.distinct_tokens(F.col("item_infm_params_text")), "text_tokens": S.item_text_tokens()})
+    base = base.withColumns({"params_tokens": S.distinct_tokens(F.col("item_infm_params_text"), tokenizer), "text_tokens": S.item_text_tokens(tokenizer)})
     vectors = embed(base.groupBy("item_id").agg(F.min("text_tokens").alias("text_tokens")), "item_id", "text_tokens")
     return base.join(vectors, "item_id", "left").drop("item_title_raw", "item_description_raw", "item_infm_params_text")
 
 
-def prepare_queries(queries: DataFrame, embed=hash_embedding) -> DataFrame:
+def prepare_queries(queries: DataFrame, embed=hash_embedding, tokenizer: Tokenizer = tokens) -> DataFrame:
     """Distinct queries with an id, their distinct tokens and their embedding."""
     base = queries.where("query_id IS NOT NULL").distinct()
-    base = base.withColumns({"q_params": S.distinct_tokens(F.col("search_infm_params_text")), "q_text": S.distinct_tokens(F.col("search_query"))})
+    base = base.withColumns({"q_params": S.distinct_tokens(F.col("search_infm_params_text"), tokenizer), "q_text": S.distinct_tokens(F.col("search_query"), tokenizer)})
     vectors = embed(base.groupBy("query_id").agg(F.min("q_text").alias("q_text")), "query_id", "q_text", name="q_embedding")
     joined = base.join(vectors, "query_id", "left").drop("search_query", "search_infm_params_text")
     return joined.withColumn("q_sparse", S.nonzero(F.col("q_embedding")))
@@ -90,8 +90,9 @@ def generate_with_features(queries: DataFrame, items: DataFrame, config: Generat
     Equal fused scores go to the smaller item id. Raw ``benchmark_queries`` and ``benchmark_items`` rows are accepted;
     repeated rows count once, rows without id don't count.
     """
-    i = cut_lineage(prepare_items(items))
-    q = cut_lineage(prepare_queries(queries))
+    tokenizer = lambda c: tokens(c, min_len=config.min_token_len)
+    i = cut_lineage(prepare_items(items, tokenizer=tokenizer))
+    q = cut_lineage(prepare_queries(queries, tokenizer=tokenizer))
     ranked = with_rank_terms(score_pairs(q, i, config, **kwargs), "query_id", list(SCORES))
     fused = ranked.withColumn("rrf_score", fused_score(list(SCORES), config.weights(), config.rrf_k))
     best = top_by(fused, "query_id", "rrf_score", "item_id", config.top_k)
@@ -108,5 +109,3 @@ def packed(candidates: DataFrame, rank: str = "rrf_rank") -> DataFrame:
     lists = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), "item_id"))).alias("x"))
     return lists.select("query_id", F.transform("x", lambda s: s["item_id"]).alias("candidate_item_ids"), F.size("x").cast("long").alias("n_candidates"))
 
-
-__all__ = ["category_pairs", "generate", "generate_with_features", "packed", "prepare_items", "prepare_queries", "query_categories", "score_pairs", "tokens"]

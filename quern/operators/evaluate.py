@@ -43,6 +43,11 @@ def relevant_item_coverage(relevance: DataFrame, corpus: DataFrame) -> DataFrame
     return relevance.distinct().join(have, "item_id", "left").agg(F.avg(F.coalesce("_in", F.lit(0.0))).alias("coverage"))
 
 
+def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that both sides hold; no rows mean that they are disjoint."""
+    return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")
+
+
 def ablation(scored: DataFrame, relevance: DataFrame, config: GeneratorConfig = GeneratorConfig(), ks: tuple[int, ...] = (50, 500), variants: dict = VARIANTS) -> DataFrame:
     """``variant, n_queries, recall_<k>...``: ranks are computed once, all variants are fused from them.
 

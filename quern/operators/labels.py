@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.lineage import cut_lineage
+from quern.plans.numbering import numbered
 from quern.sources.tables import ITEM_COLUMNS, QUERY_GROUP_COLUMNS, first_per_key
 
 
@@ -38,12 +38,7 @@ def relevance_labels(train: DataFrame, order: list[str] = ["interaction_id", "in
 def number_groups(groups: DataFrame) -> DataFrame:
     """Adds ``query_id`` (train_000000, ...) along the sorted group columns, nulls last."""
     keys = [F.col(c).asc_nulls_last() for c in QUERY_GROUP_COLUMNS]
-    placed = cut_lineage(groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    numbered = placed.join(F.broadcast(offsets), "_part").withColumn("_number", F.col("_before") + F.col("_at") - F.col("_first"))
-    return numbered.select(F.format_string("train_%06d", "_number").alias("query_id"), *(c for c in groups.columns))
+    return numbered(groups, *keys, name="_number").select(F.format_string("train_%06d", "_number").alias("query_id"), *groups.columns)
 
 
 def seeded_order(seed: int, column: str):
@@ -73,3 +68,11 @@ def training_queries(labels: DataFrame, validation: DataFrame, items: DataFrame,
     rest = labels.join(validation.select("query_id"), "query_id", "left_anti")
     reached = long_relevance(rest).join(items.select("item_id"), "item_id", "left_semi").select("query_id").distinct()
     return sample_queries(rest.join(reached, "query_id", "left_semi"), n, seed, max_relevant)
+
+
+def permuted_pairs(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
+    """``<id>, other_id``: each id with the one at its place in a seeded shuffle (now and then itself)."""
+    ids = df.select(id_col)
+    one = numbered(ids, F.col(id_col).asc_nulls_last(), name="_place")
+    two = numbered(ids.select(F.col(id_col).alias("other_id")), F.md5(F.concat(F.lit(f"{seed}|"), F.col("other_id").cast("string"))), F.col("other_id"), name="_place")
+    return one.join(two, "_place").drop("_place")

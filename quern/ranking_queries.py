@@ -234,15 +234,22 @@ def ablation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors with their own label's centroid against those with the next label's."""
+    """Vectors with their own label's centroid against those with the centroid of a vector drawn by permutation."""
     e = T.table(spark, d, "embeddings")
-    c = mean_vectors(e, "label", "embedding").select(F.col("label").alias("l"), "centroid")
-    own = e.join(c, e["label"] == c["l"]).select(F.col("embedding").alias("a"), F.col("centroid").alias("b"))
-    other = e.join(c, F.pmod(e["label"] + 1, F.lit(10)) == c["l"]).select(F.col("embedding").alias("a"), F.col("centroid").alias("b"))
-    out = V.threshold_calibration(own, other, thresholds=(*V.THRESHOLDS, 0.1, 0.2, 0.3, 0.4))
+    c = mean_vectors(e, "label", "embedding").select(F.col("label").alias("l"), F.col("centroid").alias("b"))
+    own = e.join(c, e["label"] == c["l"]).select("vec_id", F.col("embedding").alias("a"), "b")
+    drawn = L.permuted_pairs(e, "vec_id", 0).join(own.select(F.col("vec_id").alias("other_id"), "b"), "other_id").join(e.select("vec_id", F.col("embedding").alias("a")), "vec_id")
+    out = V.threshold_calibration(own, drawn, thresholds=(*V.THRESHOLDS, 0.1, 0.2, 0.3, 0.4))
     return out.select("threshold", *(F.round(x, 6).alias(x) for x in ("true_positive_rate", "false_positive_rate", "separation")))
 
 
+def split_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Keys shared by the validation and the training queries: none."""
+    labels = _labels(spark, d)
+    v = cut_lineage(_validation(spark, d, labels))
+    return V.shared_keys(v, L.training_queries(labels, v, _items(spark, d), TRAINING), "query_id").agg(F.count(F.lit(1)).alias("n_shared"))
+
+
 def location_match_rate(spark: SparkSession, d: str) -> DataFrame:
     return X.match_rate(T.load_train_features(spark, d), "search_location_id", "item_location_id").withColumn("match_rate", F.round("match_rate", 9))
 
@@ -402,7 +409,7 @@ def ltr_importance(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES = (
     tokenize_docs, vocab_distinct, text_coverage, params_coverage_exact, semantic_match_matrix, params_coverage_semantic, dense_similarity_topk, location_centroids, location_signal,
     microcat_centroids, microcat_score, avg_rank_ties, rrf_fusion, rrf_weighted, rrf_constant_skip, category_filter_branches, candidates_topk, candidates_with_features, candidates_packed,
-    relevance_labels, sample_queries, eval_corpus, train_split_reachable, recall_per_query, recall_at_k, relevant_item_coverage, ablation, threshold_calibration,
+    relevance_labels, sample_queries, eval_corpus, train_split_reachable, recall_per_query, recall_at_k, relevant_item_coverage, ablation, threshold_calibration, split_overlap,
     location_match_rate, location_match_by_group, category_agreement, location_dispersion, propensity_binary, propensity_numeric, missing_rates, value_counts, nunique_grouped,
     describe_stats, hist_density, encode_correlation, spearman_matrix, item_content, item_features_priority, train_item_lookup, feature_table_query, rerank_topk, rrf_baseline,
     baseline_comparison, build_answer, validate_answer, ltr_train_rerank, ltr_importance,

