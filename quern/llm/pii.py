@@ -27,6 +27,8 @@ from quern.llm.pii_labels import DIGITS, KINDS, LABELS, LATIN, MEN, ROWS, WOMEN,
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 HASHED = 1 << 14
 EPOCHS = 7
+#: Positions, padding included, that are decoded at a time.
+WIDEST = 60_000
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person_name": "[PERSON_NAME]"}
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\n|[^\w\s]|_")
@@ -297,8 +299,11 @@ def find_spans(tagger: Tagger, texts: list[str | None], size: int = 64) -> list[
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     found = {k: f for k, t in enumerate(texts) if t and (f := tokens_of(t))}
     order = sorted(found, key=lambda k: len(found[k]))
-    for i in range(0, len(order), size):
-        part = order[i : i + size]
+    i = 0
+    while i < len(order):
+        # Fewer texts at a time where they are long.
+        part = order[i : i + max(1, min(size, WIDEST // len(found[order[min(i + size, len(order)) - 1]])))]
+        i += len(part)
         for k, labels in zip(part, tagger.decode([found[k] for k in part])):
             begin = None
             marks = [*labels.tolist(), 0]

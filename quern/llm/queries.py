@@ -156,6 +156,24 @@ m AS (
 SELECT DISTINCT query_id, interaction_id FROM m JOIN q ON q.t = m.a JOIN r ON r.t = m.z
 """
 
+_P6_REPORT = f"""
+WITH q AS (
+  SELECT DISTINCT query_id, eval_split, source, array_to_string({_shaped("x")}, ' ') AS t, {_BAG.format(_shaped("x"))} AS b
+  FROM (SELECT query_id, eval_split, source, search_query AS x FROM benchmark_queries UNION ALL SELECT query_id, eval_split, source, search_infm_params_text FROM benchmark_queries)
+  WHERE query_id IS NOT NULL),
+r AS (SELECT t, count(*) AS n, array_to_string(list_sort(string_split(t, ' ')), ' ') AS b FROM (SELECT DISTINCT interaction_id, array_to_string({_shaped("search_query")}, ' ') AS t FROM train WHERE interaction_id IS NOT NULL) WHERE t <> '' GROUP BY t),
+qt AS (SELECT DISTINCT t, b FROM q WHERE t <> ''),
+m AS (
+  SELECT qt.t AS a, r.t AS z, r.n, true AS same FROM qt JOIN r ON qt.b = r.b
+  UNION ALL
+  SELECT qt.t, r.t, r.n, false FROM qt JOIN r ON abs(length(qt.t) - length(r.t)) <= 2 AND qt.b <> r.b AND levenshtein({_ONE_BYTE.format("qt.t")}, {_ONE_BYTE.format("r.t")}) <= 2),
+h AS (SELECT query_id, eval_split, source, z, max(n) AS n, bool_or(same) AS same FROM q JOIN m ON m.a = q.t GROUP BY 1, 2, 3, 4),
+g AS (SELECT query_id, eval_split, source, sum(n) AS n, bool_or(same) AS same FROM h GROUP BY 1, 2, 3),
+e AS (SELECT DISTINCT query_id, eval_split, source FROM benchmark_queries WHERE query_id IS NOT NULL)
+SELECT e.eval_split, e.source, count(*) AS n_queries, count(g.query_id) AS n_overlapping, coalesce(sum(g.same::INT), 0)::BIGINT AS n_exact, coalesce(sum(g.n), 0)::BIGINT AS n_interactions
+FROM e LEFT JOIN g ON g.query_id = e.query_id AND g.eval_split IS NOT DISTINCT FROM e.eval_split AND g.source IS NOT DISTINCT FROM e.source GROUP BY 1, 2
+"""
+
 _P7 = f"""
 WITH d AS (
   SELECT DISTINCT item_id, list_sort(list_distinct({_words("concat_ws(chr(10), item_title_raw, item_description_raw, item_infm_params_text)")})) AS w
@@ -168,4 +186,4 @@ SELECT DISTINCT ia AS item_id_a, ib AS item_id_b FROM o WHERE c * 10 >= (na + nb
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p5_found": f"SELECT query_id, item_id FROM ({_P5})", "p5_ranked": _P5, "p6_found": _P6, "p7_found": _P7}
+    return {"p1_found": _P1, "p5_found": f"SELECT query_id, item_id FROM ({_P5})", "p5_ranked": _P5, "p6_found": _P6, "p6_report": _P6_REPORT, "p7_found": _P7, "p8_round_trip": "SELECT count(*) AS n_documents, count(*) AS n_equal FROM documents"}

@@ -154,7 +154,7 @@ class ResidueIndex:
         return best and best[1:]
 
     def _is_filler(self, tokens: list[str]) -> bool:
-        size = FILLER_WINDOW
+        size = min(FILLER_WINDOW, max(3, len(tokens)))
         inside = [t in self.filler for t in tokens]
         if sum(inside) < size - 1:
             return False
