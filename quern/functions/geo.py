@@ -14,7 +14,9 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
+    # least() and greatest() skip nulls, so they can't do the clipping.
+    clipped = F.when(a < 0, 0.0).when(a > 1, 1.0).otherwise(a)
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(clipped))
 
 
 def on_sphere(lat: Column, lon: Column, radius: float) -> tuple[Column, Column, Column]:

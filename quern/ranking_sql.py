@@ -45,7 +45,8 @@ def _unit(v: str) -> str:
 
 def _km(la1: str, lo1: str, la2: str, lo2: str) -> str:
     hlat, hlon = f"sin(radians({la2} - {la1}) / 2)", f"sin(radians({lo2} - {lo1}) / 2)"
-    return f"(2 * 6371.0 * asin(sqrt(least(1.0, greatest(0.0, {hlat} * {hlat} + cos(radians({la1})) * cos(radians({la2})) * {hlon} * {hlon})))))"
+    known = " AND ".join(f"{c} IS NOT NULL" for c in (la1, lo1, la2, lo2))
+    return f"(CASE WHEN {known} THEN 2 * 6371.0 * asin(sqrt(least(1.0, greatest(0.0, {hlat} * {hlat} + cos(radians({la1})) * cos(radians({la2})) * {hlon} * {hlon})))) END)"
 
 
 def _mean_unit(name: str, source: str, key: str, vector: str) -> str:
