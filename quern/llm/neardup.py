@@ -2,14 +2,19 @@
 
 Records are sets of words. A Jaccard similarity of at least 7/10 of sets of a and b words means that they differ in at
 most (a + b) * 3/17 words, a Hamming distance within a budget. The words are divided by hash into more segments, put in a
-ring, than the budget has differences. Then the pigeonring principle holds: some segment is equal in both records, and
-the chain that begins there stays within its proportional share of the budget, so that the next segment differs by one
-word at most. Records therefore meet by (segment, next segment) and by (segment, next segment without one word); both are
-exact, nothing is lost. Of the pairs that meet, a parity sketch of 128 bits, whose distance is never above the true one,
-discards almost all others inside the join; the full Hamming check decides the rest.
-
-Budgets depend on the records' sizes, so records meet at size levels: a pair belongs to the level of its larger record.
-Records with the same words form one class, and the join runs over classes.
+ring, than the budget has differences. Then the pigeonring principle holds: from some segment on, every chain of l
+consecutive segments differs by less than l words in all: the first is equal, the first two differ by one word at most,
+and so on. Records therefore meet by chains: by the contents of l consecutive segments, from which words, fewer than l in
+both records together, may have been removed. Nothing is lost.
+
+A chain is made as long as it needs to be: while its words are so common that many records would share them, the next
+segment is added. This depends only on the chain's words and the words' frequencies over all records, so both records of a
+pair decide alike, and as the collection grows, chains grow with its logarithm instead of lists with its size.
+
+Of the pairs that meet, a parity sketch of 128 bits, whose distance is never above the true one, discards almost all
+others inside the join; the full Hamming check decides the rest. Budgets depend on the records' sizes, so records meet at
+size levels: a pair belongs to the level of its larger record. Records with the same words form one class, and the join
+runs over classes.
 """
 
 from __future__ import annotations
@@ -32,6 +37,11 @@ SIMILAR = (7, 10)
 LEAST_WORDS = 25
 #: Sizes of one level differ by less than this factor.
 LEVEL = 1.2
+#: Records that may share a chain by chance (about as many as cost less to compare than a longer chain costs), and the
+#: longest chain.
+SHARED, LONGEST = 4096, 4
+#: Word frequencies are kept by hash bucket: a table of fixed size. Weights are whole thousandths, so that sums are exact.
+BUCKETS = 1 << 16
 
 
 def word_sets(df: DataFrame, id_col: str, texts: list[str], least: int = LEAST_WORDS) -> DataFrame:
@@ -46,8 +56,84 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _entries(least: int, similar: tuple[int, int]):
-    """The keys by which classes meet, computed for a whole batch at once."""
+def _bucket(mixed: np.ndarray) -> np.ndarray:
+    return ((mixed >> np.uint64(44)) & np.uint64(BUCKETS - 1)).astype("int64")
+
+
+def word_weights(classes: DataFrame) -> tuple[np.ndarray, int]:
+    """Thousandths of -ln(share of classes) of every word bucket, over all classes, and the chain weight that suffices."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BUCKETS, "int64")
+        for batch in batches:
+            n += np.bincount(_bucket(_mix(batch.column(0).flatten().to_numpy().view("uint64"))), minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+
+    rows = classes.select("words").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    df = np.ones(BUCKETS)
+    df[rows["bucket"].to_numpy(dtype="int64")] = rows["n"].to_numpy()
+    total = max(1, classes.count())
+    weights = np.maximum(0, np.round(1000 * np.log(total / np.minimum(df, total)))).astype("int64")
+    return weights, int(1000 * math.log(max(1.0, total / SHARED)))
+
+
+def _removed(pick: np.ndarray, most: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """All ways to take up to ``most`` of ``count`` words away: (entry, places taken) for 0, 1, 2, ... words."""
+    entry, taken = pick, []
+    next_place = np.zeros(len(pick), "int64")
+    yield entry, taken
+    while True:
+        live = np.flatnonzero(most[entry] > len(taken))
+        entry, next_place, taken = entry[live], next_place[live], [x[live] for x in taken]
+        left = count[entry] - next_place
+        if not (left > 0).any():
+            return
+        rep = np.repeat(np.arange(len(entry)), np.maximum(left, 0))
+        begin = np.cumsum(np.maximum(left, 0)) - np.maximum(left, 0)
+        place = np.arange(len(rep)) - begin[rep] + next_place[rep]
+        entry, taken, next_place = entry[rep], [*(x[rep] for x in taken), place], place + 1
+        yield entry, taken
+
+
+def _chains(doc: np.ndarray, box: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int, m: int, enough: int, salt: int):
+    """(document, key, removed, length) of the chains of ``n`` documents with ``m`` segments."""
+    order = np.lexsort((box, doc))
+    doc, box, word, weight = doc[order], box[order], word[order], weight[order]
+    cell = doc * m + box
+    size = np.bincount(cell, minlength=n * m)
+    begin = np.cumsum(size) - size
+    seg = np.zeros(n * m, "uint64")
+    np.add.at(seg, cell, word)
+    heavy = np.bincount(cell, weights=weight, minlength=n * m).astype("int64")
+
+    who, last = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
+    key = _mix(seg + _mix(last.astype("uint64") + np.uint64(1000 * salt)))
+    mass, gone = heavy.copy(), np.zeros(n * m, "int64")
+    for length in range(1, LONGEST + 1):
+        done = mass >= enough if length < min(LONGEST, m) else np.ones(len(mass), bool)
+        if done.any():
+            yield who[done], key[done], gone[done], np.full(int(done.sum()), length)
+        rest = ~done
+        who, last, key, mass, gone = who[rest], last[rest], key[rest], mass[rest], gone[rest]
+        if not len(who):
+            return
+        last = (last + 1) % m
+        at = who * m + last
+        parts = []
+        # A chain of one segment more may miss ``length`` words in both records together.
+        for entry, taken in _removed(np.arange(len(who)), length - gone, size[at]):
+            h, w = seg[at[entry]].copy(), heavy[at[entry]].copy()
+            for t in taken:
+                k = begin[at[entry]] + t
+                h -= word[k]
+                w -= weight[k]
+            parts.append((who[entry], last[entry], _mix(key[entry] + np.uint64(3) * h), mass[entry] + w, gone[entry] + len(taken)))
+        who, last, key, mass, gone = (np.concatenate(x) for x in zip(*parts))
+
+
+def _entries(least: int, similar: tuple[int, int], weights: np.ndarray, enough: int):
+    """The chains by which classes meet, computed for a whole batch at once."""
     part, whole = similar
     reach = math.floor(math.log(whole / part) / math.log(LEVEL) + 1e-9) + 1
 
@@ -65,6 +151,7 @@ def _entries(least: int, similar: tuple[int, int]):
             cls = batch.column(0).to_numpy()
             row = np.repeat(np.arange(len(size)), size)
             mixed = _mix(h)
+            weight = weights[_bucket(mixed)]
             sketch = np.zeros((2, len(size)), "uint64")
             bit = np.left_shift(np.uint64(1), (mixed >> np.uint64(3)) & np.uint64(63))
             half = (mixed & np.uint64(1)).astype(bool)
@@ -79,28 +166,20 @@ def _entries(least: int, similar: tuple[int, int]):
                     place = np.full(len(size), -1)
                     place[pick] = np.arange(len(pick))
                     mine = place[row] >= 0
-                    r, w = place[row[mine]], mixed[mine]
-                    box = ((w >> np.uint64(10)) % np.uint64(m)).astype("int64")
-                    seg = np.zeros((len(pick), m), "uint64")
-                    np.add.at(seg, (r, box), w)
-                    salt = _mix(np.arange(m, dtype="uint64") + np.uint64(1000 * (int(lv) + 1)))
-                    first = _mix(seg + salt)
-                    full = _mix(first + np.uint64(3) * np.roll(seg, -1, axis=1)).ravel()
-                    before = (box - 1) % m
-                    short = _mix(first[r, before] + np.uint64(3) * (seg[r, box] - w))
-                    who = np.concatenate([np.repeat(pick, m), pick[r]])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate([full, short]).view("int64")),
-                            pa.array(cls[who]),
-                            pa.array(np.arange(len(who)) < len(full)),
-                            pa.array(np.full(len(who), up == 0)),
-                            pa.array(size[who].astype("int32")),
-                            pa.array(sketch[0][who].view("int64")),
-                            pa.array(sketch[1][who].view("int64")),
-                        ],
-                        names=["key", "cls", "whole", "own", "size", "s0", "s1"],
-                    )
+                    box = ((mixed[mine] >> np.uint64(10)) % np.uint64(m)).astype("int64")
+                    for who, key, gone, length in _chains(place[row[mine]], box, mixed[mine], weight[mine], len(pick), m, enough, int(lv) + 1):
+                        who = pick[who]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(key.view("int64")),
+                                pa.array(cls[who]),
+                                # One number: own level, words removed, length, size.
+                                pa.array((size[who].astype("int64") << 16) | (length << 8) | (gone << 4) | (up == 0)),
+                                pa.array(sketch[0][who].view("int64")),
+                                pa.array(sketch[1][who].view("int64")),
+                            ],
+                            names=["key", "cls", "meta", "s0", "s1"],
+                        )
 
     return run
 
@@ -114,14 +193,19 @@ def similar_classes(sets: DataFrame, similar: tuple[int, int] = SIMILAR, least:
     sets = cut_lineage(sets)
     classes = cut_lineage(sets.select("words").distinct().select(F.monotonically_increasing_id().alias("cls"), "words"))
     members = cut_lineage(sets.join(classes, "words").select("cls", "id"))
-    entries = cut_lineage(classes.mapInArrow(_entries(least, similar), "key long, cls long, whole boolean, own boolean, size int, s0 long, s1 long"))
-    a = entries.where("whole").select("key", *(F.col(c).alias(f"{c}_a") for c in ("cls", "own", "size", "s0", "s1")))
-    b = entries.select("key", *(F.col(c).alias(f"{c}_b") for c in ("cls", "whole", "own", "size", "s0", "s1")))
+    weights, enough = word_weights(classes)
+    chains = _entries(least, similar, weights, enough)
+    entries = classes.mapInArrow(chains, "key long, cls long, meta long, s0 long, s1 long")
+    size, length = (lambda s: F.shiftright(f"meta_{s}", 16)), F.shiftright("meta_b", 8).bitwiseAND(255)
+    gone, own = (lambda s: F.shiftright(f"meta_{s}", 4).bitwiseAND(15)), (lambda s: F.col(f"meta_{s}").bitwiseAND(1) == 1)
+    # Of a pair's two chains, one misses at most half of the words that both may miss.
+    side = lambda s: entries.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "meta", "s0", "s1")))
+    fewer = lambda s: gone(s) * 2 < F.shiftright(f"meta_{s}", 8).bitwiseAND(255)
     differ = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
-    fits = (F.least("size_a", "size_b") * whole >= F.greatest("size_a", "size_b") * part) & (F.col("own_a") | F.col("own_b"))
-    within = differ * (whole + part) <= (F.col("size_a") + F.col("size_b")) * (whole - part)
-    apart = F.when(F.col("whole_b"), F.col("cls_a") < F.col("cls_b")).otherwise(F.col("cls_a") != F.col("cls_b"))
-    met = a.join(b, "key").where(apart & fits & within)
+    within = differ * (whole + part) <= (size("a") + size("b")) * (whole - part)
+    fits = (F.least(size("a"), size("b")) * whole >= F.greatest(size("a"), size("b")) * part) & (own("a") | own("b"))
+    once = F.when(fewer("b"), F.col("cls_a") < F.col("cls_b")).otherwise(F.col("cls_a") != F.col("cls_b"))
+    met = side("a").where(fewer("a")).join(side("b"), "key").where(within & once & (gone("a") + gone("b") < length) & fits)
     met = met.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).distinct()
     of = lambda s: classes.select(F.col("cls").alias(f"cls_{s}"), F.col("words").alias(f"words_{s}"))
     common = F.size(F.array_intersect("words_a", "words_b"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quern.llm import neardup
 from quern.llm.components import connected_components
 
@@ -29,7 +31,10 @@ def sets(rows):
     return {(r[0], frozenset(" ".join(x or "" for x in r[1:4]).lower().replace(",", " ").split())) for r in rows if r[0]}
 
 
-def test_pairs_match_brute_force(spark):
+@pytest.mark.parametrize("shared", [4096, 20, 1, 0.001])
+def test_pairs_match_brute_force(spark, monkeypatch, shared):
+    # The fewer records may share a chain, the longer chains are.
+    monkeypatch.setattr(neardup, "SHARED", shared)
     rows = rows_of(random.Random(8))
     got = [tuple(x) for x in neardup.similar_pairs(spark.createDataFrame(rows, SCHEMA), "id", TEXTS).collect()]
     s = [(i, w) for i, w in sets(rows) if len(w) >= 25]
