@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import words
 from quern.llm.components import connected_components
 from quern.plans.lineage import cut_lineage
-from quern.plans.skew import attach_members
+from quern.plans.skew import attach_members, spread
 
 #: Similarity as a fraction, and the least number of distinct words.
 SIMILAR = (7, 10)
@@ -39,7 +39,7 @@ LEAST_WORDS = 25
 LEVEL = 1.2
 #: Records that may share a chain by chance (about as many as cost less to compare than a longer chain costs), and the
 #: longest chain.
-SHARED, LONGEST = 4096, 4
+SHARED, LONGEST = 8192, 4
 #: Word frequencies are kept by hash bucket: a table of fixed size. Weights are whole thousandths, so that sums are exact.
 BUCKETS = 1 << 16
 
@@ -195,7 +195,10 @@ def similar_classes(sets: DataFrame, similar: tuple[int, int] = SIMILAR, least:
     members = cut_lineage(sets.join(classes, "words").select("cls", "id"))
     weights, enough = word_weights(classes)
     chains = _entries(least, similar, weights, enough)
-    entries = classes.mapInArrow(chains, "key long, cls long, meta long, s0 long, s1 long")
+    # No column is ever null; saying so here keeps the optimiser from saying it differently on the two sides.
+    columns = ("key", "cls", "meta", "s0", "s1")
+    entries = classes.mapInArrow(chains, ", ".join(f"{c} long" for c in columns)).where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
+    entries = spread(entries, "key")
     size, length = (lambda s: F.shiftright(f"meta_{s}", 16)), F.shiftright("meta_b", 8).bitwiseAND(255)
     gone, own = (lambda s: F.shiftright(f"meta_{s}", 4).bitwiseAND(15)), (lambda s: F.col(f"meta_{s}").bitwiseAND(1) == 1)
     # Of a pair's two chains, one misses at most half of the words that both may miss.
@@ -205,7 +208,9 @@ def similar_classes(sets: DataFrame, similar: tuple[int, int] = SIMILAR, least:
     within = differ * (whole + part) <= (size("a") + size("b")) * (whole - part)
     fits = (F.least(size("a"), size("b")) * whole >= F.greatest(size("a"), size("b")) * part) & (own("a") | own("b"))
     once = F.when(fewer("b"), F.col("cls_a") < F.col("cls_b")).otherwise(F.col("cls_a") != F.col("cls_b"))
-    met = side("a").where(fewer("a")).join(side("b"), "key").where(within & once & (gone("a") + gone("b") < length) & fits)
+    # Left to itself, this filter would sink below the exchange, and the two sides couldn't share one exchange.
+    after = gone("a") * 2 + F.spark_partition_id() * 0 < F.shiftright("meta_a", 8).bitwiseAND(255)
+    met = side("a").where(after).join(side("b"), "key").where(within & once & (gone("a") + gone("b") < length) & fits)
     met = met.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).distinct()
     of = lambda s: classes.select(F.col("cls").alias(f"cls_{s}"), F.col("words").alias(f"words_{s}"))
     common = F.size(F.array_intersect("words_a", "words_b"))
