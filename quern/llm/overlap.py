@@ -8,8 +8,9 @@ the text's squared norm without its six heaviest terms; this bound is exact, and
 
 * maximum weight: terms are ordered by falling weight, and only the heaviest ones, as many as an unmatched pair could miss,
   enter the inverted lists (on both sides);
-* residual norm: a pair met in the lists goes on only if its dot product so far plus the norm of what isn't listed can
-  still reach the bound; the lists are also divided by text length, which differs by two at most;
+* residual norm: a pair met in the lists goes on only if its dot product so far plus the norm of what isn't listed (of the
+  text whose list ends first in the common order) can still reach the bound; a few terms more than needed are listed, so
+  that one common term alone doesn't. The lists are also divided by text length, which differs by two at most;
 * exact dot products of the remaining pairs are held against the bound before the edit distance is computed.
 
 Texts of few letters have no such bound. They meet by what is left of them when up to two characters are removed.
@@ -35,8 +36,9 @@ from quern.plans.skew import attach_members
 #: Document frequencies are kept by term bucket: the table has this fixed size, whatever the data.
 BUCKETS = 1 << 16
 EDITS = 2
-#: Terms that ``EDITS`` edits can change.
+#: Terms that ``EDITS`` edits can change, and terms listed besides: as many at least must be met.
 LOST = 3 * EDITS
+BESIDES = 3
 
 
 def normal_text(column: str):
@@ -98,26 +100,29 @@ def _lists(weights: np.ndarray, spread: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows: list[tuple[str, str, float, float, float]] = []
+            rows: list[tuple[str, str, float, float, float, float]] = []
             for text in pdf["text"]:
                 vector, size = _vector(text, weights), len(text)
                 bound = _bound(vector)
                 keys: list[tuple[str, float]] = []
-                rest = 0.0
+                rest = edge = 0.0
                 if len(vector) > LOST:
                     rest = math.fsum(w for w, _ in vector)
                     for w, t in vector:
-                        if rest < bound:
+                        if rest < bound and len(keys) >= LOST + BESIDES:
+                            edge = keys[-1][1]
                             break
                         keys.append((t, w))
                         rest = max(0.0, rest - w)
+                    else:
+                        rest = 0.0
                     keys = [(f"{n} {t}", w) for t, w in keys for n in range(size - spread, size + spread + 1)]
                 else:
                     keys.append(("=" + " ".join(sorted(text.split(" "))), math.inf))
                 if len(vector) <= LOST + EDITS:
                     keys += [("-" + r, math.inf) for r in _removals(text)]
-                rows += [(k, text, w, rest, bound) for k, w in keys]
-            yield pd.DataFrame(rows, columns=["term", "text", "w", "rest", "bound"])
+                rows += [(k, text, w, rest, edge, bound) for k, w in keys]
+            yield pd.DataFrame(rows, columns=["term", "text", "w", "rest", "edge", "bound"])
 
     return run
 
@@ -147,14 +152,16 @@ def matching_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     left = cut_lineage(left.select("text").where("text <> ''").distinct())
     right = cut_lineage(right.select("text").where("text <> ''").distinct())
     weights = term_weights(left.unionByName(right))
-    schema = "term string, text string, w double, rest double, bound double"
+    schema = "term string, text string, w double, rest double, edge double, bound double"
     a = left.mapInPandas(_lists(weights, EDITS), schema)
     b = right.mapInPandas(_lists(weights, 0), schema)
-    side = lambda df, s: df.select("term", *(F.col(c).alias(f"{c}_{s}") for c in ("text", "w", "rest", "bound")))
+    side = lambda df, s: df.select("term", *(F.col(c).alias(f"{c}_{s}") for c in ("text", "w", "rest", "edge", "bound")))
     met = side(a, "a").join(side(b, "b"), "term")
-    met = met.groupBy("text_a", "text_b").agg(F.sum("w_a").alias("dot"), *(F.max(f"{c}_{s}").alias(f"{c}_{s}") for c in ("rest", "bound") for s in "ab"))
+    met = met.groupBy("text_a", "text_b").agg(F.sum("w_a").alias("dot"), *(F.max(f"{c}_{s}").alias(f"{c}_{s}") for c in ("rest", "edge", "bound") for s in "ab"))
     least = F.greatest("bound_a", "bound_b")
-    met = met.where(F.col("dot") + F.greatest("rest_a", "rest_b") >= least)
+    # The list that ends first ends with the heavier term; what its text has beyond is all that may still be shared.
+    first = F.when(F.col("edge_a") > F.col("edge_b"), F.col("rest_a")).when(F.col("edge_b") > F.col("edge_a"), F.col("rest_b")).otherwise(F.greatest("rest_a", "rest_b"))
+    met = met.where(F.col("dot") + first >= least)
     exact = met.select("text_a", "text_b", least.alias("least")).mapInPandas(_dots(weights), "text_a string, text_b string, least double, dot double, cosine double")
     exact = exact.where(F.col("dot") >= F.col("least"))
     bag = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
