@@ -100,8 +100,8 @@ def _lists(weights: np.ndarray, spread: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows: list[tuple[str, str, float, float, float, float]] = []
-            for text in pdf["text"]:
+            rows: list[tuple[str, int, float, float, float, float]] = []
+            for number, text in zip(pdf["id"], pdf["text"]):
                 vector, size = _vector(text, weights), len(text)
                 bound = _bound(vector)
                 keys: list[tuple[str, float]] = []
@@ -121,8 +121,8 @@ def _lists(weights: np.ndarray, spread: int):
                     keys.append(("=" + " ".join(sorted(text.split(" "))), math.inf))
                 if len(vector) <= LOST + EDITS:
                     keys += [("-" + r, math.inf) for r in _removals(text)]
-                rows += [(k, text, w, rest, edge, bound) for k, w in keys]
-            yield pd.DataFrame(rows, columns=["term", "text", "w", "rest", "edge", "bound"])
+                rows += [(k, number, w, rest, edge, bound) for k, w in keys]
+            yield pd.DataFrame(rows, columns=["term", "id", "w", "rest", "edge", "bound"])
 
     return run
 
@@ -130,16 +130,20 @@ def _lists(weights: np.ndarray, spread: int):
 def _dots(weights: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            known: dict[str, dict[str, float]] = {}
-            vector = lambda t: known.get(t) or known.setdefault(t, {x: w for w, x in _vector(t, weights)})
-            norm = lambda v: math.fsum(v.values())
-            dots, cosines = [], []
+            known: dict[str, tuple[dict[str, float], float, float]] = {}
+
+            def vector(text: str) -> tuple[dict[str, float], float, float]:
+                if text not in known:
+                    v = _vector(text, weights)
+                    known[text] = {t: w for w, t in v}, math.fsum(w for w, _ in v), _bound(v)
+                return known[text]
+
+            rows = []
             for a, b in zip(pdf["text_a"], pdf["text_b"]):
-                va, vb = vector(a), vector(b)
+                (va, na, ba), (vb, nb, bb) = vector(a), vector(b)
                 dot = math.fsum(w for t, w in va.items() if t in vb)
-                dots.append(dot)
-                cosines.append(dot / (math.sqrt(norm(va) * norm(vb)) or 1.0))
-            yield pdf.assign(dot=dots, cosine=cosines)
+                rows.append((a, b, max(ba, bb), dot, dot / (math.sqrt(na * nb) or 1.0)))
+            yield pd.DataFrame(rows, columns=["text_a", "text_b", "least", "dot", "cosine"])
 
     return run
 
@@ -149,20 +153,21 @@ def matching_texts(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Empty and null texts never match. Both inputs may repeat texts; empty inputs give no pairs.
     """
-    left = cut_lineage(left.select("text").where("text <> ''").distinct())
-    right = cut_lineage(right.select("text").where("text <> ''").distinct())
-    weights = term_weights(left.unionByName(right))
-    schema = "term string, text string, w double, rest double, edge double, bound double"
+    once = lambda df: cut_lineage(df.select("text").where("text <> ''").distinct().select(F.monotonically_increasing_id().alias("id"), "text"))
+    left, right = once(left), once(right)
+    weights = term_weights(left.select("text").unionByName(right.select("text")))
+    schema = "term string, id long, w double, rest double, edge double, bound double"
     a = left.mapInPandas(_lists(weights, EDITS), schema)
     b = right.mapInPandas(_lists(weights, 0), schema)
-    side = lambda df, s: df.select("term", *(F.col(c).alias(f"{c}_{s}") for c in ("text", "w", "rest", "edge", "bound")))
-    met = side(a, "a").join(side(b, "b"), "term")
-    met = met.groupBy("text_a", "text_b").agg(F.sum("w_a").alias("dot"), *(F.max(f"{c}_{s}").alias(f"{c}_{s}") for c in ("rest", "edge", "bound") for s in "ab"))
-    least = F.greatest("bound_a", "bound_b")
+    side = lambda df, s: df.select("term", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "w", "rest", "edge", "bound")))
     # The list that ends first ends with the heavier term; what its text has beyond is all that may still be shared.
     first = F.when(F.col("edge_a") > F.col("edge_b"), F.col("rest_a")).when(F.col("edge_b") > F.col("edge_a"), F.col("rest_b")).otherwise(F.greatest("rest_a", "rest_b"))
-    met = met.where(F.col("dot") + first >= least)
-    exact = met.select("text_a", "text_b", least.alias("least")).mapInPandas(_dots(weights), "text_a string, text_b string, least double, dot double, cosine double")
+    met = side(a, "a").join(side(b, "b"), "term").select("id_a", "id_b", "w_a", (F.greatest("bound_a", "bound_b") - first - 1e-6).alias("needed"))
+    # What is needed is the same in all rows of a pair. Only numbers are shuffled; texts join the pairs that are left.
+    met = met.groupBy("id_a", "id_b").agg(F.sum("w_a").alias("dot"), F.max("needed").alias("needed")).where("dot >= needed")
+    for s, df in (("a", left), ("b", right)):
+        met = met.join(df.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"text_{s}")), f"id_{s}")
+    exact = met.select("text_a", "text_b").mapInPandas(_dots(weights), "text_a string, text_b string, least double, dot double, cosine double")
     exact = exact.where(F.col("dot") >= F.col("least"))
     bag = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
     return exact.where((F.levenshtein("text_a", "text_b", EDITS) >= 0) | (bag("text_a") == bag("text_b"))).select("text_a", "text_b", "cosine")
