@@ -46,10 +46,11 @@ def seeded_order(seed: int, column: str):
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(column)))
 
 
-def sample_queries(labels: DataFrame, n: int, seed: int = 42, max_relevant: int | None = 200) -> DataFrame:
-    """``n`` labelled queries with at most ``max_relevant`` relevant items, by seeded hash order; all if fewer are left."""
+def sample_queries(labels: DataFrame, n: int | None, seed: int = 42, max_relevant: int | None = 200) -> DataFrame:
+    """``n`` labelled queries with at most ``max_relevant`` relevant items, by seeded hash order; all if fewer are left or
+    ``n`` is None."""
     fit = labels if max_relevant is None else labels.where(F.size("relevant_item_ids") <= max_relevant)
-    return fit.orderBy(seeded_order(seed, "query_id"), "query_id").limit(n)
+    return fit if n is None else fit.orderBy(seeded_order(seed, "query_id"), "query_id").limit(n)
 
 
 def long_relevance(labels: DataFrame) -> DataFrame:
@@ -63,8 +64,9 @@ def evaluation_corpus(items: DataFrame, train: DataFrame, queries: DataFrame, or
     return items.select(*ITEM_COLUMNS).unionByName(extra.select(*ITEM_COLUMNS))
 
 
-def training_queries(labels: DataFrame, validation: DataFrame, items: DataFrame, n: int, seed: int = 777, max_relevant: int = 200) -> DataFrame:
-    """Labelled queries outside ``validation`` with at least one relevant item among ``items``, sampled by ``seed``."""
+def training_queries(labels: DataFrame, validation: DataFrame, items: DataFrame, n: int | None, seed: int = 777, max_relevant: int = 200) -> DataFrame:
+    """Labelled queries outside ``validation`` with at least one relevant item among ``items``, sampled by ``seed``; all
+    of them if ``n`` is None."""
     rest = labels.join(validation.select("query_id"), "query_id", "left_anti")
     reached = long_relevance(rest).join(items.select("item_id"), "item_id", "left_semi").select("query_id").distinct()
     return sample_queries(rest.join(reached, "query_id", "left_semi"), n, seed, max_relevant)

@@ -25,7 +25,7 @@ from quern.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Settings of the registered queries.
+#: Settings of the registered queries. ``TRAINING`` is the limit in the SQL only: the queries take all reachable labels.
 TOP_K, VALIDATION, TRAINING, SEMANTIC = 50, 60, 60, 0.35
 CONFIG = GeneratorConfig(top_k=TOP_K)
 
@@ -198,7 +198,7 @@ def eval_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 def train_split_reachable(spark: SparkSession, d: str) -> DataFrame:
     labels = _labels(spark, d)
-    return L.training_queries(labels, _validation(spark, d, labels), _items(spark, d), TRAINING).select("query_id", "n_interactions")
+    return L.training_queries(labels, _validation(spark, d, labels), _items(spark, d), None).select("query_id", "n_interactions")
 
 
 def _evaluation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -247,7 +247,7 @@ def split_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Keys shared by the validation and the training queries: none."""
     labels = _labels(spark, d)
     v = cut_lineage(_validation(spark, d, labels))
-    return V.shared_keys(v, L.training_queries(labels, v, _items(spark, d), TRAINING), "query_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    return V.shared_keys(v, L.training_queries(labels, v, _items(spark, d), None), "query_id").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 def location_match_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -387,7 +387,7 @@ def validate_answer(spark: SparkSession, d: str) -> DataFrame:
 def _ltr(spark: SparkSession, d: str):
     labels = _labels(spark, d)
     v = cut_lineage(L.sample_queries(labels, VALIDATION, 42))
-    t = cut_lineage(L.training_queries(labels, v, _items(spark, d), TRAINING))
+    t = cut_lineage(L.training_queries(labels, v, _items(spark, d), None))
     train = cut_lineage(_features(spark, d, t, L.evaluation_corpus(_items(spark, d), _train(spark, d), t), L.long_relevance(t)))
     return v, train, R.train_pairwise(train, FEATURE_COLUMNS)
 
