@@ -84,15 +84,28 @@ def score_pairs(queries: DataFrame, items: DataFrame, config: GeneratorConfig =
     )
 
 
+def params_matches(queries: DataFrame, items: DataFrame, config: GeneratorConfig = GeneratorConfig(), embed=hash_embedding) -> DataFrame:
+    """``token, item_id``: params tokens of ``queries`` whose embedding is near that of an item's params.
+
+    ``queries`` and ``items`` as from ``prepare_*``. Tokens of no query can't be found, so they aren't compared.
+    """
+    vocabulary = queries.select(F.explode("q_params").alias("token")).distinct().withColumn("ts", F.array("token"))
+    texts = items.groupBy("item_id").agg(F.min("params_tokens").alias("ts"))
+    return S.semantic_matches(embed(vocabulary, "token", "ts"), embed(texts, "item_id", "ts"), "item_id", config.params_similarity_threshold)
+
+
 def generate_with_features(queries: DataFrame, items: DataFrame, config: GeneratorConfig = GeneratorConfig(), **kwargs) -> DataFrame:
     """The best ``config.top_k`` items of each query with all scores, ``rrf_score`` and ``rrf_rank`` (from 1).
 
     Equal fused scores go to the smaller item id. Raw ``benchmark_queries`` and ``benchmark_items`` rows are accepted;
-    repeated rows count once, rows without id don't count.
+    repeated rows count once, rows without id don't count. Params are also matched by meaning, with
+    ``config.params_similarity_threshold``, unless ``semantic`` (token, item_id) gives other matches.
     """
     tokenizer = lambda c: tokens(c, min_len=config.min_token_len)
     i = cut_lineage(prepare_items(items, tokenizer=tokenizer))
     q = cut_lineage(prepare_queries(queries, tokenizer=tokenizer))
+    if kwargs.get("semantic") is None:
+        kwargs["semantic"] = params_matches(q, i, config)
     ranked = with_rank_terms(score_pairs(q, i, config, **kwargs), "query_id", list(SCORES))
     fused = ranked.withColumn("rrf_score", fused_score(list(SCORES), config.weights(), config.rrf_k))
     best = top_by(fused, "query_id", "rrf_score", "item_id", config.top_k)

@@ -229,8 +229,8 @@ def relevant_item_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
     v, corpus, relevance = _evaluation(spark, d)
-    scored = C.score_pairs(cut_lineage(C.prepare_queries(v.select("query_id", *T.QUERY_COLUMNS))), cut_lineage(C.prepare_items(corpus)))
-    return V.ablation(scored, relevance).withColumns({c: F.round(c, 9) for c in ("recall_50", "recall_500")})
+    q, i = cut_lineage(C.prepare_queries(v.select("query_id", *T.QUERY_COLUMNS))), cut_lineage(C.prepare_items(corpus))
+    return V.ablation(C.score_pairs(q, i, semantic=C.params_matches(q, i)), relevance).withColumns({c: F.round(c, 9) for c in ("recall_50", "recall_500")})
 
 
 def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 from quern import ranking_queries as Q
+from quern.operators import candidates as C
 
 N_QUERIES = 900
 _ITEM = "item_id string, item_title_raw string, item_description_raw string, item_infm_params_text string, item_category_id long, item_microcat_id long, item_location_id long, item_latitude double, item_longitude double"
@@ -32,3 +33,14 @@ def test_training_split_takes_all_reachable_queries(spark, data):
     assert len(want) > 60
     assert {r["query_id"] for r in Q.train_split_reachable(spark, data).collect()} == want
     assert Q.split_overlap(spark, data).first()["n_shared"] == 0
+
+
+def test_params_are_also_matched_by_meaning(spark):
+    """The hash embedder gives вид3 and вид28 the same vector."""
+    items = spark.createDataFrame([(f"{k:016x}", "товар", None, p, 1, 1, 5, 50.0, 30.0) for k, p in enumerate(["вид3", "вид4", "вид28"])], _ITEM)
+    queries = spark.createDataFrame([("q", "товар", 5, False, "вид28", 1)], f"query_id string, {_QUERY}")
+    got = {int(r["item_id"], 16): r["params_coverage_score"] for r in C.generate_with_features(queries, items).collect()}
+    assert got == {0: 1.0, 1: 0.0, 2: 1.0}
+    none = spark.createDataFrame([], "token string, item_id string")
+    got = {int(r["item_id"], 16): r["params_coverage_score"] for r in C.generate_with_features(queries, items, semantic=none).collect()}
+    assert got == {0: 0.0, 1: 0.0, 2: 1.0}
