@@ -30,7 +30,8 @@ def fused_score(scores: list[str], weights: list[float], k: int = 60) -> Column:
     return total
 
 
-def top_by(df: DataFrame, partition: str, score: str, item: str, k: int, name: str = "rrf_rank") -> DataFrame:
-    """The ``k`` best rows of each partition, numbered from 1; equal scores go to the smaller item."""
+def top_by(df: DataFrame, partition: str, score: str, item: str, k: int | None, name: str = "rrf_rank") -> DataFrame:
+    """The ``k`` best rows of each partition (all if None), numbered from 1; equal scores go to the smaller item."""
     w = Window.partitionBy(partition).orderBy(F.col(score).desc(), F.col(item))
-    return df.withColumn(name, F.row_number().over(w).cast("long")).where(F.col(name) <= k)
+    placed = df.withColumn(name, F.row_number().over(w).cast("long"))
+    return placed if k is None else placed.where(F.col(name) <= k)

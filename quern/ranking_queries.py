@@ -347,8 +347,8 @@ _LINEAR = {"text_coverage_score": 2.0, "params_coverage_score": 1.0, "rrf_score"
 
 
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The logged candidates reranked by a fixed linear score."""
-    df = top_by(with_rank_terms(_logged_scores(spark, d), "query_id", list(SCORES)).withColumn("rrf_score", fused_score(list(SCORES), [1.0] * 5)), "query_id", "rrf_score", "item_id", 200)
+    """All logged candidates of a query reranked by a fixed linear score; the best 50."""
+    df = top_by(with_rank_terms(_logged_scores(spark, d), "query_id", list(SCORES)).withColumn("rrf_score", fused_score(list(SCORES), [1.0] * 5)), "query_id", "rrf_score", "item_id", None)
     return R.rerank(R.linear_score(df, _LINEAR).withColumn("score", F.round("score", 9)), "score", TOP_K)
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 from quern import ranking_queries as Q
+from quern.config import SCORES
 from quern.operators import candidates as C
 
 N_QUERIES = 900
@@ -23,6 +24,10 @@ def data(spark, tmp_path_factory):
     spark.createDataFrame([_item(k) for k in range(N_QUERIES) if k % 9], _ITEM).write.parquet(f"{d}/benchmark_items.parquet")
     queries = [(f"q{k}", f"номер{k}", 5, False, None, 1) for k in range(2)]
     spark.createDataFrame(queries, f"query_id string, {_QUERY}").write.parquet(f"{d}/benchmark_queries.parquet")
+    # The last of 300 by fusion is the 50th by the linear score: (id, text coverage, the other four scores).
+    logged = [(f"b{k}", 1.0, 1.0) for k in range(49)] + [("x", 0.9, 0.0)] + [(f"a{k}", 0.0, 1.0) for k in range(250)]
+    candidates = [("q0", i, other, text, other, other, other) for i, text, other in logged]
+    spark.createDataFrame(candidates, "query_id string, item_id string, " + ", ".join(f"{c} float" for c in SCORES)).write.parquet(f"{d}/candidates.parquet")
     return d
 
 
@@ -44,3 +49,8 @@ def test_params_are_also_matched_by_meaning(spark):
     none = spark.createDataFrame([], "token string, item_id string")
     got = {int(r["item_id"], 16): r["params_coverage_score"] for r in C.generate_with_features(queries, items, semantic=none).collect()}
     assert got == {0: 0.0, 1: 0.0, 2: 1.0}
+
+
+def test_all_logged_candidates_are_reranked(spark, data):
+    got = {r["item_id"]: r["rank"] for r in Q.rerank_topk(spark, data).collect()}
+    assert len(got) == 50 and got["x"] == 50
