@@ -25,8 +25,10 @@ from quern.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Settings of the registered queries. ``TRAINING`` is the limit in the SQL only: the queries take all reachable labels.
+#: Settings of the registered queries. ``VALIDATION`` and ``TRAINING`` are limits in the SQL only: the queries evaluate
+#: ``N_VALIDATION`` queries, as the reference does, and train on all reachable labels.
 TOP_K, VALIDATION, TRAINING, SEMANTIC = 50, 60, 60, 0.35
+N_VALIDATION = 800
 CONFIG = GeneratorConfig(top_k=TOP_K)
 
 
@@ -184,7 +186,7 @@ def relevance_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _validation(spark: SparkSession, d: str, labels: DataFrame) -> DataFrame:
-    return L.sample_queries(labels, VALIDATION, 42)
+    return L.sample_queries(labels, N_VALIDATION, 42)
 
 
 def sample_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -386,7 +388,7 @@ def validate_answer(spark: SparkSession, d: str) -> DataFrame:
 
 def _ltr(spark: SparkSession, d: str):
     labels = _labels(spark, d)
-    v = cut_lineage(L.sample_queries(labels, VALIDATION, 42))
+    v = cut_lineage(L.sample_queries(labels, N_VALIDATION, 42))
     t = cut_lineage(L.training_queries(labels, v, _items(spark, d), None))
     train = cut_lineage(_features(spark, d, t, L.evaluation_corpus(_items(spark, d), _train(spark, d), t), L.long_relevance(t)))
     return v, train, R.train_pairwise(train, FEATURE_COLUMNS)

@@ -54,3 +54,11 @@ def test_params_are_also_matched_by_meaning(spark):
 def test_all_logged_candidates_are_reranked(spark, data):
     got = {r["item_id"]: r["rank"] for r in Q.rerank_topk(spark, data).collect()}
     assert len(got) == 50 and got["x"] == 50
+
+
+def test_evaluation_takes_800_queries(spark, data):
+    got = {r["query_id"] for r in Q.sample_queries(spark, data).collect()}
+    assert len(got) == 800
+    wanted = {int(r["relevant_item_ids"], 16) for r in Q.relevance_labels(spark, data).collect() if r["query_id"] in got}
+    extra = {k for k in wanted if k % 9 == 0}
+    assert extra and {int(r["item_id"], 16) for r in Q.eval_corpus(spark, data).collect()} == extra | {k for k in range(N_QUERIES) if k % 9}
