@@ -26,10 +26,11 @@ from quern.sources import tables as T
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Settings of the registered queries. ``VALIDATION`` and ``TRAINING`` are limits in the SQL only: the queries evaluate
-#: ``N_VALIDATION`` queries, as the reference does, and train on all reachable labels.
+#: ``N_VALIDATION`` queries, as the reference does, and train on all reachable labels. ``TOP_K`` is the second stage's
+#: length (in the SQL, the first stage's too); the first stage keeps ``CONFIG.top_k`` = 500.
 TOP_K, VALIDATION, TRAINING, SEMANTIC = 50, 60, 60, 0.35
 N_VALIDATION = 800
-CONFIG = GeneratorConfig(top_k=TOP_K)
+CONFIG = GeneratorConfig()
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:

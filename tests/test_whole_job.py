@@ -62,3 +62,9 @@ def test_evaluation_takes_800_queries(spark, data):
     wanted = {int(r["relevant_item_ids"], 16) for r in Q.relevance_labels(spark, data).collect() if r["query_id"] in got}
     extra = {k for k in wanted if k % 9 == 0}
     assert extra and {int(r["item_id"], 16) for r in Q.eval_corpus(spark, data).collect()} == extra | {k for k in range(N_QUERIES) if k % 9}
+
+
+def test_first_stage_keeps_500_candidates(spark, data):
+    assert {r["query_id"]: r["n_candidates"] for r in Q.candidates_packed(spark, data).collect()} == {"q0": 500, "q1": 500}
+    assert Q.candidates_topk(spark, data).where("rrf_rank = 500").count() == 2
+    assert Q.candidates_with_features(spark, data).count() == 1000
