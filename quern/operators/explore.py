@@ -99,18 +99,15 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """``a, b, n, rho`` over rows where both are known."""
-    out = None
-    for a, b in pairs:
-        known = df.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-        weighted = lambda c: known.groupBy(F.col(c).alias("v")).agg(F.sum("n").alias("n")).select("v", (F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
-        rx, ry = weighted("x").withColumnRenamed("v", "x"), weighted("y").withColumnRenamed("v", "y")
-        k = known.join(rx, "x").join(ry, "y")
-        n = F.sum("n").cast("double")
-        s = lambda e: F.sum(F.col("n") * e)
-        x, y = F.col("rx"), F.col("ry")
-        sums = k.agg(n.alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("sxx"), s(y * y).alias("syy"), s(x * y).alias("sxy"))
-        below = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
-        row = sums.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("n").cast("long").alias("n"), F.when(below > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / below).alias("rho"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """``a, b, n, rho`` over rows where both are known; all pairs in one plan."""
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs)))
+    known = df.select(each.alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL").groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    before = lambda c: F.coalesce(F.sum("n").over(Window.partitionBy("a", "b").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = lambda c: known.groupBy("a", "b", c).agg(F.sum("n").alias("n")).select("a", "b", c, (before(c) + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
+    k = known.join(ranks("x"), ["a", "b", "x"]).join(ranks("y"), ["a", "b", "y"])
+    s = lambda e: F.sum(F.col("n") * e)
+    x, y = F.col("rx"), F.col("ry")
+    sums = k.groupBy("a", "b").agg(F.sum("n").cast("double").alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("sxx"), s(y * y).alias("syy"), s(x * y).alias("sxy"))
+    below = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
+    rho = sums.select("a", "b", F.col("n").cast("long").alias("n"), F.when(below > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / below).alias("rho"))
+    return df.sparkSession.createDataFrame(pairs, "a string, b string").join(rho, ["a", "b"], "left")

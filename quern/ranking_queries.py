@@ -298,10 +298,15 @@ def describe_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hist_density(spark: SparkSession, d: str) -> DataFrame:
-    parts = []
+    """Rating in 30 bins, log1p of reviews and of a positive price in 50, of chosen items and of the corpus."""
+    price = F.when(F.col("item_price") > 0, F.col("item_price"))
+    values = {"item_rating": (F.col("item_rating"), 30), "item_rating_reviews_count_log1p": (F.log1p(F.col("item_rating_reviews_count").cast("double")), 50), "item_price_log1p": (F.log1p(price), 50)}
+    out = None
     for name, df in (("chosen", T.load_train_features(spark, d)), ("corpus", T.load_item_features(spark, d))):
-        parts.append(X.histogram(df, F.col("item_rating"), 30).select(F.lit(name).alias("population"), "bin", "n", F.round("density", 6).alias("density")))
-    return parts[0].unionByName(parts[1])
+        for feature, (value, bins) in values.items():
+            part = X.histogram(df, value, bins).select(F.lit(feature).alias("feature"), F.lit(name).alias("population"), "bin", "n", F.round("density", 6).alias("density"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def encode_correlation(spark: SparkSession, d: str) -> DataFrame:
@@ -313,7 +318,7 @@ def encode_correlation(spark: SparkSession, d: str) -> DataFrame:
 
 def spearman_matrix(spark: SparkSession, d: str) -> DataFrame:
     e = X.encode_for_correlation(T.load_train_features(spark, d))
-    names = ["location_match", "category_match", "item_is_phone_hidden", "item_rating", "item_rating_reviews_count_log1p"]
+    names = e.columns
     return X.spearman(e, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]).withColumn("rho", F.round("rho", 6))
 
 

@@ -68,3 +68,19 @@ def test_first_stage_keeps_500_candidates(spark, data):
     assert {r["query_id"]: r["n_candidates"] for r in Q.candidates_packed(spark, data).collect()} == {"q0": 500, "q1": 500}
     assert Q.candidates_topk(spark, data).where("rrf_rank = 500").count() == 2
     assert Q.candidates_with_features(spark, data).count() == 1000
+
+
+def test_all_encoded_columns_are_explored(spark, tmp_path):
+    d = str(tmp_path)
+    features = "item_price double, item_rating double, item_rating_reviews_count long, item_is_phone_hidden boolean, item_is_message_forbidden boolean"
+    rows = [(5, k % 2 == 0, 1, *_item(k), 100.0 * k, 1.0 + k % 5, k, k % 3 == 0, k % 4 == 0) for k in range(40)]
+    df = spark.createDataFrame(rows, f"search_location_id long, search_is_delivery_search boolean, search_category long, {_ITEM}, {features}")
+    df.write.parquet(f"{d}/train.parquet")
+    df.write.parquet(f"{d}/benchmark_items.parquet")
+    pairs = {(r["a"], r["b"]) for r in Q.spearman_matrix(spark, d).collect()}
+    assert len(pairs) == 28 and len({x for p in pairs for x in p}) == 8
+    n = {}
+    for r in Q.hist_density(spark, d).collect():
+        n[r["feature"], r["population"]] = n.get((r["feature"], r["population"]), 0) + r["n"]
+    known = {"item_rating": 40, "item_rating_reviews_count_log1p": 40, "item_price_log1p": 39}
+    assert n == {(f, p): k for f, k in known.items() for p in ("chosen", "corpus")}
