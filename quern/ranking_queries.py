@@ -123,7 +123,7 @@ def microcat_centroids(spark: SparkSession, d: str) -> DataFrame:
 def microcat_score(spark: SparkSession, d: str) -> DataFrame:
     e = T.table(spark, d, "embeddings")
     c = mean_vectors(e, "label", "embedding")
-    s = S.microcat_scores(e.where("vec_id % 20 = 0"), c, "vec_id", "label")
+    s = S.microcat_scores(e, c, "vec_id", "label")
     return s.select("vec_id", "label", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 

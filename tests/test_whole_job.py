@@ -84,3 +84,9 @@ def test_all_encoded_columns_are_explored(spark, tmp_path):
         n[r["feature"], r["population"]] = n.get((r["feature"], r["population"]), 0) + r["n"]
     known = {"item_rating": 40, "item_rating_reviews_count_log1p": 40, "item_price_log1p": 39}
     assert n == {(f, p): k for f, k in known.items() for p in ("chosen", "corpus")}
+
+
+def test_every_vector_is_scored(spark, tmp_path):
+    rows = [(k, k % 2, [1.0, float(k)]) for k in range(30)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {(r["vec_id"], r["label"]) for r in Q.microcat_score(spark, str(tmp_path)).collect()} == {(k, x) for k in range(30) for x in range(2)}
