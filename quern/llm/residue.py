@@ -51,6 +51,8 @@ _NAMES = (
 )
 _NAMED_SLOTS = ("{%s}", "[%s]", "<%s>")
 _SLOTS = ("{{ }}", "{% %}", "<% %>", "${ }", "#{ }", "[[ ]]", "@@ @@", "xxx_ _xxx", "__ __", "[вставить ]", "[вставьте ]", "[insert here]", "<укажите >", "( заполнить)", "<введите >", "[введите ]")
+#: Marks that open and close a slot and differ: whatever stands between them, the slot ends at the closing mark.
+_PAIRED = {"{{": "}}", "{%": "%}", "<%": "%>", "${": "}", "#{": "}", "[[": "]]", "xxx_": "_xxx"}
 _EXACT = ("[object Object]", "{0}", "{1}", "%s от %d", "%s %d", "datemask", "NaN рублей", "undefined рублей", "за null час", "undefined undefined", "null null", "________ (впишите сами)", "keyerror", "nullpointerexception", "sqlstate", "ошибка 404", "код 404", "error 404", "http 1 1 404", "404 not found", "503 service unavailable", "504 gateway timeout", "403 forbidden", "bad gateway", "internal server error", "referenceerror", "noscript")
 _PHRASES = (
     # error pages
@@ -153,6 +155,16 @@ class ResidueIndex:
                 best = (got, start, start + len(window))
         return best and best[1:]
 
+    @staticmethod
+    def _slots(tokens: list[str]) -> Iterator[tuple[int, int, int]]:
+        """Places from an opening mark to the next closing mark of its kind, and the number of marks."""
+        opened: dict[str, int] = {}
+        for at, t in enumerate(tokens):
+            for mark in [m for m in opened if _PAIRED[m] == t]:
+                yield opened.pop(mark), at + 1, 2
+            if t in _PAIRED:
+                opened[t] = at
+
     def _is_filler(self, tokens: list[str]) -> bool:
         size = min(FILLER_WINDOW, max(3, len(tokens)))
         inside = [t in self.filler for t in tokens]
@@ -177,6 +189,7 @@ class ResidueIndex:
             label = self.entries[k][0]
             if place := self._covered(tokens, at, k):
                 (mentions if label == "mention" else found).append((*place, len(self.entries[k][2])))
+        found += self._slots(tokens)
         if any(not any(m[0] < f[1] and f[0] < m[1] and m[2] >= f[2] for m in mentions) for f in found):
             return True
         return self._is_filler(tokens)
