@@ -1,20 +1,24 @@
 """Near-duplicate records by pigeonring filtering.
 
-Records are sets of words. A Jaccard similarity of at least 7/10 of sets of a and b words means that they differ in at
-most (a + b) * 3/17 words, a Hamming distance within a budget. The words are divided by hash into more segments, put in a
-ring, than the budget has differences. Then the pigeonring principle holds: from some segment on, every chain of l
-consecutive segments differs by less than l words in all: the first is equal, the first two differ by one word at most,
-and so on. Records therefore meet by chains: by the contents of l consecutive segments, from which words, fewer than l in
-both records together, may have been removed. Nothing is lost.
-
-A chain is made as long as it needs to be: while its words are so common that many records would share them, the next
-segment is added. This depends only on the chain's words and the words' frequencies over all records, so both records of a
-pair decide alike, and as the collection grows, chains grow with its logarithm instead of lists with its size.
+Records are sets of words. Their words, in the order of their hashes, form a ring, and two records are compared on the ring
+of their united words: every word there is a segment that differs if only one of the two has it. A Jaccard similarity of at
+least 7/10 means that at most 3/10 of the ring's segments differ. Then the pigeonring principle holds: from some segment
+on, every chain of l consecutive segments has at most l * 3/10 differences. In other words, the chain begins with three
+common words, and the next difference of either record is allowed only after c common words where c * 3/7 exceeds the
+differences so far. Nothing is lost, whatever the records' sizes.
+
+Each record therefore lists, from each of its words on, the common words with which such a chain may begin: it skips as
+many of its own words as the proportional budget allows at each place. Records meet where they list the same chain. A chain
+is followed until its words are rare enough together that few records are expected to share it. This depends only on the
+chain's words and on the words' frequencies over all records, so both records of a pair decide alike, and as the collection
+grows, chains grow with its logarithm instead of lists with its size.
 
 Of the pairs that meet, a parity sketch of 128 bits, whose distance is never above the true one, discards almost all
-others inside the join; the full Hamming check decides the rest. Budgets depend on the records' sizes, so records meet at
-size levels: a pair belongs to the level of its larger record. Records with the same words form one class, and the join
-runs over classes.
+others; the full Hamming check decides the rest. Records with the same words form one class, and all runs over classes.
+
+Chains move in columns: each batch of classes sends one row of packed numbers to each part of the key range, so the cost of
+a shuffled chain is a few bytes. Parts are sized by the number of chains; a key range that holds far more than its share is
+divided into chunks of classes, and each two chunks meet in a part of their own.
 """
 
 from __future__ import annotations
@@ -30,25 +34,26 @@ from pyspark.sql import functions as F
 from quern.functions.text import words
 from quern.llm.components import connected_components
 from quern.plans.lineage import cut_lineage
-from quern.plans.skew import attach_members, spread
+from quern.plans.skew import attach_members
 
 #: Similarity as a fraction, and the least number of distinct words.
 SIMILAR = (7, 10)
 LEAST_WORDS = 25
-#: Sizes of one level differ by less than this factor.
-LEVEL = 1.2
-#: Records that may share a chain by chance (about as many as cost less to compare than a longer chain costs), and the
-#: longest chain.
-SHARED, LONGEST = 8192, 4
-#: Word frequencies are kept by hash bucket: a table of fixed size. Weights are whole thousandths, so that sums are exact.
+#: Records expected to share a chain by chance: about as many as cost less to compare than a longer chain costs.
+SHARED = 256
+#: Word and chain frequencies are kept by hash bucket: tables of fixed size.
 BUCKETS = 1 << 16
+#: Chains that one part takes, and words whose chains a task lists at a time.
+PART, SLICE = 1_000_000, 1 << 17
 
 
 def word_sets(df: DataFrame, id_col: str, texts: list[str], least: int = LEAST_WORDS) -> DataFrame:
-    """Distinct ``id, words`` (sorted hashes of 64 bits of the distinct words of all ``texts``, null is empty) with enough words."""
+    """``id, words, d0, d1``: sorted hashes (64 bits) of the distinct words of all ``texts`` (null is empty) and a digest of
+    128 bits of them, for rows with an id and enough words."""
     whole = F.concat_ws("\n", *(F.col(c) for c in texts))
-    hashed = F.array_sort(F.transform(F.array_distinct(words(whole)), lambda w: F.xxhash64(w)))
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), hashed.alias("words")).where(F.size("words") >= least).distinct()
+    hashed = F.sort_array(F.array_distinct(F.transform(words(whole), lambda w: F.xxhash64(w))))
+    sets = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), hashed.alias("words")).where(F.size("words") >= least)
+    return sets.select("id", "words", F.xxhash64("words").alias("d0"), F.xxhash64(F.lit(1), "words").alias("d1"))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -60,126 +65,195 @@ def _bucket(mixed: np.ndarray) -> np.ndarray:
     return ((mixed >> np.uint64(44)) & np.uint64(BUCKETS - 1)).astype("int64")
 
 
-def word_weights(classes: DataFrame) -> tuple[np.ndarray, int]:
-    """Thousandths of -ln(share of classes) of every word bucket, over all classes, and the chain weight that suffices."""
+def _totals(df: DataFrame, count) -> np.ndarray:
+    """Sums of the bucket counts that ``count`` gives for each task's batches: a table of fixed size."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, "int64")
         for batch in batches:
-            n += np.bincount(_bucket(_mix(batch.column(0).flatten().to_numpy().view("uint64"))), minlength=BUCKETS)
+            n += count(batch)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
 
-    rows = classes.select("words").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df = np.ones(BUCKETS)
-    df[rows["bucket"].to_numpy(dtype="int64")] = rows["n"].to_numpy()
+    rows = df.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BUCKETS, "int64")
+    out[rows["bucket"].to_numpy(dtype="int64")] = rows["n"].to_numpy()
+    return out
+
+
+def word_weights(classes: DataFrame) -> tuple[np.ndarray, int]:
+    """Thousandths of -ln(share of classes) of every word bucket, over all classes, and the chain weight that suffices."""
+    df = _totals(classes.select("words"), lambda b: np.bincount(_bucket(_mix(_hashes(b.column(0))[0])), minlength=BUCKETS))
     total = max(1, classes.count())
-    weights = np.maximum(0, np.round(1000 * np.log(total / np.minimum(df, total)))).astype("int64")
+    weights = np.round(1000 * np.log(total / np.clip(df, 1, total))).astype("int64")
     return weights, int(1000 * math.log(max(1.0, total / SHARED)))
 
 
-def _removed(pick: np.ndarray, most: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """All ways to take up to ``most`` of ``count`` words away: (entry, places taken) for 0, 1, 2, ... words."""
-    entry, taken = pick, []
-    next_place = np.zeros(len(pick), "int64")
-    yield entry, taken
-    while True:
-        live = np.flatnonzero(most[entry] > len(taken))
-        entry, next_place, taken = entry[live], next_place[live], [x[live] for x in taken]
-        left = count[entry] - next_place
-        if not (left > 0).any():
-            return
-        rep = np.repeat(np.arange(len(entry)), np.maximum(left, 0))
-        begin = np.cumsum(np.maximum(left, 0)) - np.maximum(left, 0)
-        place = np.arange(len(rep)) - begin[rep] + next_place[rep]
-        entry, taken, next_place = entry[rep], [*(x[rep] for x in taken), place], place + 1
-        yield entry, taken
-
-
-def _chains(doc: np.ndarray, box: np.ndarray, word: np.ndarray, weight: np.ndarray, n: int, m: int, enough: int, salt: int):
-    """(document, key, removed, length) of the chains of ``n`` documents with ``m`` segments."""
-    order = np.lexsort((box, doc))
-    doc, box, word, weight = doc[order], box[order], word[order], weight[order]
-    cell = doc * m + box
-    size = np.bincount(cell, minlength=n * m)
+def _hashes(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a column of lists, and the lists' sizes."""
+    return lists.flatten().to_numpy().view("uint64"), np.diff(lists.offsets.to_numpy())
+
+
+def _chains(word: np.ndarray, size: np.ndarray, weights: np.ndarray, enough: int, similar: tuple[int, int], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, key) of the chains of all rows; ``word`` holds the rows' mixed words in ring order."""
+    part, whole = similar
+    # Any two similar records have so many words in common, so no chain needs to be longer.
+    longest = max(1, -(-part * least // whole))
     begin = np.cumsum(size) - size
-    seg = np.zeros(n * m, "uint64")
-    np.add.at(seg, cell, word)
-    heavy = np.bincount(cell, weights=weight, minlength=n * m).astype("int64")
-
-    who, last = np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
-    key = _mix(seg + _mix(last.astype("uint64") + np.uint64(1000 * salt)))
-    mass, gone = heavy.copy(), np.zeros(n * m, "int64")
-    for length in range(1, LONGEST + 1):
-        done = mass >= enough if length < min(LONGEST, m) else np.ones(len(mass), bool)
-        if done.any():
-            yield who[done], key[done], gone[done], np.full(int(done.sum()), length)
+    weight = weights[_bucket(word)]
+    row = np.repeat(np.arange(len(size)), size)
+    first = np.arange(len(word)) - begin[row]
+    key, mass, used, gone = _mix(word), weight.copy(), np.ones(len(word), "int64"), np.zeros(len(word), "int64")
+    for common in range(1, longest + 1):
+        done = (mass >= enough) if common < longest else np.ones(len(mass), bool)
+        yield row[done], key[done]
         rest = ~done
-        who, last, key, mass, gone = who[rest], last[rest], key[rest], mass[rest], gone[rest]
-        if not len(who):
+        row, first, key, mass, used, gone = row[rest], first[rest], key[rest], mass[rest], used[rest], gone[rest]
+        most = common * (whole - part) // part
+        live, skip, found = np.arange(len(row)), 0, []
+        while len(live := live[(gone[live] + skip <= most) & (used[live] + skip < size[row[live]])]):
+            at = begin[row[live]] + (first[live] + used[live] + skip) % size[row[live]]
+            found.append((row[live], first[live], _mix(key[live] * np.uint64(3) + word[at]), mass[live] + weight[at], used[live] + skip + 1, gone[live] + skip))
+            skip += 1
+        if not found:
             return
-        last = (last + 1) % m
-        at = who * m + last
-        parts = []
-        # A chain of one segment more may miss ``length`` words in both records together.
-        for entry, taken in _removed(np.arange(len(who)), length - gone, size[at]):
-            h, w = seg[at[entry]].copy(), heavy[at[entry]].copy()
-            for t in taken:
-                k = begin[at[entry]] + t
-                h -= word[k]
-                w -= weight[k]
-            parts.append((who[entry], last[entry], _mix(key[entry] + np.uint64(3) * h), mass[entry] + w, gone[entry] + len(taken)))
-        who, last, key, mass, gone = (np.concatenate(x) for x in zip(*parts))
-
-
-def _entries(least: int, similar: tuple[int, int], weights: np.ndarray, enough: int):
-    """The chains by which classes meet, computed for a whole batch at once."""
-    part, whole = similar
-    reach = math.floor(math.log(whole / part) / math.log(LEVEL) + 1e-9) + 1
+        row, first, key, mass, used, gone = (np.concatenate(x) for x in zip(*found))
+
 
-    def segments(level: int) -> int:
-        largest = math.ceil(least * LEVEL ** (level + 1))
-        return 2 * largest * (whole - part) // (whole + part) + 1
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(cls, mixed words, sizes) of parts of a batch (cls, words) with a bounded number of words, if rows allow."""
+    cls = batch.column(0).to_numpy()
+    h, size = _hashes(batch.column(1))
+    word, ends = _mix(h), np.cumsum(size)
+    a = 0
+    while a < len(size):
+        before = ends[a] - size[a]
+        b = max(a + 1, int(np.searchsorted(ends, before + SLICE, "right")))
+        yield cls[a:b], word[before : ends[b - 1]], size[a:b]
+        a = b
+
+
+def _sketches(word: np.ndarray, size: np.ndarray) -> np.ndarray:
+    row = np.repeat(np.arange(len(size)), size)
+    out = np.zeros((2, len(size)), "uint64")
+    bit = np.left_shift(np.uint64(1), (word >> np.uint64(3)) & np.uint64(63))
+    half = (word & np.uint64(1)).astype(bool)
+    for k, side in enumerate((half, ~half)):
+        np.bitwise_xor.at(out[k], row[side], bit[side])
+    return out
+
+
+_PACKED = "part long, a int, b int, chunks int, cls binary, size binary, sketch binary, at binary, key binary"
+
+
+def _entries(chains, parts: int, chunks: np.ndarray):
+    """Packed chains of every batch, one row for each part. ``chunks``: into how many chunks a key bucket's classes go."""
+    base = parts + np.concatenate([[0], np.cumsum(np.where(chunks > 1, chunks * chunks, 0))[:-1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(1)
-            size = np.diff(lists.offsets.to_numpy())
-            h = lists.flatten().to_numpy().view("uint64")
-            cls = batch.column(0).to_numpy()
-            row = np.repeat(np.arange(len(size)), size)
-            mixed = _mix(h)
-            weight = weights[_bucket(mixed)]
-            sketch = np.zeros((2, len(size)), "uint64")
-            bit = np.left_shift(np.uint64(1), (mixed >> np.uint64(3)) & np.uint64(63))
-            half = (mixed & np.uint64(1)).astype(bool)
-            np.bitwise_xor.at(sketch[0], row[half], bit[half])
-            np.bitwise_xor.at(sketch[1], row[~half], bit[~half])
-            own = np.floor(np.log(size / least) / math.log(LEVEL) + 1e-9).astype("int64")
-            for up in range(reach + 1):
-                level = own + up
-                for lv in np.unique(level):
-                    m = segments(int(lv))
-                    pick = np.flatnonzero(level == lv)
-                    place = np.full(len(size), -1)
-                    place[pick] = np.arange(len(pick))
-                    mine = place[row] >= 0
-                    box = ((mixed[mine] >> np.uint64(10)) % np.uint64(m)).astype("int64")
-                    for who, key, gone, length in _chains(place[row[mine]], box, mixed[mine], weight[mine], len(pick), m, enough, int(lv) + 1):
-                        who = pick[who]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(key.view("int64")),
-                                pa.array(cls[who]),
-                                # One number: own level, words removed, length, size.
-                                pa.array((size[who].astype("int64") << 16) | (length << 8) | (gone << 4) | (up == 0)),
-                                pa.array(sketch[0][who].view("int64")),
-                                pa.array(sketch[1][who].view("int64")),
-                            ],
-                            names=["key", "cls", "meta", "s0", "s1"],
-                        )
+            for cls, word, size in _slices(batch):
+                sketch = _sketches(word, size)
+                row, key = (np.concatenate(x) for x in zip(*chains(word, size)))
+                bucket = (key >> np.uint64(48)).astype("int64")
+                split = chunks[bucket] > 1
+                out: list[tuple] = []
+
+                def send(pick: np.ndarray, part: int, a: int = 0, b: int = 0, n: int = 1) -> None:
+                    who, at = np.unique(row[pick], return_inverse=True)
+                    low = key[pick].astype("uint32")
+                    out.append((part, a, b, n, cls[who].tobytes(), size[who].astype("int32").tobytes(), sketch[:, who].tobytes(), at.astype("uint32" if len(who) > 65536 else "uint16").tobytes(), low.tobytes()))
+
+                cold = np.flatnonzero(~split)
+                part = (((key[cold] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype("int64")
+                order = np.argsort(part, kind="stable")
+                cold, part = cold[order], part[order]
+                for picked in np.split(cold, np.flatnonzero(np.diff(part)) + 1) if len(cold) else []:
+                    send(picked, int((int(key[picked[0]]) >> 32) * parts >> 32))
+                hot = np.flatnonzero(split)
+                for u in np.unique(bucket[hot]):
+                    n = int(chunks[u])
+                    mine = hot[bucket[hot] == u]
+                    chunk = _chunk(cls[row[mine]], n)
+                    for c in np.unique(chunk):
+                        for other in range(n):
+                            a, b = min(c, other), max(c, other)
+                            send(mine[chunk == c], int(base[u] + a * n + b), int(a), int(b), n)
+                if out:
+                    columns = list(zip(*out))
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in _PACKED.split(", ")])
+
+    return run
+
+
+def _chunk(cls: np.ndarray, n: int) -> np.ndarray:
+    return (_mix(cls.view("uint64")) % np.uint64(n)).astype("int64")
+
+
+def _meetings(similar: tuple[int, int]):
+    """Pairs of classes of one part that share a chain and whose sketches and sizes allow the similarity."""
+    part, whole = similar
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        cls, size, s0, s1, at, key, seen = [], [], [], [], [], [], 0
+        for c, n, s, i, k in zip(*(rows[x] for x in ("cls", "size", "sketch", "at", "key"))):
+            own = np.frombuffer(c, "int64")
+            low = np.frombuffer(k, "uint32")
+            sketch = np.frombuffer(s, "uint64").reshape(2, -1)
+            cls.append(own)
+            size.append(np.frombuffer(n, "int32"))
+            s0.append(sketch[0])
+            s1.append(sketch[1])
+            at.append(np.frombuffer(i, "uint16" if len(i) == 2 * len(low) else "uint32").astype("int64") + seen)
+            key.append(low)
+            seen += len(own)
+        cls, size, s0, s1, at, key = (np.concatenate(x) for x in (cls, size, s0, s1, at, key))
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        size, s0, s1, own = size[at], s0[at], s1[at], cls[at]
+        n_chunks, first, second = rows["chunks"][0], rows["a"][0], rows["b"][0]
+        chunk = _chunk(own, n_chunks) if n_chunks > 1 else None
+        lefts: list[np.ndarray] = []
+        rights: list[np.ndarray] = []
+
+        def check(i, j) -> np.ndarray:
+            differ = np.bitwise_count(s0[i] ^ s0[j]).astype("int32") + np.bitwise_count(s1[i] ^ s1[j])
+            good = differ * (whole + part) <= (size[i] + size[j]) * (whole - part)
+            good &= (size[i] * whole >= size[j] * part) & (size[j] * whole >= size[i] * part) & (own[i] != own[j])
+            if chunk is not None and first != second:
+                good &= chunk[i] != chunk[j]
+            return good
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            lefts.append(np.minimum(own[i], own[j]))
+            rights.append(np.maximum(own[i], own[j]))
+
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        starts = np.append(0, ends[:-1])
+        length = ends - starts
+        # Short lists: all entries with the entry d places on; long ones: block against block.
+        short = np.repeat(length <= 48, length)
+        last = np.repeat(ends, length)
+        i, d = np.flatnonzero(short), 1
+        while len(i := i[i + d < last[i]]):
+            good = i[check(i, i + d)]
+            keep(good, good + d)
+            d += 1
+        for a, b in zip(starts[length > 48].tolist(), ends[length > 48].tolist()):
+            for x in range(a, b, 1024):
+                i = np.arange(x, min(x + 1024, b))[:, None]
+                for y in range(x, b, 1024):
+                    j = np.arange(y, min(y + 1024, b))[None, :]
+                    p, q = np.nonzero(check(i, j) & (i < j))
+                    keep(p + x, q + y)
+        left, right = np.concatenate([np.zeros(0, "int64"), *lefts]), np.concatenate([np.zeros(0, "int64"), *rights])
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        new = np.ones(len(left), bool)
+        new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        return pa.table({"cls_a": left[new], "cls_b": right[new]})
 
     return run
 
@@ -191,30 +265,27 @@ def similar_classes(sets: DataFrame, similar: tuple[int, int] = SIMILAR, least:
     """
     part, whole = similar
     sets = cut_lineage(sets)
-    classes = cut_lineage(sets.select("words").distinct().select(F.monotonically_increasing_id().alias("cls"), "words"))
-    members = cut_lineage(sets.join(classes, "words").select("cls", "id"))
+    distinct = sets.groupBy("d0", "d1").agg(F.first("words").alias("words"))
+    classes = cut_lineage(distinct.select(F.monotonically_increasing_id().alias("cls"), "words", "d0", "d1"))
+    members = cut_lineage(sets.select("id", "d0", "d1").distinct().join(classes.select("cls", "d0", "d1"), ["d0", "d1"]).select("cls", "id"))
+    classes = classes.select("cls", "words")
     weights, enough = word_weights(classes)
-    chains = _entries(least, similar, weights, enough)
-    # No column is ever null; saying so here keeps the optimiser from saying it differently on the two sides.
-    columns = ("key", "cls", "meta", "s0", "s1")
-    entries = classes.mapInArrow(chains, ", ".join(f"{c} long" for c in columns)).where(" AND ".join(f"{c} IS NOT NULL" for c in columns))
-    entries = spread(entries, "key")
-    size, length = (lambda s: F.shiftright(f"meta_{s}", 16)), F.shiftright("meta_b", 8).bitwiseAND(255)
-    gone, own = (lambda s: F.shiftright(f"meta_{s}", 4).bitwiseAND(15)), (lambda s: F.col(f"meta_{s}").bitwiseAND(1) == 1)
-    # Of a pair's two chains, one misses at most half of the words that both may miss.
-    side = lambda s: entries.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "meta", "s0", "s1")))
-    fewer = lambda s: gone(s) * 2 < F.shiftright(f"meta_{s}", 8).bitwiseAND(255)
-    differ = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
-    within = differ * (whole + part) <= (size("a") + size("b")) * (whole - part)
-    fits = (F.least(size("a"), size("b")) * whole >= F.greatest(size("a"), size("b")) * part) & (own("a") | own("b"))
-    once = F.when(fewer("b"), F.col("cls_a") < F.col("cls_b")).otherwise(F.col("cls_a") != F.col("cls_b"))
-    # Left to itself, this filter would sink below the exchange, and the two sides couldn't share one exchange.
-    after = gone("a") * 2 + F.spark_partition_id() * 0 < F.shiftright("meta_a", 8).bitwiseAND(255)
-    met = side("a").where(after).join(side("b"), "key").where(within & once & (gone("a") + gone("b") < length) & fits)
-    met = met.select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b")).distinct()
+    chains = lambda word, size: _chains(word, size, weights, enough, similar, least)
+
+    def listed(batch: pa.RecordBatch) -> np.ndarray:
+        keys = (key for _, word, size in _slices(batch) for _, key in chains(word, size))
+        return sum((np.bincount((k >> np.uint64(48)).astype("int64"), minlength=BUCKETS) for k in keys), np.zeros(BUCKETS, "int64"))
+
+    n = _totals(classes, listed)
+    total = int(n.sum())
+    parts = max(1, -(-total // PART))
+    # A bucket with far more chains than the others and than a part should take has a hot chain.
+    hot = (n > PART // 4) & (n > 4 * total // BUCKETS)
+    chunks = np.where(hot, np.maximum(2, -(-2 * n // PART)), 1)
+    packed = classes.mapInArrow(_entries(chains, parts, chunks), _PACKED)
+    met = packed.groupBy("part").applyInArrow(_meetings(similar), "cls_a long, cls_b long").distinct()
     of = lambda s: classes.select(F.col("cls").alias(f"cls_{s}"), F.col("words").alias(f"words_{s}"))
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    met = met.join(of("a"), "cls_a").join(of("b"), "cls_b").withColumn("common", common)
+    met = met.join(of("a"), "cls_a").join(of("b"), "cls_b").withColumn("common", F.size(F.array_intersect("words_a", "words_b")))
     links = met.where(F.col("common") * whole >= (F.size("words_a") + F.size("words_b") - F.col("common")) * part)
     return members, links.select("cls_a", "cls_b")
 

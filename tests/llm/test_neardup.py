@@ -31,10 +31,11 @@ def sets(rows):
     return {(r[0], frozenset(" ".join(x or "" for x in r[1:4]).lower().replace(",", " ").split())) for r in rows if r[0]}
 
 
-@pytest.mark.parametrize("shared", [4096, 20, 1, 0.001])
-def test_pairs_match_brute_force(spark, monkeypatch, shared):
-    # The fewer records may share a chain, the longer chains are.
+@pytest.mark.parametrize(("shared", "part"), [(4096, 1_000_000), (20, 300), (1, 20_000), (0.001, 1000)])
+def test_pairs_match_brute_force(spark, monkeypatch, shared, part):
+    # The fewer records may share a chain, the longer chains are; the less a part takes, the more buckets are hot.
     monkeypatch.setattr(neardup, "SHARED", shared)
+    monkeypatch.setattr(neardup, "PART", part)
     rows = rows_of(random.Random(8))
     got = [tuple(x) for x in neardup.similar_pairs(spark.createDataFrame(rows, SCHEMA), "id", TEXTS).collect()]
     s = [(i, w) for i, w in sets(rows) if len(w) >= 25]
@@ -68,3 +69,20 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 102)], "a long, b long")
     got = {x["node"]: x["label"] for x in connected_components(links).collect()}
     assert all(got[k] == 0 for k in range(41)) and got[102] == 100
+
+
+def test_a_crowd_of_near_copies(spark, monkeypatch):
+    # Their common chains fill one key bucket, whose classes are divided into chunks.
+    monkeypatch.setattr(neardup, "PART", 120)
+    r = random.Random(3)
+    base = [f"слово{k}" for k in range(40)]
+    rows = []
+    for k in range(150):
+        x = list(base)
+        for _ in range(r.randint(0, 6)):
+            x[r.randrange(40)] = f"иное{r.randrange(30)}"
+        rows.append((f"{k:03}", " ".join(x), None, None, None))
+    got = [tuple(x) for x in neardup.similar_pairs(spark.createDataFrame(rows, SCHEMA), "id", TEXTS).collect()]
+    s = list(sets(rows))
+    brute = {(a, b) for a, x in s for b, y in s if a < b and len(x & y) * 10 >= len(x | y) * 7}
+    assert len(got) == len(set(got)) and set(got) == brute and len(brute) > 3000
