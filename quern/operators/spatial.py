@@ -144,9 +144,12 @@ def near_pairs(df: DataFrame, id_col: str, lat: str, lon: str, radius_m: float)
     joined = ends[0]
     for e in ends[1:]:
         joined = joined.unionByName(e)
-    joined = joined.select("a_level", "a_key", "b_level", "b_key", "a_n", "b_n", (_reach2("a_", "b_") <= sure2).alias("sure"))
+    one = ((F.col("a_level") == F.col("b_level")) & (F.col("a_key") == F.col("b_key"))).alias("one")
+    joined = joined.select("a_level", "a_key", "b_level", "b_key", "a_n", "b_n", one, (_reach2("a_", "b_") <= sure2).alias("sure"))
     chunks = lambda n: F.ceil(F.col(n) / F.lit(CHUNK)).cast("int")
     joined = joined.withColumn("a_salt", F.explode(F.sequence(F.lit(0), chunks("a_n") - 1))).withColumn("b_salt", F.explode(F.sequence(F.lit(0), chunks("b_n") - 1)))
+    # Two chunks of one leaf meet once.
+    joined = joined.where(~F.col("one") | (F.col("a_salt") <= F.col("b_salt")))
 
     leaves = tree.where("leaf").select("level", "key", "n")
     placed = points.select("id", "lat", "lon", F.explode(F.transform(path, lambda p: F.struct(p["level"].alias("level"), p["key"].alias("key")))).alias("p"))
@@ -155,6 +158,6 @@ def near_pairs(df: DataFrame, id_col: str, lat: str, lon: str, radius_m: float)
 
     found = joined.join(_as(placed, "a_"), ["a_level", "a_key", "a_salt"]).join(_as(placed, "b_"), ["b_level", "b_key", "b_salt"])
     found = found.where(F.col("sure") | (haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) * 1000 <= radius_m))
-    twice = (F.col("a_level") == F.col("b_level")) & (F.col("a_key") == F.col("b_key")) & (F.col("a_id") > F.col("b_id"))
+    twice = F.col("one") & (F.col("a_salt") == F.col("b_salt")) & (F.col("a_id") > F.col("b_id"))
     found = found.where((F.col("a_id") != F.col("b_id")) & ~twice)
     return found.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b")).distinct()

@@ -34,10 +34,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back.
 
     A lost executor then costs a re-read, not a recomputation, and iterative plans stay short. Unlike ``checkpoint()``
-    the last stage runs once and the files are columnar and compressed. The table is removed when the session ends.
+    the last stage runs once and the files are columnar and compressed. The table is removed when the session ends, or by
+    ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``cut_lineage`` wrote, once nothing that is still to run reads them."""
+    for df in tables:
+        if path := getattr(df, "_cut_at", None):
+            _remove(df.sparkSession, path)

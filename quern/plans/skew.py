@@ -46,3 +46,39 @@ def attach_members(pairs: DataFrame, members: DataFrame, key: str, name: str, le
     right = members.select(key, F.col("id").alias(name)).join(hot, key, "left")
     right = right.withColumn("_salt", F.pmod(F.xxhash64(name), chunks).cast("int")).drop("_chunks")
     return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def _chunked(df: DataFrame, key: str, chunk: int, name: str) -> DataFrame:
+    """``key, <name>``: into how many chunks the rows of a hot key go. At most ``1 / HOT_SHARE`` keys are hot."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    bar = max(chunk, int(total * HOT_SHARE))
+    return counts.where(F.col("_n") > bar).select(key, F.ceil(F.col("_n") / bar).cast("int").alias(name))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, chunk: int = 2048) -> DataFrame:
+    """Inner join on ``key`` where both sides may have hot keys: each side's rows of a hot key are cut into chunks by its id,
+    and every chunk meets every chunk of the other side in a place of its own. Both inputs are read twice."""
+    a, b = F.broadcast(_chunked(left, key, chunk, "_ka")), F.broadcast(_chunked(right, key, chunk, "_kb"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(1))
+    part = lambda c, k: F.pmod(F.xxhash64(c), n(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), n(k) - 1))
+    left = left.join(a, key, "left").join(b, key, "left").withColumn("_sa", part(left_id, "_ka")).withColumn("_sb", every("_kb")).drop("_ka", "_kb")
+    right = right.join(a, key, "left").join(b, key, "left").withColumn("_sb", part(right_id, "_kb")).withColumn("_sa", every("_ka")).drop("_ka", "_kb")
+    return left.join(right, [key, "_sa", "_sb"]).drop("_sa", "_sb")
+
+
+def self_pairs(df: DataFrame, key: str, value: str, chunk: int = 2048) -> DataFrame:
+    """``key, <value>_a < <value>_b``: all pairs of distinct values of a key, for ``df`` (key, value) without repeats.
+
+    A key with many values is cut into chunks; each two chunks meet in a place of their own. ``df`` is read twice.
+    """
+    hot = F.broadcast(_chunked(df, key, chunk, "_k"))
+    n = F.coalesce("_k", F.lit(1))
+    cut = df.select(key, value).join(hot, key, "left").withColumn("_c", F.pmod(F.xxhash64(value), n).cast("int"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
+    cut = cut.select(key, F.least("_c", "_other").alias("_low"), F.greatest("_c", "_other").alias("_high"), "_c", value)
+    side = lambda s: cut.select(key, "_low", "_high", F.col("_c").alias(f"_c_{s}"), F.col(value).alias(f"{value}_{s}"))
+    met = side("a").join(side("b"), [key, "_low", "_high"]).where(F.col(f"{value}_a") < F.col(f"{value}_b"))
+    # Two chunks' place holds pairs across only; a chunk's own pairs meet in its own place.
+    return met.where((F.col("_low") == F.col("_high")) | (F.col("_c_a") != F.col("_c_b"))).select(key, f"{value}_a", f"{value}_b")

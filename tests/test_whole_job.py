@@ -4,7 +4,6 @@ import pytest
 
 from quern import ranking_queries as Q
 from quern.config import SCORES
-from quern.llm.residue import ResidueIndex
 from quern.operators import candidates as C
 
 N_QUERIES = 900
@@ -91,9 +90,3 @@ def test_every_vector_is_scored(spark, tmp_path):
     rows = [(k, k % 2, [1.0, float(k)]) for k in range(30)]
     spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert {(r["vec_id"], r["label"]) for r in Q.microcat_score(spark, str(tmp_path)).collect()} == {(k, x) for k in range(30) for x in range(2)}
-
-
-def test_slots_of_any_length_are_residue():
-    index = ResidueIndex({}, 100)
-    assert all(map(index.matches, ["Цена {{ price | default('x') | round(2) }} руб", "Адрес {{ order.delivery.address.street.name }}", "{% if user.is_active and user.has_paid %} да"]))
-    assert not any(map(index.matches, ["Цена }} без начала, затем совсем другие слова подряд и лишь потом {{ без конца", "Обычный текст мастера"]))
