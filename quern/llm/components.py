@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.lineage import cut_lineage
+from quern.plans.lineage import cut_lineage, discard
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -21,8 +21,10 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("next"), F.col("label").alias("old"))
         root = labels.select(F.col("node").alias("r"), F.col("label").alias("top"))
         step = hooked.join(root, hooked["next"] == root["r"], "left").select("node", F.least("next", F.coalesce("top", "next")).alias("label"), "old")
-        step = cut_lineage(step)
-        labels = step.select("node", "label")
-        if step.where("label <> old").isEmpty():
-            return labels
+        before, labels = labels, cut_lineage(step)
+        settled = labels.where("label <> old").isEmpty()
+        discard(before)
+        if settled:
+            discard(both)
+            return labels.select("node", "label")
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")

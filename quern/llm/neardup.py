@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import words
 from quern.llm.components import connected_components
-from quern.plans.lineage import cut_lineage
+from quern.plans.lineage import cut_lineage, discard
 from quern.plans.skew import attach_members
 
 #: Similarity as a fraction, and the least number of distinct words.
@@ -268,6 +268,7 @@ def similar_classes(sets: DataFrame, similar: tuple[int, int] = SIMILAR, least:
     distinct = sets.groupBy("d0", "d1").agg(F.first("words").alias("words"))
     classes = cut_lineage(distinct.select(F.monotonically_increasing_id().alias("cls"), "words", "d0", "d1"))
     members = cut_lineage(sets.select("id", "d0", "d1").distinct().join(classes.select("cls", "d0", "d1"), ["d0", "d1"]).select("cls", "id"))
+    discard(sets)
     classes = classes.select("cls", "words")
     weights, enough = word_weights(classes)
     chains = lambda word, size: _chains(word, size, weights, enough, similar, least)

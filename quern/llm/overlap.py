@@ -10,7 +10,8 @@ the text's squared norm without its six heaviest terms; this bound is exact, and
   enter the inverted lists (on both sides);
 * residual norm: a pair met in the lists goes on only if its dot product so far plus the norm of what isn't listed (of the
   text whose list ends first in the common order) can still reach the bound; a few terms more than needed are listed, so
-  that one common term alone doesn't. The lists are also divided by text length, which differs by two at most;
+  that one common term alone doesn't. The lists are also divided by text length, which differs by two at most, and a list
+  that is still long is cut into chunks on both sides;
 * exact dot products of the remaining pairs are held against the bound before the edit distance is computed.
 
 Texts of few letters have no such bound. They meet by what is left of them when up to two characters are removed.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import same_shape_words
 from quern.plans.lineage import cut_lineage
-from quern.plans.skew import attach_members
+from quern.plans.skew import attach_members, salted_join
 
 #: Document frequencies are kept by term bucket: the table has this fixed size, whatever the data.
 BUCKETS = 1 << 16
@@ -39,6 +40,8 @@ EDITS = 2
 #: Terms that ``EDITS`` edits can change, and terms listed besides: as many at least must be met.
 LOST = 3 * EDITS
 BESIDES = 3
+#: A list longer than this, and than a thousandth of all entries, is cut into chunks.
+HOT_LIST = 4096
 
 
 def normal_text(column: str):
@@ -157,12 +160,12 @@ def matching_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     left, right = once(left), once(right)
     weights = term_weights(left.select("text").unionByName(right.select("text")))
     schema = "term string, id long, w double, rest double, edge double, bound double"
-    a = left.mapInPandas(_lists(weights, EDITS), schema)
-    b = right.mapInPandas(_lists(weights, 0), schema)
+    a = cut_lineage(left.mapInPandas(_lists(weights, EDITS), schema))
+    b = cut_lineage(right.mapInPandas(_lists(weights, 0), schema))
     side = lambda df, s: df.select("term", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "w", "rest", "edge", "bound")))
     # The list that ends first ends with the heavier term; what its text has beyond is all that may still be shared.
     first = F.when(F.col("edge_a") > F.col("edge_b"), F.col("rest_a")).when(F.col("edge_b") > F.col("edge_a"), F.col("rest_b")).otherwise(F.greatest("rest_a", "rest_b"))
-    met = side(a, "a").join(side(b, "b"), "term").select("id_a", "id_b", "w_a", (F.greatest("bound_a", "bound_b") - first - 1e-6).alias("needed"))
+    met = salted_join(side(a, "a"), side(b, "b"), "term", "id_a", "id_b", HOT_LIST).select("id_a", "id_b", "w_a", (F.greatest("bound_a", "bound_b") - first - 1e-6).alias("needed"))
     # What is needed is the same in all rows of a pair. Only numbers are shuffled; texts join the pairs that are left.
     met = met.groupBy("id_a", "id_b").agg(F.sum("w_a").alias("dot"), F.max("needed").alias("needed")).where("dot >= needed")
     for s, df in (("a", left), ("b", right)):

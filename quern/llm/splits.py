@@ -3,8 +3,8 @@
 Records of one component (here: one search, however it was typed) get one split. Components are divided into many equal
 bins by the largest-differencing method: every partial solution is a tuple of bin sums; the two with the largest spread
 are combined repeatedly, the heaviest bins of one with the lightest of the other. Blocks of components are solved side by
-side, and the blocks' tuples, ``BINS`` numbers each, are combined by the same method. Whole bins are then allotted to the
-splits, heaviest first, each to the split that is furthest below its share.
+side, and the blocks' tuples, ``BINS`` numbers each, are combined by the same method, a few blocks a task and round, until
+one is left. Whole bins are then allotted to the splits, heaviest first, each to the split that is furthest below its share.
 """
 
 from __future__ import annotations
@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import same_shape_words
 from quern.plans.lineage import cut_lineage
-from quern.plans.skew import attach_members, join_weighted
+from quern.plans.skew import attach_members, join_weighted, self_pairs
 
 #: Bins; a multiple of 100 fits whole percentages.
 BINS = 200
 #: Components that one task divides; more blocks are made as the number of components grows.
 BLOCK = 50_000
+#: Blocks whose bins one task combines in a round.
+FAN = 64
+#: Variants of one component that one task pairs, if they are more than a thousandth of all.
+CROWD = 2048
 
 
 def largest_differencing(solutions: list[list[tuple[float, object]]], bins: int) -> list[tuple[float, object]]:
@@ -91,26 +95,38 @@ def assign_splits(rows: DataFrame, plan: DataFrame, component: str = "component"
     keyed = weights.select(F.col(component).alias("_c"), "_weight", F.pmod(F.xxhash64(component), F.lit(blocks)).alias("_block"))
     local = cut_lineage(keyed.groupBy("_block").applyInPandas(divide, "_c string, _weight long, _block long, _local int"))
 
-    # BINS numbers a block, each of up to BLOCK components: under a hundredth of the components' number.
-    names = [(r["split_name"], float(r["share_percent"] or 0)) for r in plan.orderBy("split_name").collect()]
-    names = [(n, s) for n, s in names if s > 0]
-
-    def allot(pdf: pd.DataFrame) -> pd.DataFrame:
+    # Blocks' tuples are combined in rounds, so no task holds more than FAN of them.
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_block", "_w", "_local"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
         parts = [[(w, k) for k, w in zip(g.index.tolist(), g["_w"].tolist())] for _, g in pdf.groupby("_block", sort=True)]
-        solved = largest_differencing(parts, bins)
-        whole = sum(w for w, _ in solved) or 1
-        wanted = [s / sum(s for _, s in names) * whole for _, s in names]
-        split = [""] * len(pdf)
-        for w, tree in sorted(solved, key=lambda m: -m[0]):
-            to = max(range(len(names)), key=lambda i: wanted[i])
-            wanted[to] -= w
+        at, weight = [0] * len(pdf), [0] * len(pdf)
+        for n, (w, tree) in enumerate(largest_differencing(parts, bins)):
             for k in _members(tree):
-                split[k] = names[to][0]
-        return pd.DataFrame({"_block": pdf["_block"], "_local": pdf["_local"], "split_name": split})
-
-    sums = local.groupBy("_block", "_local").agg(F.sum("_weight").alias("_w"))
-    table = sums.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(allot, "_block long, _local int, split_name string")
+                at[k], weight[k] = n, w
+        return pd.DataFrame({"_block": pdf["_block"], "_local": pdf["_local"], "_up": pdf["_up"], "_at": at, "_sum": weight})
+
+    sums = cut_lineage(local.groupBy("_block", "_local").agg(F.sum("_weight").alias("_w")))
+    steps = []
+    while blocks > 1:
+        blocks = -(-blocks // FAN)
+        step = cut_lineage(sums.withColumn("_up", F.floor(F.col("_block") / FAN)).groupBy("_up").applyInPandas(combine, "_block long, _local int, _up long, _at int, _sum long"))
+        steps.append(step)
+        sums = step.groupBy(F.col("_up").alias("_block"), F.col("_at").alias("_local")).agg(F.first("_sum").alias("_w"))
+
+    # At most ``bins`` rows and the rows of the plan are left.
+    names = [(r["split_name"], float(r["share_percent"] or 0)) for r in plan.orderBy("split_name").collect()]
+    names = [(n, s) for n, s in names if s > 0]
+    if not names:
+        raise ValueError("the plan gives no split a share")
+    wanted = [s / sum(s for _, s in names) * total for _, s in names]
+    chosen = []
+    for r in sorted(sums.collect(), key=lambda r: (-r["_w"], r["_local"])):
+        to = max(range(len(names)), key=lambda i: wanted[i])
+        wanted[to] -= r["_w"]
+        chosen.append((r["_block"], r["_local"], names[to][0]))
+    table = rows.sparkSession.createDataFrame(chosen, "_block long, _local int, split_name string")
+    for step in reversed(steps):
+        table = step.select("_block", "_local", F.col("_up").alias("u"), F.col("_at").alias("a")).join(table.select(F.col("_block").alias("u"), F.col("_local").alias("a"), "split_name"), ["u", "a"]).drop("u", "a")
     chosen = local.join(table, ["_block", "_local"]).select(F.col("_c").alias(component), "_weight", "split_name")
     return join_weighted(rows, chosen, component, "_weight", total)
 
@@ -118,15 +134,14 @@ def assign_splits(rows: DataFrame, plan: DataFrame, component: str = "component"
 def variant_pairs(assigned: DataFrame, id_col: str, raw: list[str], component: str = "component", split: str = "split_name") -> DataFrame:
     """Pairs ``<id>_a < <id>_b`` of distinct ids in one component and split whose raw columns differ (null differs from empty).
 
-    Raw variants of a component are paired first; ids are attached afterwards, in salted chunks where a variant has many,
-    so the work follows the result and never the square of a component.
+    Raw variants of a component are paired first, in chunks where it has many; ids are attached afterwards, in salted chunks
+    where a variant has many, so the work follows the result and no task takes a whole component. Digests of 128 bits stand
+    for component and variant.
     """
     digest = F.md5(F.concat_ws("\u0001", *(F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in raw)))
-    variant = F.xxhash64(F.col(component), F.col(split), digest)
-    ids = cut_lineage(assigned.where(F.col(id_col).isNotNull()).select(component, split, digest.alias("raw"), variant.alias("variant"), F.col(id_col).alias("id")).distinct())
-    variants = ids.select(component, split, "raw", "variant").distinct()
-    side = lambda s: variants.select(component, split, F.col("raw").alias(f"raw_{s}"), F.col("variant").alias(f"variant_{s}"))
-    pairs = side("a").join(side("b"), [component, split]).where("raw_a < raw_b").select("variant_a", "variant_b")
+    variant = F.md5(F.concat_ws("\u0001", F.col(component), F.col(split), digest))
+    ids = cut_lineage(assigned.where(F.col(id_col).isNotNull()).select(F.md5(F.concat_ws("\u0001", component, split)).alias("key"), variant.alias("variant"), F.col(id_col).alias("id")).distinct())
+    pairs = self_pairs(cut_lineage(ids.select("key", "variant").distinct()), "key", "variant", CROWD).select("variant_a", "variant_b")
     for s in "ab":
         pairs = attach_members(pairs, ids.select(F.col("variant").alias(f"variant_{s}"), "id"), f"variant_{s}", f"id_{s}")
     found = pairs.where(F.col("id_a") != F.col("id_b"))

@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from quern.llm import overlap
+from quern.plans import skew
 
 CYR = "абвгдеклмнопрст"
 
@@ -25,7 +28,11 @@ def edited(r, t):
     return " ".join(t.split())
 
 
-def test_no_match_is_lost(spark):
+@pytest.mark.parametrize("share", [skew.HOT_SHARE, 0.0])
+def test_no_match_is_lost(spark, monkeypatch, share):
+    # Without a share, every list of more than three entries is cut into chunks.
+    monkeypatch.setattr(skew, "HOT_SHARE", share)
+    monkeypatch.setattr(overlap, "HOT_LIST", 4096 if share else 3)
     r = random.Random(5)
     base = ["".join(r.choice(CYR) for _ in range(r.randint(1, 4))) for _ in range(40)]
     base += [" ".join("".join(r.choice(CYR) for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 6))) for _ in range(120)]

@@ -28,3 +28,9 @@ def test_residue(spark, rows):
     kept = {x["doc_id"] for x in residue.clean_documents(df).collect()}
     assert kept == {k for k, _, _ in rows if k is None or k >= len(FOUND)}
     assert residue.residue_documents(df.limit(0)).count() == 0
+
+
+def test_slots_of_any_length_are_residue():
+    index = residue.ResidueIndex({}, 100)
+    assert all(map(index.matches, ["Цена {{ price | default('x') | round(2) }} руб", "Адрес {{ order.delivery.address.street.name }}", "{% if user.is_active and user.has_paid %} да"]))
+    assert not any(map(index.matches, ["Цена }} без начала, затем совсем другие слова подряд и лишь потом {{ без конца", "Обычный текст мастера"]))

@@ -2,7 +2,10 @@ import random
 import unicodedata
 from collections import Counter, defaultdict
 
+import pytest
+
 from quern.llm import splits
+from quern.plans import skew
 
 RAW = ["search_query", "search_infm_params_text", "search_category"]
 SCHEMA = "interaction_id long, search_query string, search_infm_params_text string, search_category long"
@@ -29,7 +32,10 @@ def table(spark):
     return rows + rows[290:310]
 
 
-def test_pairs_match_brute_force(spark):
+@pytest.mark.parametrize("share", [skew.HOT_SHARE, 0.0])
+def test_pairs_match_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(skew, "HOT_SHARE", share)
+    monkeypatch.setattr(splits, "CROWD", 2048 if share else 3)
     rows = table(spark)
     df = spark.createDataFrame(rows, SCHEMA)
     plan = spark.createDataFrame([("train", 80), ("validation", 10), ("test", 10)], "split_name string, share_percent long")
@@ -42,7 +48,10 @@ def test_pairs_match_brute_force(spark):
     assert got == brute and len(got) > 500
 
 
-def test_splits_keep_components_and_shares(spark):
+@pytest.mark.parametrize("fan", [2, 64])
+def test_splits_keep_components_and_shares(spark, monkeypatch, fan):
+    # With two blocks a task, the blocks' bins are combined in several rounds.
+    monkeypatch.setattr(splits, "FAN", fan)
     rows = table(spark)
     plan = spark.createDataFrame([("train", 80), ("validation", 10), ("test", 10), ("none", 0)], "split_name string, share_percent long")
     df = splits.search_components(spark.createDataFrame(rows, SCHEMA))
