@@ -1 +1 @@
-"""Quern: a Spark-native engine for two-stage retrieval, ranking and corpus preparation."""
+"""Quern: data processing for marketplace search on Spark DataFrames."""

@@ -9,6 +9,7 @@ SIGNALS = ("params_coverage", "text_coverage", "text_similarity", "location_matc
 SCORES = ("params_coverage_score", "text_coverage_score", "text_similarity_score", "location_match_score", "microcat_match_score")
 
 
+# The defaults.
 @dataclass(frozen=True)
 class GeneratorConfig:
     """``signal_weights`` needs all five signals; ``pair_chunks`` is into how many parts items are cut for scoring."""

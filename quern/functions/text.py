@@ -35,20 +35,28 @@ def tokens(text: Column, min_len: int = 2, drop_stopwords: bool = True, stopword
     return found
 
 
+def prefix(text: Column, length: int = 200) -> Column:
+    """The first ``length`` code points, as a text encoder reads them; null is empty."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, length)
+
+
 def lemmatize(df: DataFrame, column: str, lemmas: DataFrame, stopwords: Iterable[str] = STOPWORDS) -> DataFrame:
     """Replaces the tokens of array ``column`` by ``lemmas`` (token, lemma); unknown tokens and those without Cyrillic stay.
 
-    The dictionary is joined to the exploded tokens, then stopwords are dropped, as a lemma may be one. Order is kept.
+    The tokens are those before stopwords are dropped (``tokens(..., drop_stopwords=False)``). The dictionary is joined to the
+    exploded tokens; then the stopwords go, themselves lemmatised. Order and repeats are kept.
     """
     keyed = df.withColumn("_row", F.monotonically_increasing_id())
     rows = keyed.select("_row", F.posexplode(column).alias("_pos", "token"))
     known = lemmas.where(F.col("token").rlike("[а-яА-ЯёЁ]")).groupBy("token").agg(F.min("lemma").alias("lemma"))
+    listed = df.sparkSession.createDataFrame([(w,) for w in stopwords], "token string")
+    stop = listed.join(known, "token", "left").select(F.coalesce("lemma", "token").alias("lemma")).distinct()
     done = (
         rows.join(known, "token", "left")
         .select("_row", "_pos", F.coalesce("lemma", "token").alias("lemma"))
-        .where(~F.col("lemma").isin(*stopwords))
+        .join(F.broadcast(stop), "lemma", "left_anti")
         .groupBy("_row")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "lemma"))), lambda x: x["lemma"]).alias("_done"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "lemma"))), lambda x: x["lemma"]).alias("_done"))
     )
     return keyed.join(done, "_row", "left").withColumn(column, F.coalesce("_done", F.array().cast("array<string>"))).drop("_row", "_done")
 

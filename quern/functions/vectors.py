@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of each side that meet in one matrix product.
+LEFT_BLOCK, RIGHT_BLOCK = 1024, 16_384
+
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product in double, in index order."""
@@ -43,3 +48,38 @@ def hash_embedding(df: DataFrame, id_col: str, tokens: str, dim: int = 64, name:
     packed = rows.groupBy("k").agg(F.map_from_entries(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "v")))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("float"))
     return packed.select(F.col("k").alias(id_col), l2_normalize(dense).alias(name))
+
+
+def block_products(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vector: str = "embedding", threshold: float | None = None, k: int | None = None) -> DataFrame:
+    """``<left_id>, <right_id>, similarity`` (dot product as float), block against block as matrix products in double.
+
+    Kept inside the block are the pairs that reach ``threshold``, compared as float, or each left row's ``k`` best of the
+    block, ties to the smaller id (the best of all blocks are still to be chosen), or all pairs. Null vectors take no part.
+    """
+    a = left.where(F.col(vector).isNotNull()).select(F.col(left_id).alias("a"), F.col(vector).alias("v"))
+    b = right.where(F.col(vector).isNotNull()).select(F.col(right_id).alias("b"), F.col(vector).alias("v"))
+    zero = F.lit(0).cast("long")
+    n_a, n_b = max(1, -(-a.count() // LEFT_BLOCK)), max(1, -(-b.count() // RIGHT_BLOCK))
+    a = a.withColumn("x", F.pmod(F.xxhash64("a"), F.lit(n_a))).withColumn("y", F.explode(F.sequence(zero, zero + (n_b - 1))))
+    b = b.withColumn("y", F.pmod(F.xxhash64("b"), F.lit(n_b))).withColumn("x", F.explode(F.sequence(zero, zero + (n_a - 1))))
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        ids = [one.column("a").combine_chunks(), two.column("b").combine_chunks()]
+        if one.num_rows and two.num_rows:
+            u, v = (np.array(t.column("v").combine_chunks().flatten().to_numpy(), "float64").reshape(t.num_rows, -1) for t in (one, two))
+            s = (u @ v.T).astype("float32")
+            if threshold is not None:
+                i, j = np.nonzero(s >= np.float32(threshold))
+            elif k is not None and k < s.shape[1]:
+                bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                i, j = np.nonzero(s >= bar[:, None])
+            else:
+                i, j = (x.ravel() for x in np.indices(s.shape))
+            value = s[i, j]
+        else:
+            i = j = np.zeros(0, "int64")
+            value = np.zeros(0, "float32")
+        return pa.table({left_id: ids[0].take(pa.array(i)), right_id: ids[1].take(pa.array(j)), "similarity": value})
+
+    kinds = dict(left.dtypes)[left_id], dict(right.dtypes)[right_id]
+    return a.groupBy("x", "y").cogroup(b.groupBy("x", "y")).applyInArrow(run, f"{left_id} {kinds[0]}, {right_id} {kinds[1]}, similarity float")

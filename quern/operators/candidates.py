@@ -1,4 +1,8 @@
-"""Candidate generation as one set-oriented plan: pairs behind the category filter, five signals, fusion, top k."""
+"""Candidate generation: category filter, five signals, fusion, top k.
+
+``generate*`` rank in blocks, without a table of all pairs (``blocks``). ``category_pairs`` and ``score_pairs`` form the pairs
+one by one, for small sets of queries and for other signals in place of the five.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from quern.config import SCORES, GeneratorConfig
 from quern.functions.text import Tokenizer, tokens
 from quern.functions.vectors import hash_embedding
 from quern.operators import signals as S
+from quern.operators.blocks import BlockRanker
 from quern.operators.fusion import fused_score, top_by, with_rank_terms
 from quern.plans.lineage import cut_lineage
 from quern.plans.skew import spread
@@ -23,12 +28,12 @@ def prepare_items(items: DataFrame, embed=hash_embedding, tokenizer: Tokenizer =
 
 
 def prepare_queries(queries: DataFrame, embed=hash_embedding, tokenizer: Tokenizer = tokens) -> DataFrame:
-    """Distinct queries with an id, their distinct tokens and their embedding."""
-    base = queries.where("query_id IS NOT NULL").distinct()
-    base = base.withColumns({"q_params": S.distinct_tokens(F.col("search_infm_params_text"), tokenizer), "q_text": S.distinct_tokens(F.col("search_query"), tokenizer)})
-    vectors = embed(base.groupBy("query_id").agg(F.min("q_text").alias("q_text")), "query_id", "q_text", name="q_embedding")
-    joined = base.join(vectors, "query_id", "left").drop("search_query", "search_infm_params_text")
-    return joined.withColumn("q_sparse", S.nonzero(F.col("q_embedding")))
+    """Distinct query rows with an id, numbered by ``uid``, their distinct tokens and their embedding. Rows of one id that
+    differ are queries of their own."""
+    base = queries.where("query_id IS NOT NULL").distinct().withColumn("uid", F.monotonically_increasing_id())
+    base = cut_lineage(base.withColumns({"q_params": S.distinct_tokens(F.col("search_infm_params_text"), tokenizer), "q_text": S.distinct_tokens(F.col("search_query"), tokenizer)}))
+    vectors = embed(base.select("uid", "q_text"), "uid", "q_text", name="q_embedding")
+    return base.join(vectors, "uid", "left").drop("search_query", "search_infm_params_text")
 
 
 def query_categories(queries: DataFrame, items: DataFrame, unspecified: int = 0) -> DataFrame:
@@ -39,8 +44,16 @@ def query_categories(queries: DataFrame, items: DataFrame, unspecified: int = 0)
     return joined.withColumn("filter_category", F.col("c")).drop("c")
 
 
+def category_sizes(queries: DataFrame, items: DataFrame, unspecified: int = 0) -> DataFrame:
+    """``query_categories`` and ``n_items``, how many items are behind each query's filter, from counts by category."""
+    counts = items.groupBy(F.col("item_category_id").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    joined = query_categories(queries, items, unspecified).join(counts, F.col("filter_category") == F.col("c"), "left").join(F.broadcast(total), F.lit(True))
+    return joined.withColumn("n_items", F.when(F.col("filter_category").isNull(), F.col("total")).otherwise(F.col("n"))).drop("c", "n", "total")
+
+
 def category_pairs(queries: DataFrame, items: DataFrame, config: GeneratorConfig = GeneratorConfig()) -> DataFrame:
-    """All (query, item) pairs behind the category filter, as two equi-joins on salted keys.
+    """All (query, item) pairs behind the category filter, as two equi-joins on salted keys: for small sets of queries.
 
     Nearly all items may be of one category, so items are cut into chunks and queries repeated for each chunk.
     """
@@ -55,35 +68,44 @@ def category_pairs(queries: DataFrame, items: DataFrame, config: GeneratorConfig
     return confined.unionByName(spread(free, "in_chunk").join(spread(i.drop("chunk", "in_category"), "in_chunk"), "in_chunk").drop("in_chunk"))
 
 
-def score_pairs(queries: DataFrame, items: DataFrame, config: GeneratorConfig = GeneratorConfig(), text_score: Column | None = None, semantic: DataFrame | None = None) -> DataFrame:
-    """``query_id, item_id``, the five scores (float) and ``location_distance_km`` for all pairs behind the filter.
+def score_pairs(queries: DataFrame, items: DataFrame, config: GeneratorConfig = GeneratorConfig(), text_score: Column | DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:
+    """``uid, query_id, item_id``, the five scores (float) and ``location_distance_km`` for all pairs behind the filter.
 
     ``queries`` and ``items`` as from ``prepare_*``. ``semantic`` (token, item_id) extends the coverage of params.
-    ``text_score`` replaces text coverage by any column over the pair's columns. Centroids come from all items.
+    ``text_score`` replaces text coverage: a column over the pair's columns, or a frame (query_id, item_id, score) in which
+    missing pairs score 0. Centroids come from all items.
     """
     places = S.location_centroids(items).withColumnRenamed("location_id", "_loc")
-    q = queries.join(places, queries["search_location_id"] == places["_loc"], "left").drop("_loc")
-    if semantic is not None:
-        found = semantic.groupBy("item_id").agg(F.collect_set("token").alias("semantic_tokens"))
-        items = items.join(found, "item_id", "left")
-    centroids = S.microcat_centroids(items)
-    per_microcat = S.microcat_scores(q.select("query_id", F.col("q_embedding").alias("embedding")).distinct(), centroids, "query_id")
-    table = per_microcat.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("item_microcat_id", F.lit(-1).cast("long")), "score"))).alias("microcat_scores"))
-    pairs = category_pairs(q.join(table, "query_id", "left"), items, config)
+    q = queries.join(places, queries["search_location_id"] == places["_loc"], "left").drop("_loc").withColumn("q_sparse", S.nonzero(F.col("q_embedding")))
+    items = with_semantic(items, semantic)
+    centroids = S.microcat_centroids(items).select(F.col("item_microcat_id").alias("_mc"), "centroid")
+    pairs = category_pairs(q, items.join(centroids, F.col("item_microcat_id").eqNullSafe(F.col("_mc")), "left").drop("_mc"), config)
+    if isinstance(text_score, DataFrame):
+        pairs = pairs.join(text_score.groupBy("query_id", "item_id").agg(F.max("score").cast("float").alias("_text")), ["query_id", "item_id"], "left")
+        text_score = F.coalesce("_text", F.lit(0.0))
     place = [F.col(c) for c in ("search_location_id", "centroid_lat", "centroid_lon", "item_location_id")] + [F.col("item_latitude").cast("double"), F.col("item_longitude").cast("double")]
-    params = S.coverage(F.col("q_params"), F.col("params_tokens")) if semantic is None else S.semantic_coverage(F.col("q_params"), F.col("params_tokens"), F.col("semantic_tokens"))
     return pairs.select(
+        "uid",
         "query_id",
         "item_id",
-        params.alias("params_coverage_score"),
+        S.coverage(F.col("q_params"), F.col("params_tokens")).alias("params_coverage_score"),
         (S.coverage(F.col("q_text"), F.col("text_tokens")) if text_score is None else text_score.cast("float")).alias("text_coverage_score"),
         S.sparse_similarity(F.col("q_sparse"), F.col("embedding")).alias("text_similarity_score"),
         S.location_match(*place, decay_km=config.location_decay_km).alias("location_match_score"),
         S.location_distance_km(*place).cast("float").alias("location_distance_km"),
-        F.coalesce(F.element_at("microcat_scores", F.coalesce("item_microcat_id", F.lit(-1).cast("long"))), F.lit(0.0).cast("float")).alias("microcat_match_score"),
+        S.sparse_similarity(F.col("q_sparse"), F.col("centroid")).alias("microcat_match_score"),
     )
 
 
+def with_semantic(items: DataFrame, semantic: DataFrame | None) -> DataFrame:
+    """``items`` whose params tokens include their matches by meaning: ``semantic`` (token, item_id)."""
+    if semantic is None:
+        return items
+    found = semantic.groupBy("item_id").agg(F.collect_set("token").alias("_more"))
+    both = F.array_union("params_tokens", F.coalesce("_more", F.array().cast("array<string>")))
+    return items.join(found, "item_id", "left").withColumn("params_tokens", both).drop("_more")
+
+
 def params_matches(queries: DataFrame, items: DataFrame, config: GeneratorConfig = GeneratorConfig(), embed=hash_embedding) -> DataFrame:
     """``token, item_id``: params tokens of ``queries`` whose embedding is near that of an item's params.
 
@@ -94,31 +116,52 @@ def params_matches(queries: DataFrame, items: DataFrame, config: GeneratorConfig
     return S.semantic_matches(embed(vocabulary, "token", "ts"), embed(texts, "item_id", "ts"), "item_id", config.params_similarity_threshold)
 
 
-def generate_with_features(queries: DataFrame, items: DataFrame, config: GeneratorConfig = GeneratorConfig(), **kwargs) -> DataFrame:
+def best_items(queries: DataFrame, items: DataFrame, config: GeneratorConfig, weightings: list[list[float]], semantic: DataFrame | None = None) -> DataFrame:
+    """The ``config.top_k`` best items of each query row under each weighting (``variant`` is its place), with ``query_id``.
+
+    ``queries`` and ``items`` as from ``prepare_*``, written once. ``semantic`` (token, item_id) extends the coverage of
+    params; null stands for the matches with ``config.params_similarity_threshold``. No pair table is formed.
+    """
+    matches = params_matches(queries, items, config) if semantic is None else semantic
+    places = S.location_centroids(items).withColumnRenamed("location_id", "_loc")
+    q = query_categories(queries, items, config.unspecified_category_value)
+    q = cut_lineage(q.join(places, q["search_location_id"] == places["_loc"], "left").drop("_loc"))
+    centroids = S.microcat_centroids(items).select(F.col("item_microcat_id").alias("_mc"), "centroid")
+    i = with_semantic(items, matches).join(centroids, F.col("item_microcat_id").eqNullSafe(F.col("_mc")), "left")
+    i = i.withColumns({"lat": F.col("item_latitude").cast("double"), "lon": F.col("item_longitude").cast("double")}).withColumnsRenamed({"params_tokens": "params", "text_tokens": "texts"})
+    best = BlockRanker(q, cut_lineage(i.drop("_mc", "item_latitude", "item_longitude")), weightings, config.top_k, config.rrf_k, config.location_decay_km).run()
+    return best.join(queries.select("uid", "query_id"), "uid")
+
+
+def generate_with_features(queries: DataFrame, items: DataFrame, config: GeneratorConfig = GeneratorConfig(), semantic: DataFrame | None = None, text_score: Column | DataFrame | None = None) -> DataFrame:
     """The best ``config.top_k`` items of each query with all scores, ``rrf_score`` and ``rrf_rank`` (from 1).
 
     Equal fused scores go to the smaller item id. Raw ``benchmark_queries`` and ``benchmark_items`` rows are accepted;
-    repeated rows count once, rows without id don't count. Params are also matched by meaning, with
-    ``config.params_similarity_threshold``, unless ``semantic`` (token, item_id) gives other matches.
+    repeated rows count once, rows without id don't count, and rows of one query id that differ are ranked apart. Params are
+    also matched by meaning, with ``config.params_similarity_threshold``, unless ``semantic`` (token, item_id) gives other
+    matches. Another text signal (``text_score``, see ``score_pairs``) is scored pair by pair.
     """
     tokenizer = lambda c: tokens(c, min_len=config.min_token_len)
     i = cut_lineage(prepare_items(items, tokenizer=tokenizer))
     q = cut_lineage(prepare_queries(queries, tokenizer=tokenizer))
-    if kwargs.get("semantic") is None:
-        kwargs["semantic"] = params_matches(q, i, config)
-    ranked = with_rank_terms(score_pairs(q, i, config, **kwargs), "query_id", list(SCORES))
-    fused = ranked.withColumn("rrf_score", fused_score(list(SCORES), config.weights(), config.rrf_k))
-    best = top_by(fused, "query_id", "rrf_score", "item_id", config.top_k)
+    if text_score is None:
+        best = best_items(q, i, config, [config.weights()], semantic)
+    else:
+        scored = score_pairs(q, i, config, text_score, params_matches(q, i, config) if semantic is None else semantic)
+        ranked = with_rank_terms(scored, "uid", "item_id", list(SCORES))
+        best = top_by(ranked.withColumn("rrf_score", fused_score(list(SCORES), config.weights(), config.rrf_k)), "uid", "rrf_score", "item_id", config.top_k)
     return best.select("query_id", "item_id", *SCORES, "location_distance_km", "rrf_score", "rrf_rank")
 
 
 def generate(queries: DataFrame, items: DataFrame, config: GeneratorConfig = GeneratorConfig(), **kwargs) -> DataFrame:
-    """``query_id, item_id, rrf_rank`` only."""
-    return generate_with_features(queries, items, config, **kwargs).select("query_id", "item_id", "rrf_rank")
+    """``query_id, item_id, rrf_rank`` only. Of differing rows of one query id one counts: as rows have no order, the
+    greatest by its columns."""
+    rest = [c for c in queries.columns if c != "query_id"]
+    one = queries.groupBy("query_id").agg(F.max(F.struct(*rest)).alias("_row")).select("query_id", "_row.*")
+    return generate_with_features(one, items, config, **kwargs).select("query_id", "item_id", "rrf_rank")
 
 
 def packed(candidates: DataFrame, rank: str = "rrf_rank") -> DataFrame:
     """``query_id, candidate_item_ids, n_candidates``: ids best first. A query has at most top_k candidates."""
     lists = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), "item_id"))).alias("x"))
     return lists.select("query_id", F.transform("x", lambda s: s["item_id"]).alias("candidate_item_ids"), F.size("x").cast("long").alias("n_candidates"))
-

@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.config import SCORES, GeneratorConfig
+from quern.config import SIGNALS, GeneratorConfig
 from quern.functions.vectors import dot
-from quern.operators.fusion import fused_score, with_rank_terms
+from quern.operators.candidates import best_items
 
-# The grid of thresholds; ablation variants as weights in the order of the signals.
+# The grid of thresholds.
 THRESHOLDS = (0.74, 0.76, 0.78, 0.80, 0.82, 0.84, 0.86, 0.88, 0.90)
-VARIANTS = {
-    "all signals": (1.0, 1.0, 1.0, 1.0, 1.0),
-    "no params coverage": (0.0, 1.0, 1.0, 1.0, 1.0),
-    "no text coverage": (1.0, 0.0, 1.0, 1.0, 1.0),
-    "no dense similarity": (1.0, 1.0, 0.0, 1.0, 1.0),
-    "no location": (1.0, 1.0, 1.0, 0.0, 1.0),
-    "no microcategory": (1.0, 1.0, 1.0, 1.0, 0.0),
-    "text coverage only": (0.0, 1.0, 0.0, 0.0, 0.0),
-}
+#: Ablation variants as weights in the order of the signals: all, each one left out, text coverage alone.
+VARIANTS = {"all signals": (1.0,) * len(SIGNALS)}
+VARIANTS |= {f"without {s}": tuple(float(t != s) for t in SIGNALS) for s in SIGNALS}
+VARIANTS |= {"text_coverage only": tuple(float(t == "text_coverage") for t in SIGNALS)}
 
 
 def recall_per_query(predictions: DataFrame, relevance: DataFrame, ks: list[int], rank: str = "rrf_rank") -> DataFrame:
@@ -33,8 +28,8 @@ def recall_per_query(predictions: DataFrame, relevance: DataFrame, ks: list[int]
 
 
 def recall_at_k(predictions: DataFrame, relevance: DataFrame, ks: list[int], rank: str = "rrf_rank") -> DataFrame:
-    """``k, recall_at_k``: the mean over queries."""
-    return recall_per_query(predictions, relevance, ks, rank).groupBy("k").agg(F.avg("recall").alias("recall_at_k"))
+    """``k, recall_at_k``: the mean over queries, by k."""
+    return recall_per_query(predictions, relevance, ks, rank).groupBy("k").agg(F.avg("recall").alias("recall_at_k")).orderBy("k")
 
 
 def relevant_item_coverage(relevance: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -48,22 +43,19 @@ def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")
 
 
-def ablation(scored: DataFrame, relevance: DataFrame, config: GeneratorConfig = GeneratorConfig(), ks: tuple[int, ...] = (50, 500), variants: dict = VARIANTS) -> DataFrame:
-    """``variant, n_queries, recall_<k>...``: ranks are computed once, all variants are fused from them.
+def ablation(queries: DataFrame, items: DataFrame, relevance: DataFrame, config: GeneratorConfig = GeneratorConfig(), ks: tuple[int, ...] = (50, 500), variants: dict = VARIANTS, semantic: DataFrame | None = None) -> DataFrame:
+    """``variant, n_queries, recall_<k>...``: all variants are fused from the same ranks, in one run over the blocks.
 
-    Only the relevant pairs are kept after ranking: what a variant's list of k holds is known from its positions.
+    ``queries`` and ``items`` as from ``prepare_*``, written once; ``relevance`` is (query_id, item_id).
     """
-    ranked = with_rank_terms(scored, "query_id", list(SCORES))
     names = list(variants)
-    for n, v in enumerate(names):
-        ranked = ranked.withColumn(f"f{n}", fused_score(list(SCORES), list(variants[v]), config.rrf_k))
-    order = lambda n: Window.partitionBy("query_id").orderBy(F.col(f"f{n}").desc(), F.col("item_id"))
-    ranked = ranked.withColumns({f"r{n}": F.row_number().over(order(n)) for n in range(len(names))})
-    known = relevance.distinct()
-    hits = known.join(ranked.select("query_id", "item_id", *(f"r{n}" for n in range(len(names)))), ["query_id", "item_id"], "left")
-    long = hits.select("query_id", F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.col(f"r{n}").alias("r")) for n, v in enumerate(names)))).alias("x"))
-    per_query = long.groupBy("x.variant", "query_id").agg(*(F.avg(F.coalesce(F.col("x.r") <= min(k, config.top_k), F.lit(False)).cast("double")).alias(f"recall_{k}") for k in ks))
-    return per_query.groupBy("variant").agg(F.count(F.lit(1)).alias("n_queries"), *(F.avg(f"recall_{k}").alias(f"recall_{k}") for k in ks))
+    best = best_items(queries, items, config, [list(variants[n]) for n in names], semantic)
+    found = best.groupBy("variant", "query_id", "item_id").agg(F.min("rrf_rank").alias("r"))
+    asked = relevance.select("query_id", "item_id").distinct().withColumn("variant", F.explode(F.array(*(F.lit(n).cast("long") for n in range(len(names))))))
+    hits = asked.join(found, ["variant", "query_id", "item_id"], "left")
+    per_query = hits.groupBy("variant", "query_id").agg(*(F.avg(F.coalesce(F.col("r") <= k, F.lit(False)).cast("double")).alias(f"recall_{k}") for k in ks))
+    name = F.element_at(F.array(*(F.lit(n) for n in names)), F.col("variant").cast("int") + 1)
+    return per_query.groupBy("variant").agg(F.count(F.lit(1)).alias("n_queries"), *(F.avg(f"recall_{k}").alias(f"recall_{k}") for k in ks)).withColumn("variant", name)
 
 
 def threshold_calibration(positive: DataFrame, negative: DataFrame, a: str = "a", b: str = "b", thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:

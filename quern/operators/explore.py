@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans import ranks
+from quern.plans.lineage import cut_lineage
+from quern.plans.ranks import quantiles, running_sums
+
 
 def same(a: str, b: str) -> Column:
     """1.0 where both are equal, else 0.0; null equals nothing."""
@@ -25,15 +29,30 @@ def location_dispersion(items: DataFrame, location: str = "item_location_id", la
     return stats.where(F.col("n_items") >= min_items)
 
 
+def _number(c: str) -> Column:
+    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
+
+def _stacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column_name, v``: the known numbers of all columns, in one pass."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), _number(c).alias("v")) for c in columns)))
+    return df.select(each.alias("x")).select("x.*").where("v IS NOT NULL")
+
+
 def propensity(chosen: DataFrame, population: DataFrame, binary: list[str] = [], numeric: list[str] = []) -> DataFrame:
-    """``feature, statistic, chosen, population, delta``: mean of binary, median of numeric columns; nulls and NaN don't count."""
+    """``feature, statistic, chosen, population, delta``: mean of binary, median of numeric columns; nulls and NaN don't
+    count. Medians are exact, from counts by value along a global sort."""
 
     def one(df: DataFrame, name: str) -> DataFrame:
-        number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        aggs = [F.avg(F.col(c).cast("int").cast("double")).alias(c) for c in binary] + [F.median(number(c)).alias(c) for c in numeric]
-        row = df.agg(*aggs)
-        parts = [F.struct(F.lit(c).alias("feature"), F.lit("rate" if c in binary else "median").alias("statistic"), F.col(c).alias(name)) for c in [*binary, *numeric]]
-        return row.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+        parts = []
+        if binary:
+            row = df.agg(*(F.avg(F.col(c).cast("int").cast("double")).alias(c) for c in binary))
+            parts.append(row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit("rate").alias("statistic"), F.col(c).alias(name)) for c in binary))).alias("x")).select("x.*"))
+        if numeric:
+            names = df.sparkSession.createDataFrame([(c,) for c in numeric], "feature string")
+            medians = quantiles(_stacked(df, numeric), "column_name", "v", [0.5])
+            parts.append(names.join(medians, F.col("feature") == F.col("column_name"), "left").select("feature", F.lit("median").alias("statistic"), F.col("quantile").alias(name)))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     return one(chosen, "chosen").join(one(population, "population"), ["feature", "statistic"]).withColumn("delta", F.col("chosen") - F.col("population"))
 
@@ -47,24 +66,34 @@ def missing_rates(df: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    """``value, n``, most frequent first; null doesn't count."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value")
+
+
+def nunique(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column_name, n_unique``: exact number of distinct non-null values of each column, from distinct values in long form."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns)))
+    values = df.select(each.alias("x")).select("x.*").where("v IS NOT NULL").distinct()
+    counts = values.groupBy(F.col("column_name").alias("_c")).agg(F.count(F.lit(1)).alias("n"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    return names.join(counts, F.col("column_name") == F.col("_c"), "left").select("column_name", F.coalesce("n", F.lit(0).cast("long")).alias("n_unique"))
 
 
 def nunique_by(df: DataFrame, group: str, column: str) -> DataFrame:
-    """Exact number of distinct values per group, in two steps, so no group is held in one task."""
+    """Exact number of distinct values per group, most first, in two steps, so no group is held in one task."""
     pairs = df.where(F.col(group).isNotNull() & F.col(column).isNotNull()).select(group, column).distinct()
-    return pairs.groupBy(group).agg(F.count(F.lit(1)).alias("n_unique"))
+    return pairs.groupBy(group).agg(F.count(F.lit(1)).alias("n_unique")).orderBy(F.col("n_unique").desc(), group)
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``column_name, n, mean, std, min, q25, q50, q75, max`` of numeric columns; nulls and NaN don't count. Quartiles are
-    exact, interpolated; counts by value are combined map-side."""
-    out = None
-    for c in columns:
-        v = df.select(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("v"))
-        row = v.agg(F.lit(c).alias("column_name"), F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), *(F.percentile("v", F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)), F.max("v").alias("max"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """``column_name, n, mean, std, min, q25, q50, q75, max`` of numeric columns in one pass; nulls and NaN don't count.
+    Quartiles are exact, interpolated, from counts by value along a global sort; without values they are null."""
+    long = _stacked(df, columns)
+    plain = long.groupBy("column_name").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    marks = quantiles(long, "column_name", "v", [0.25, 0.5, 0.75]).groupBy("column_name").agg(*(F.max(F.when(F.col("share") == q, F.col("quantile"))).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    joined = names.join(plain, "column_name", "left").join(marks, "column_name", "left")
+    return joined.select("column_name", F.coalesce("n", F.lit(0).cast("long")).alias("n"), "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
@@ -91,20 +120,21 @@ def encode_for_correlation(df: DataFrame) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
-    """``v, rank`` for each distinct value: computed on value counts, so rows are combined map-side and only the values are
-    sorted. Value counts pass one task in order; they are narrow, and as many as there are distinct values."""
-    counts = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("v", (F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2.0).alias("rank"))
+    """``v, rank`` for each distinct value, rising: counts by value are combined map-side and summed along a global sort."""
+    return ranks.average_ranks(df.select(F.col(column).alias("v")), [], "v", descending=False).select("v", "rank")
 
 
 def spearman(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``a, b, n, rho`` over rows where both are known; all pairs in one plan."""
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs)))
     known = df.select(each.alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL").groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    before = lambda c: F.coalesce(F.sum("n").over(Window.partitionBy("a", "b").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = lambda c: known.groupBy("a", "b", c).agg(F.sum("n").alias("n")).select("a", "b", c, (before(c) + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
-    k = known.join(ranks("x"), ["a", "b", "x"]).join(ranks("y"), ["a", "b", "y"])
+    known = cut_lineage(known)
+
+    def placed(c: str) -> DataFrame:
+        counts = known.groupBy("a", "b", c).agg(F.sum("n").alias("n"))
+        return running_sums(counts, ["a", "b"], [F.col(c).asc()], "n").select("a", "b", c, (F.col("before") + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
+
+    k = known.join(placed("x"), ["a", "b", "x"]).join(placed("y"), ["a", "b", "y"])
     s = lambda e: F.sum(F.col("n") * e)
     x, y = F.col("rx"), F.col("ry")
     sums = k.groupBy("a", "b").agg(F.sum("n").cast("double").alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("sxx"), s(y * y).alias("syy"), s(x * y).alias("sxy"))

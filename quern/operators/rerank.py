@@ -6,13 +6,16 @@ Spark has no listwise boosting; the ranker here learns from within-query differe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rerank(scored: DataFrame, score: str, k: int = 50) -> DataFrame:
-    """``query_id, item_id, rank``: the ``k`` best by ``score``; ties keep the incoming ``rrf_rank`` order."""
-    w = Window.partitionBy("query_id").orderBy(F.col(score).desc(), F.col("rrf_rank"))
+def rerank(scored: DataFrame, score: str, k: int = 50, ties: list[Column] | None = None) -> DataFrame:
+    """``query_id, item_id, rank``: the ``k`` best by ``score``; ties keep the incoming ``rrf_rank`` order, or go by ``ties``.
+
+    Every task keeps its own ``k`` best rows of a query before they are shuffled.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.col(score).desc(), *(ties or [F.col("rrf_rank")]))
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("query_id", "item_id", "rank")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.geo import haversine_km
 from quern.functions.text import Tokenizer, full_text, tokens
-from quern.functions.vectors import dot, mean_vectors
-from quern.plans.skew import spread
+from quern.functions.vectors import block_products, dot, mean_vectors
+from quern.plans.skew import salted_join
 
 
 def distinct_tokens(text: Column, tokenizer: Tokenizer = tokens) -> Column:
@@ -28,26 +28,25 @@ def coverage(query_tokens: Column, item_tokens: Column) -> Column:
 
 
 def sparse_coverage(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, query_tokens: str, item_tokens: str, semantic: DataFrame | None = None) -> DataFrame:
-    """``query_id, item_id, score`` of all pairs with a common token: an equi-join on the token.
+    """``query_id, item_id, score`` of all pairs with a common token: an equi-join on the token, hot tokens in chunks.
 
     ``semantic`` (token, item_id) adds matches of tokens that the item doesn't hold literally. Pairs without a match
-    score 0 and don't come out.
+    score 0 and don't come out. The result has a row for every pair that shares a token.
     """
     wanted = queries.select(query_id, F.explode(query_tokens).alias("token"), F.size(query_tokens).alias("n")).distinct()
     found = postings(items, item_id, item_tokens)
     if semantic is not None:
         found = found.unionByName(semantic.select("token", item_id)).distinct()
-    return wanted.join(found, "token").groupBy(query_id, item_id).agg((F.count(F.lit(1)) / F.max("n")).cast("float").alias("score"))
+    met = salted_join(wanted, found, "token", query_id, item_id)
+    return met.groupBy(query_id, item_id).agg((F.count(F.lit(1)) / F.max("n")).cast("float").alias("score"))
 
 
-def semantic_matches(vocabulary: DataFrame, items: DataFrame, item_id: str, threshold: float, chunks: int = 64) -> DataFrame:
+def semantic_matches(vocabulary: DataFrame, items: DataFrame, item_id: str, threshold: float) -> DataFrame:
     """``token, item_id`` where the token's vector and the item's reach ``threshold``, compared as float.
 
     The vocabulary (token, embedding) meets the items (item_id, embedding) block by block; null vectors match nothing.
     """
-    v = vocabulary.select("token", nonzero(F.col("embedding")).alias("tv"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    i = items.select(item_id, F.col("embedding").alias("iv"), F.pmod(F.xxhash64(item_id), F.lit(chunks)).cast("int").alias("chunk"))
-    return spread(v, "chunk").join(spread(i, "chunk"), "chunk").where(F.aggregate("tv", F.lit(0.0), lambda s, e: s + e["v"] * F.get(F.col("iv"), e["i"]).cast("double")).cast("float") >= F.lit(threshold).cast("float")).select("token", item_id)
+    return block_products(vocabulary, items, "token", item_id, threshold=threshold).select("token", item_id)
 
 
 def semantic_coverage(query_tokens: Column, item_tokens: Column, item_semantic: Column) -> Column:
@@ -100,9 +99,7 @@ def microcat_centroids(items: DataFrame, microcat: str = "item_microcat_id", vec
 
 def microcat_scores(queries: DataFrame, centroids: DataFrame, query_id: str, microcat: str = "item_microcat_id") -> DataFrame:
     """``query_id, microcat, score`` of each query against each centroid: scored once per microcategory, then looked up."""
-    c = centroids.select(microcat, "centroid", F.pmod(F.xxhash64(microcat), F.lit(8)).cast("int").alias("chunk"))
-    q = queries.select(query_id, F.col("embedding").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("chunk"))
-    return spread(q, "chunk").join(spread(c, "chunk"), "chunk").select(query_id, microcat, dense_similarity(F.col("qv"), F.col("centroid")).alias("score"))
+    return block_products(queries, centroids.withColumnRenamed("centroid", "embedding"), query_id, microcat).withColumnRenamed("similarity", "score")
 
 
 def item_text_tokens(tokenizer: Tokenizer = tokens) -> Column:

@@ -11,11 +11,15 @@ ITEM_ID = "^[0-9a-f]{16}$"
 
 def build_answer(predictions: DataFrame, query_ids: DataFrame, max_candidates: int = 50, rank: str = "rank") -> DataFrame:
     """``query_id, answer`` for each distinct query id: its first ``max_candidates`` ids, then without repeats, by spaces;
-    an empty answer where there is no prediction."""
+    an empty answer where there is no prediction. Where ``query_ids`` have a ``position``, the answer keeps it (the first of a
+    repeated id), so that it can be written in that order."""
     kept = predictions.where(F.col(rank) <= max_candidates) if rank in predictions.columns else predictions
     lists = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), "item_id"))).alias("x"))
     ids = F.array_distinct(F.slice(F.transform("x", lambda s: s["item_id"]), 1, max_candidates))
     answers = lists.select("query_id", F.array_join(ids, " ").alias("answer"))
+    if "position" in query_ids.columns:
+        asked = query_ids.groupBy("query_id").agg(F.min("position").alias("position"))
+        return asked.join(answers, "query_id", "left").select("query_id", F.coalesce("answer", F.lit("")).alias("answer"), "position")
     return query_ids.select("query_id").distinct().join(answers, "query_id", "left").select("query_id", F.coalesce("answer", F.lit("")).alias("answer"))
 
 

@@ -17,17 +17,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def join_weighted(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+def join_weighted(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (one row per ``key``, ``weight`` = its number of rows in ``rows``).
 
     The at most 1000 hot keys are broadcast, so their rows never move; all others take a shuffle join whose largest
     key has under a thousandth of the rows.
     """
+    keys = [key] if isinstance(key, str) else key
     bar = max(1, int(total * HOT_SHARE))
     hot = table.where(F.col(weight) > bar).drop(weight)
     cold = table.where(F.col(weight) <= bar).drop(weight)
-    from_hot = rows.join(F.broadcast(hot), key)
-    from_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    from_hot = rows.join(F.broadcast(hot), keys)
+    from_cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return from_hot.unionByName(from_cold)
 
 

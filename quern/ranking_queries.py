@@ -1,4 +1,4 @@
-"""Registered queries of the retrieval and ranking operators."""
+"""Registered queries of the search operators: signals, fusion, candidates, evaluation, exploration, answers."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.config import SCORES, GeneratorConfig
-from quern.functions.text import tokens
-from quern.functions.vectors import hash_embedding, mean_vectors
+from quern.functions.text import lemmatize, prefix, tokens
+from quern.functions.vectors import block_products, hash_embedding, mean_vectors
 from quern.operators import candidates as C
 from quern.operators import evaluate as V
 from quern.operators import explore as X
@@ -18,18 +18,17 @@ from quern.operators import rerank as R
 from quern.operators import signals as S
 from quern.operators import submission as U
 from quern.operators.features import FEATURE_COLUMNS, feature_table, features_by_priority, item_content_features
-from quern.operators.fusion import average_rank, fused_score, top_by, with_rank_terms
+from quern.operators.fusion import fused_score, top_by, with_rank_terms
 from quern.plans.lineage import cut_lineage
-from quern.plans.skew import spread
+from quern.plans.ranks import average_ranks
+from quern.plans.skew import join_weighted
 from quern.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Settings of the registered queries. ``VALIDATION`` and ``TRAINING`` are limits in the SQL only: the queries evaluate
-#: ``N_VALIDATION`` queries, as the reference does, and train on all reachable labels. ``TOP_K`` is the second stage's
-#: length (in the SQL, the first stage's too); the first stage keeps ``CONFIG.top_k`` = 500.
-TOP_K, VALIDATION, TRAINING, SEMANTIC = 50, 60, 60, 0.35
-N_VALIDATION = 800
+#: Settings of the registered queries: evaluated queries, the second stage's length, and the threshold of the semantic
+#: queries. The first stage keeps ``CONFIG.top_k`` = 500; training takes all reachable labels.
+N_VALIDATION, TOP_K, SEMANTIC = 800, 50, 0.35
 CONFIG = GeneratorConfig()
 
 
@@ -50,6 +49,14 @@ def tokenize_docs(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
+def tokenize_lemmas(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of the searches by a lemma dictionary. There is no dictionary here, so one is made by rule: endings are cut."""
+    searches = cut_lineage(_queries(spark, d).select("query_id", "search_query").where("query_id IS NOT NULL").distinct().withColumn("ts", tokens(F.col("search_query"), drop_stopwords=False)))
+    known = searches.select(F.explode("ts").alias("token")).distinct()
+    lemmas = known.where(F.length("token") >= 5).withColumn("lemma", F.regexp_replace("token", "(ами|ями|ов|ев|ах|ях|ой|ый|ий|[аяоеуюыи])$", ""))
+    return lemmatize(searches, "ts", lemmas).select("query_id", F.size("ts").cast("long").alias("n_tokens"), F.md5(F.array_join("ts", " ")).alias("digest"))
+
+
 def vocab_distinct(spark: SparkSession, d: str) -> DataFrame:
     texts = _train(spark, d).select(F.col("search_infm_params_text").alias("t")).unionByName(_queries(spark, d).select(F.col("search_infm_params_text").alias("t"))).distinct()
     return texts.select(F.explode(tokens(F.col("t"))).alias("token")).distinct()
@@ -90,16 +97,11 @@ def params_coverage_semantic(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_items"), F.max("score").alias("best"), F.round(F.sum(F.col("score").cast("double")), 4).alias("total"))
 
 
-def _vector_pairs(spark: SparkSession, d: str, chunks: int = 16) -> DataFrame:
-    """Every vector whose id is divisible by 20 against all others."""
-    e = T.table(spark, d, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_vec"), F.col("embedding").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    i = e.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
-    return spread(q, "chunk").join(spread(i, "chunk"), "chunk").where("query_vec <> vec_id").select("query_vec", "vec_id", S.dense_similarity(F.col("qv"), F.col("embedding")).alias("similarity"))
-
-
 def dense_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
-    return top_by(_vector_pairs(spark, d), "query_vec", "similarity", "vec_id", 10, "position")
+    """The ten nearest other vectors of every vector whose id is divisible by 20."""
+    e = T.table(spark, d, "embeddings")
+    near = block_products(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_vec"), e, "query_vec", "vec_id", k=11)
+    return top_by(near.where("query_vec <> vec_id"), "query_vec", "similarity", "vec_id", 10, "position")
 
 
 def location_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -135,11 +137,14 @@ def _logged_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def avg_rank_ties(spark: SparkSession, d: str) -> DataFrame:
-    return _logged_scores(spark, d).select("query_id", "item_id", average_rank("query_id", "text_coverage_score").alias("avg_rank"))
+    """Ranks of text coverage, from counts by value."""
+    rows = _logged_scores(spark, d).select("query_id", "item_id", "text_coverage_score")
+    ranks = average_ranks(rows, ["query_id"], "text_coverage_score").select("query_id", "text_coverage_score", "n", "rank")
+    return join_weighted(rows, ranks, ["query_id", "text_coverage_score"], "n", rows.count()).select("query_id", "item_id", F.col("rank").alias("avg_rank"))
 
 
 def _fused(df: DataFrame, scores: list[str], weights: list[float]) -> DataFrame:
-    ranked = with_rank_terms(df, "query_id", scores).withColumn("fused", fused_score(scores, weights))
+    ranked = with_rank_terms(df, "query_id", "item_id", scores).withColumn("fused", fused_score(scores, weights))
     return top_by(ranked, "query_id", "fused", "item_id", 20, "position").select("query_id", "item_id", F.round("fused", 9).alias("fused"), "position")
 
 
@@ -160,8 +165,7 @@ def category_filter_branches(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(spark, d).where("query_id IS NOT NULL").select("query_id", "search_category").distinct()
     i = _items(spark, d).where("item_id IS NOT NULL").select("item_id", "item_category_id").distinct()
     branch = F.when(F.col("filter_category").isNotNull(), "confined").when(F.coalesce(F.col("search_category") == 0, F.lit(True)), "unspecified").otherwise("absent")
-    n = C.category_pairs(q, i).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_items"))
-    return C.query_categories(q, i).select("query_id", branch.alias("branch")).join(n, "query_id")
+    return C.category_sizes(q, i).select("query_id", branch.alias("branch"), "n_items")
 
 
 def candidates_with_features(spark: SparkSession, d: str) -> DataFrame:
@@ -183,43 +187,47 @@ def _labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relevance_labels(spark: SparkSession, d: str) -> DataFrame:
-    return L.relevance_labels(_train(spark, d)).withColumn("relevant_item_ids", F.array_join(F.array_sort("relevant_item_ids"), " "))
+    return L.relevance_labels(_train(spark, d)).drop("group_key")
 
 
-def _validation(spark: SparkSession, d: str, labels: DataFrame) -> DataFrame:
-    return L.sample_queries(labels, N_VALIDATION, 42)
+def relevance_long(spark: SparkSession, d: str) -> DataFrame:
+    """All relevant (query, item) pairs, one row each."""
+    return L.long_relevance(_labels(spark, d), _train(spark, d))
+
+
+def _validation(labels: DataFrame) -> DataFrame:
+    return cut_lineage(L.sample_queries(labels, N_VALIDATION, CONFIG.random_seed))
 
 
 def sample_queries(spark: SparkSession, d: str) -> DataFrame:
-    return _validation(spark, d, _labels(spark, d)).select("query_id", *T.QUERY_COLUMNS, "n_interactions")
+    return _validation(_labels(spark, d)).select("query_id", *T.QUERY_COLUMNS, "n_interactions")
 
 
-def eval_corpus(spark: SparkSession, d: str) -> DataFrame:
-    v = _validation(spark, d, _labels(spark, d))
-    return L.evaluation_corpus(_items(spark, d), _train(spark, d), v)
+def _evaluation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Validation queries, evaluation corpus and relevance."""
+    v = _validation(_labels(spark, d))
+    relevance = cut_lineage(L.long_relevance(v, _train(spark, d)))
+    return v, L.evaluation_corpus(_items(spark, d), _train(spark, d), relevance), relevance
 
 
-def train_split_reachable(spark: SparkSession, d: str) -> DataFrame:
-    labels = _labels(spark, d)
-    return L.training_queries(labels, _validation(spark, d, labels), _items(spark, d), None).select("query_id", "n_interactions")
+def eval_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluation(spark, d)[1]
 
 
-def _evaluation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Validation queries, evaluation corpus and relevance."""
+def train_split_reachable(spark: SparkSession, d: str) -> DataFrame:
     labels = _labels(spark, d)
-    v = cut_lineage(_validation(spark, d, labels))
-    return v, L.evaluation_corpus(_items(spark, d), _train(spark, d), v), L.long_relevance(v)
+    return L.training_queries(labels, _validation(labels), _train(spark, d), _items(spark, d), None).select("query_id", "n_interactions")
 
 
 def recall_per_query(spark: SparkSession, d: str) -> DataFrame:
     v, corpus, relevance = _evaluation(spark, d)
-    found = C.generate(v.select("query_id", *T.QUERY_COLUMNS), corpus, GeneratorConfig())
+    found = C.generate(v.select("query_id", *T.QUERY_COLUMNS), corpus.drop("origin"), CONFIG)
     return V.recall_per_query(found, relevance, [50, 100, 200, 250, 500]).withColumn("recall", F.round("recall", 9))
 
 
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     v, corpus, relevance = _evaluation(spark, d)
-    found = C.generate(v.select("query_id", *T.QUERY_COLUMNS), corpus, GeneratorConfig())
+    found = C.generate(v.select("query_id", *T.QUERY_COLUMNS), corpus.drop("origin"), CONFIG)
     return V.recall_at_k(found, relevance, [50, 100, 200, 250, 500]).withColumn("recall_at_k", F.round("recall_at_k", 9))
 
 
@@ -232,8 +240,8 @@ def relevant_item_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
     v, corpus, relevance = _evaluation(spark, d)
-    q, i = cut_lineage(C.prepare_queries(v.select("query_id", *T.QUERY_COLUMNS))), cut_lineage(C.prepare_items(corpus))
-    return V.ablation(C.score_pairs(q, i, semantic=C.params_matches(q, i)), relevance).withColumns({c: F.round(c, 9) for c in ("recall_50", "recall_500")})
+    q, i = cut_lineage(C.prepare_queries(v.select("query_id", *T.QUERY_COLUMNS))), cut_lineage(C.prepare_items(corpus.drop("origin")))
+    return V.ablation(q, i, relevance).withColumns({c: F.round(c, 9) for c in ("recall_50", "recall_500")})
 
 
 def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:
@@ -246,11 +254,27 @@ def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:
     return out.select("threshold", *(F.round(x, 6).alias(x) for x in ("true_positive_rate", "false_positive_rate", "separation")))
 
 
+def params_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Params tokens of searches against the params of the chosen item, and against those of an item drawn by permutation,
+    for interactions where both have params; of the item's params the first 200 characters count."""
+    both = _train(spark, d).select("interaction_id", "search_infm_params_text", prefix(F.col("item_infm_params_text")).alias("p")).where("coalesce(search_infm_params_text, '') <> '' AND p <> '' AND interaction_id IS NOT NULL")
+    rows = cut_lineage(both.groupBy("interaction_id").agg(F.min(F.struct("search_infm_params_text", "p")).alias("x")).select("interaction_id", tokens(F.col("x.search_infm_params_text")).alias("ts"), tokens(F.col("x.p")).alias("it")))
+    docs = cut_lineage(hash_embedding(rows, "interaction_id", "it", name="b"))
+    vocabulary = rows.select(F.explode("ts").alias("token")).distinct()
+    known = cut_lineage(hash_embedding(vocabulary.withColumn("one", F.array("token")), "token", "one", name="a"))
+    asked = rows.select("interaction_id", F.explode("ts").alias("token"))
+    drawn = L.permuted_pairs(rows, "interaction_id", 0)
+    own = asked.join(docs, "interaction_id").join(known, "token")
+    other = asked.join(drawn, "interaction_id").drop("interaction_id").join(docs.withColumnRenamed("interaction_id", "other_id"), "other_id").join(known, "token")
+    out = V.threshold_calibration(own, other, thresholds=(*V.THRESHOLDS, 0.1, 0.2, 0.3, 0.4))
+    return out.select("threshold", *(F.round(x, 6).alias(x) for x in ("true_positive_rate", "false_positive_rate", "separation")))
+
+
 def split_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Keys shared by the validation and the training queries: none."""
     labels = _labels(spark, d)
-    v = cut_lineage(_validation(spark, d, labels))
-    return V.shared_keys(v, L.training_queries(labels, v, _items(spark, d), None), "query_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    v = _validation(labels)
+    return V.shared_keys(v, L.training_queries(labels, v, _train(spark, d), _items(spark, d), None), "query_id").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 def location_match_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -292,6 +316,10 @@ def nunique_grouped(spark: SparkSession, d: str) -> DataFrame:
     return X.nunique_by(T.load_item_features(spark, d), "item_category_id", "item_microcat_id")
 
 
+def nunique_global(spark: SparkSession, d: str) -> DataFrame:
+    return X.nunique(T.load_item_features(spark, d), ["item_id", "item_category_id", "item_microcat_id", "item_location_id"])
+
+
 def describe_stats(spark: SparkSession, d: str) -> DataFrame:
     out = X.describe(T.load_item_features(spark, d), ["item_rating", "item_rating_reviews_count", "item_latitude"])
     return out.withColumns({c: F.round(c, 5) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")})
@@ -337,7 +365,7 @@ def train_item_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str, queries: DataFrame, corpus: DataFrame, relevance: DataFrame) -> DataFrame:
-    found = C.generate_with_features(queries.select("query_id", *T.QUERY_COLUMNS), corpus, GeneratorConfig())
+    found = C.generate_with_features(queries.select("query_id", *T.QUERY_COLUMNS), corpus.drop("origin"), CONFIG)
     content = item_content_features(features_by_priority(T.load_item_features(spark, d).where("item_id IS NOT NULL"), T.load_train_item_feature_lookup(spark, d)))
     flags = queries.select("query_id", F.col("search_is_delivery_search").cast("int").alias("search_is_delivery_search"))
     return feature_table(found, content, relevance, flags)
@@ -355,9 +383,9 @@ _LINEAR = {"text_coverage_score": 2.0, "params_coverage_score": 1.0, "rrf_score"
 
 
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
-    """All logged candidates of a query reranked by a fixed linear score; the best 50."""
-    df = top_by(with_rank_terms(_logged_scores(spark, d), "query_id", list(SCORES)).withColumn("rrf_score", fused_score(list(SCORES), [1.0] * 5)), "query_id", "rrf_score", "item_id", None)
-    return R.rerank(R.linear_score(df, _LINEAR).withColumn("score", F.round("score", 9)), "score", TOP_K)
+    """All logged candidates of a query reranked by a fixed linear score; the best 50, ties by fused score."""
+    df = with_rank_terms(_logged_scores(spark, d), "query_id", "item_id", list(SCORES)).withColumn("rrf_score", fused_score(list(SCORES), [1.0] * 5))
+    return R.rerank(R.linear_score(df, _LINEAR).withColumn("score", F.round("score", 9)), "score", TOP_K, [F.col("rrf_score").desc(), F.col("item_id")])
 
 
 def rrf_baseline(spark: SparkSession, d: str) -> DataFrame:
@@ -369,7 +397,7 @@ def rrf_baseline(spark: SparkSession, d: str) -> DataFrame:
 def baseline_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the fused order and of a fixed linear reranking on the validation queries."""
     v, corpus, relevance = _evaluation(spark, d)
-    found = cut_lineage(C.generate_with_features(v.select("query_id", *T.QUERY_COLUMNS), corpus, GeneratorConfig()))
+    found = cut_lineage(C.generate_with_features(v.select("query_id", *T.QUERY_COLUMNS), corpus.drop("origin"), CONFIG))
     again = R.rerank(R.linear_score(found, _LINEAR).withColumn("score", F.round("score", 9)), "score", TOP_K)
     return V.baseline_comparison(found, again, relevance).withColumn("recall", F.round("recall", 9))
 
@@ -393,32 +421,33 @@ def validate_answer(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ltr(spark: SparkSession, d: str):
-    labels = _labels(spark, d)
-    v = cut_lineage(L.sample_queries(labels, N_VALIDATION, 42))
-    t = cut_lineage(L.training_queries(labels, v, _items(spark, d), None))
-    train = cut_lineage(_features(spark, d, t, L.evaluation_corpus(_items(spark, d), _train(spark, d), t), L.long_relevance(t)))
-    return v, train, R.train_pairwise(train, FEATURE_COLUMNS)
+    """Validation queries, their feature table, that of all reachable training queries, and the ranker fitted on it."""
+    labels, log, items = _labels(spark, d), _train(spark, d), _items(spark, d)
+    v = _validation(labels)
+    t = cut_lineage(L.training_queries(labels, v, log, items, None))
+    wanted, known = cut_lineage(L.long_relevance(v, log)), cut_lineage(L.long_relevance(t, log))
+    train = cut_lineage(_features(spark, d, t, L.evaluation_corpus(items, log, known), known))
+    held = cut_lineage(_features(spark, d, v, L.evaluation_corpus(items, log, wanted), wanted))
+    return wanted, held, train, R.train_pairwise(train, FEATURE_COLUMNS)
 
 
 def ltr_train_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Recall@50 of the trained ranker and of the fused order on the validation queries."""
-    v, _, weights = _ltr(spark, d)
-    relevance = L.long_relevance(v)
-    f = cut_lineage(_features(spark, d, v, L.evaluation_corpus(_items(spark, d), _train(spark, d), v), relevance))
+    relevance, f, _, weights = _ltr(spark, d)
     again = R.rerank(R.apply_pairwise(f, FEATURE_COLUMNS, weights), "score", TOP_K)
     return V.baseline_comparison(f, again, relevance)
 
 
 def ltr_importance(spark: SparkSession, d: str) -> DataFrame:
-    _, train, weights = _ltr(spark, d)
+    _, _, train, weights = _ltr(spark, d)
     return R.importance(weights, train)
 
 
 _QUERIES = (
-    tokenize_docs, vocab_distinct, text_coverage, params_coverage_exact, semantic_match_matrix, params_coverage_semantic, dense_similarity_topk, location_centroids, location_signal,
+    tokenize_docs, tokenize_lemmas, vocab_distinct, text_coverage, params_coverage_exact, semantic_match_matrix, params_coverage_semantic, dense_similarity_topk, location_centroids, location_signal,
     microcat_centroids, microcat_score, avg_rank_ties, rrf_fusion, rrf_weighted, rrf_constant_skip, category_filter_branches, candidates_topk, candidates_with_features, candidates_packed,
-    relevance_labels, sample_queries, eval_corpus, train_split_reachable, recall_per_query, recall_at_k, relevant_item_coverage, ablation, threshold_calibration, split_overlap,
-    location_match_rate, location_match_by_group, category_agreement, location_dispersion, propensity_binary, propensity_numeric, missing_rates, value_counts, nunique_grouped,
+    relevance_labels, relevance_long, sample_queries, eval_corpus, train_split_reachable, recall_per_query, recall_at_k, relevant_item_coverage, ablation, threshold_calibration, params_calibration, split_overlap,
+    location_match_rate, location_match_by_group, category_agreement, location_dispersion, propensity_binary, propensity_numeric, missing_rates, value_counts, nunique_grouped, nunique_global,
     describe_stats, hist_density, encode_correlation, spearman_matrix, item_content, item_features_priority, train_item_lookup, feature_table_query, rerank_topk, rrf_baseline,
     baseline_comparison, build_answer, validate_answer, ltr_train_rerank, ltr_importance,
 )

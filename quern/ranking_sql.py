@@ -1,11 +1,11 @@
-"""SQL of the ranking queries, for DuckDB on the same tables."""
+"""SQL of the search queries, for DuckDB on the same tables."""
 
 from __future__ import annotations
 
 from quern.config import SCORES
 from quern.functions.text import STOPWORDS
 from quern.operators.evaluate import THRESHOLDS, VARIANTS
-from quern.ranking_queries import SEMANTIC, TOP_K, TRAINING, VALIDATION
+from quern.ranking_queries import CONFIG, N_VALIDATION, SEMANTIC, TOP_K
 from quern.sources.tables import ITEM_COLUMNS, QUERY_COLUMNS
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -78,8 +78,13 @@ def _scored(items: str, queries: str) -> str:
     """CTEs up to ``scored``: all pairs behind the category filter with five scores and the distance."""
     km = _km("q.clat", "q.clon", "i.la", "i.lo")
     return f"""
-it AS MATERIALIZED (SELECT *, item_latitude::DOUBLE AS la, item_longitude::DOUBLE AS lo, {_distinct("item_infm_params_text")} AS pt, {_distinct(_TEXT)} AS tt FROM ({items})),
+i0 AS MATERIALIZED (SELECT *, item_latitude::DOUBLE AS la, item_longitude::DOUBLE AS lo, {_distinct("item_infm_params_text")} AS p0, {_distinct(_TEXT)} AS tt FROM ({items})),
 qu AS MATERIALIZED (SELECT *, {_distinct("search_infm_params_text")} AS qp, {_distinct("search_query")} AS qt FROM ({queries})),
+pv AS (SELECT DISTINCT unnest(qp) AS token FROM qu),
+{_embedding("pe", "(SELECT token, [token] AS ts FROM pv)", "token", "ts")},
+{_embedding("pi", "(SELECT item_id, min(p0) AS ts FROM i0 GROUP BY 1)", "item_id", "ts")},
+pm AS (SELECT pi.item_id, list(pe.token) AS more FROM pe CROSS JOIN pi WHERE {_dot("pe.e", "pi.e")}::FLOAT >= {CONFIG.params_similarity_threshold}::FLOAT GROUP BY 1),
+it AS MATERIALIZED (SELECT i0.*, list_distinct(list_concat(p0, coalesce(more, []))) AS pt FROM i0 LEFT JOIN pm USING (item_id)),
 {_embedding("ie", "(SELECT item_id, min(tt) AS tt FROM it GROUP BY 1)", "item_id", "tt")},
 {_embedding("qe", "(SELECT query_id, min(qt) AS qt FROM qu GROUP BY 1)", "query_id", "qt")},
 i2 AS MATERIALIZED (SELECT it.*, ie.e FROM it JOIN ie USING (item_id)),
@@ -113,9 +118,9 @@ _FIRST = "first({c} ORDER BY interaction_id, ingested_at) FILTER (WHERE {c} IS N
 _LABELS = f"""
 SELECT format('train_{{:06d}}', row_number() OVER (ORDER BY search_query NULLS LAST, search_infm_params_text NULLS LAST, search_category NULLS LAST) - 1) AS query_id, * FROM (
   SELECT search_query, coalesce(search_infm_params_text, '') AS search_infm_params_text, search_category, {_FIRST.format(c="search_location_id")}, {_FIRST.format(c="search_is_delivery_search")},
-    list_sort(list_distinct(list(item_id) FILTER (WHERE item_id IS NOT NULL))) AS ids, count(item_id) AS n_interactions
+    list_sort(list_distinct(list(item_id) FILTER (WHERE item_id IS NOT NULL))) AS ids, count(item_id) AS n_interactions, count(DISTINCT item_id) AS n_relevant
   FROM train GROUP BY search_query, coalesce(search_infm_params_text, ''), search_category)"""
-_VALIDATION = f"SELECT * FROM lb WHERE coalesce(len(ids), 0) <= 200 ORDER BY md5('42|' || query_id), query_id LIMIT {VALIDATION}"
+_VALIDATION = f"SELECT * FROM lb WHERE coalesce(len(ids), 0) <= 200 ORDER BY md5('42|' || query_id), query_id LIMIT {N_VALIDATION}"
 _EXTRA = f"""
 SELECT {_ICOLS} FROM (SELECT {_ICOLS}, row_number() OVER (PARTITION BY item_id ORDER BY interaction_id, ingested_at) AS rn FROM train
   WHERE item_id IN (SELECT item_id FROM rel) AND item_id NOT IN (SELECT item_id FROM benchmark_items WHERE item_id IS NOT NULL)) WHERE rn = 1"""
@@ -172,9 +177,9 @@ _PRIORITY = f"""SELECT {_FEATURES} FROM (SELECT DISTINCT item_id, item_category_
 UNION ALL SELECT item_id, item_category_id, item_microcat_id, item_location_id, {_RATING} FROM ({_LOOKUP}) WHERE item_id NOT IN (SELECT item_id FROM benchmark_items WHERE item_id IS NOT NULL)"""
 
 
-def _hist(table: str, name: str) -> str:
-    return f"""SELECT '{name}' AS population, bin, count(*) AS n, round(count(*) / (max(t) * max(w)), 6) AS density FROM (
-  SELECT least(floor((v - lo) / w), 29)::BIGINT AS bin, t, w FROM (SELECT v, lo, t, (hi - lo) / 30 AS w FROM (SELECT {_RATING} AS v, min({_RATING}) OVER () AS lo, max({_RATING}) OVER () AS hi, count({_RATING}) OVER () AS t FROM {table}) WHERE v IS NOT NULL)) GROUP BY bin"""
+def _hist(table: str, name: str, feature: str, value: str, bins: int) -> str:
+    return f"""SELECT '{feature}' AS feature, '{name}' AS population, bin, count(*) AS n, round(count(*) / (max(t) * max(w)), 6) AS density FROM (
+  SELECT least(floor((v - lo) / w), {bins - 1})::BIGINT AS bin, t, w FROM (SELECT v, lo, t, (hi - lo) / {bins} AS w FROM (SELECT {value} AS v, min({value}) OVER () AS lo, max({value}) OVER () AS hi, count({value}) OVER () AS t FROM {table}) WHERE v IS NOT NULL)) GROUP BY bin"""
 
 
 def _describe(c: str, kind: str) -> str:
@@ -200,10 +205,8 @@ def _spearman(a: str, b: str) -> str:
     return f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT {rank('x')} AS rx, {rank('y')} AS ry FROM (SELECT {_ENCODED[a]} AS x, {_ENCODED[b]} AS y FROM train) WHERE x IS NOT NULL AND y IS NOT NULL)"
 
 
-_PAIRS = ["location_match", "category_match", "item_is_phone_hidden", "item_rating", "item_rating_reviews_count_log1p"]
 _RERANKED = f"""{_LOGGED}, lr AS (SELECT *, {_ranks(list(SCORES))} FROM lg), lf AS (SELECT *, {_fuse(SCORES, (1.0,) * 5)} AS rrf_score FROM lr),
-l2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, item_id) AS rrf_rank FROM lf QUALIFY rrf_rank <= 200),
-rr AS MATERIALIZED (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(text_coverage_score::DOUBLE * 2.0 + params_coverage_score::DOUBLE + rrf_score * 10.0, 9) DESC, rrf_rank) AS rank FROM l2 QUALIFY rank <= {TOP_K})"""
+rr AS MATERIALIZED (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(text_coverage_score::DOUBLE * 2.0 + params_coverage_score::DOUBLE + rrf_score * 10.0, 9) DESC, rrf_score DESC, item_id) AS rank FROM lf QUALIFY rank <= {TOP_K})"""
 _ANSWERS = f"""{_RERANKED}, an AS MATERIALIZED (SELECT q.query_id, coalesce(string_agg(rr.item_id, ' ' ORDER BY rr.rank), '') AS answer
   FROM (SELECT DISTINCT query_id FROM benchmark_queries WHERE query_id IS NOT NULL) q LEFT JOIN rr USING (query_id) GROUP BY 1)"""
 
@@ -241,6 +244,33 @@ g AS (SELECT t, (SELECT avg((s >= t::FLOAT)::INT) FROM p) AS a, (SELECT avg((s >
 SELECT t AS threshold, round(a, 6) AS true_positive_rate, round(b, 6) AS false_positive_rate, round(a - b, 6) AS separation FROM g"""
 
 
+def _params_calibration() -> str:
+    grid = ", ".join(f"({t}::DOUBLE)" for t in (*THRESHOLDS, 0.1, 0.2, 0.3, 0.4))
+    return f"""WITH r0 AS (SELECT interaction_id, min({{'s': search_infm_params_text, 'p': substr(item_infm_params_text, 1, 200)}}) AS x FROM train
+  WHERE coalesce(search_infm_params_text, '') <> '' AND coalesce(item_infm_params_text, '') <> '' AND interaction_id IS NOT NULL GROUP BY 1),
+r AS MATERIALIZED (SELECT interaction_id, {_tokens("x.s")} AS ts, {_tokens("x.p")} AS it FROM r0),
+{_embedding("de", "r", "interaction_id", "it")},
+{_embedding("te", "(SELECT token, [token] AS ts FROM (SELECT DISTINCT unnest(ts) AS token FROM r))", "token", "ts")},
+o1 AS (SELECT interaction_id, row_number() OVER (ORDER BY interaction_id) AS k FROM r),
+o2 AS (SELECT interaction_id AS other_id, row_number() OVER (ORDER BY md5('0|' || interaction_id), interaction_id) AS k FROM r),
+a AS (SELECT interaction_id, unnest(ts) AS token FROM r),
+p AS (SELECT {_dot("te.e", "de.e")}::FLOAT AS s FROM a JOIN te USING (token) JOIN de USING (interaction_id)),
+n AS (SELECT {_dot("te.e", "de.e")}::FLOAT AS s FROM a JOIN te USING (token) JOIN o1 USING (interaction_id) JOIN o2 USING (k) JOIN de ON de.interaction_id = o2.other_id),
+g AS (SELECT t, (SELECT avg((s >= t::FLOAT)::INT) FROM p) AS a, (SELECT avg((s >= t::FLOAT)::INT) FROM n) AS b FROM (VALUES {grid}) v(t))
+SELECT t AS threshold, round(a, 6) AS true_positive_rate, round(b, 6) AS false_positive_rate, round(a - b, 6) AS separation FROM g"""
+
+
+def _lemmas() -> str:
+    lemma = lambda t: f"CASE WHEN length({t}) >= 5 AND regexp_matches({t}, '[а-яё]') AND {t} IN (SELECT unnest(ts) FROM s) THEN regexp_replace({t}, '(ами|ями|ов|ев|ах|ях|ой|ый|ий|[аяоеуюыи])$', '') ELSE {t} END"
+    found = "list_filter(list_transform(regexp_extract_all(coalesce(search_query, ''), '[a-zA-Zа-яА-ЯёЁ0-9]+'), lambda t: lower(t)), lambda t: length(t) >= 2)"
+    return f"""WITH s AS MATERIALIZED (SELECT DISTINCT query_id, search_query, {found} AS ts FROM benchmark_queries WHERE query_id IS NOT NULL),
+st AS (SELECT {lemma("w")} AS l FROM (SELECT unnest([{_STOP}]) AS w)),
+x AS (SELECT query_id, search_query, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM s),
+y AS (SELECT query_id, search_query, i, {lemma("t")} AS l FROM x),
+z AS (SELECT query_id, search_query, list(l ORDER BY i) AS ls FROM y WHERE l NOT IN (SELECT l FROM st) GROUP BY 1, 2)
+SELECT s.query_id, coalesce(len(z.ls), 0)::BIGINT AS n_tokens, md5(coalesce(array_to_string(z.ls, ' '), '')) AS digest FROM s LEFT JOIN z ON z.query_id = s.query_id AND z.search_query IS NOT DISTINCT FROM s.search_query"""
+
+
 def _ablation() -> str:
     f = ", ".join(f"{_fuse(SCORES, w)} AS f{n}" for n, w in enumerate(VARIANTS.values()))
     r = ", ".join(f"row_number() OVER (PARTITION BY query_id ORDER BY f{n} DESC, item_id) AS r{n}" for n in range(len(VARIANTS)))
@@ -255,8 +285,8 @@ def _prop(c: str, stat: str, expr: str, digits: int) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    generated = f"WITH {_generated(_ITEMS, _QUERIES, TOP_K)}"
-    rounded = ", ".join(["query_id", "item_id", "params_coverage_score", "text_coverage_score", *(f"round({c}::DOUBLE, {n}) AS {c}" for c, n in (("text_similarity_score", 5), ("location_match_score", 5), ("location_distance_km", 2), ("microcat_match_score", 5), ("rrf_score", 9))), "rrf_rank"])
+    generated = f"WITH {_generated(_ITEMS, _QUERIES, CONFIG.top_k)}"
+    rounded = ", ".join(["query_id", "item_id", "params_coverage_score", "text_coverage_score", *(f"round({c}::DOUBLE, {n}) + 0.0::DOUBLE AS {c}" for c, n in (("text_similarity_score", 5), ("location_match_score", 5), ("location_distance_km", 2), ("microcat_match_score", 5), ("rrf_score", 9))), "rrf_rank"])
     km = _km("clat", "clon", "la", "lo")
     missing = " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(avg(({c} IS NULL{' OR isnan(item_rating)' if c == 'item_rating' else ''})::INT), 9) AS missing_rate FROM benchmark_items" for c in ("item_id", "item_category_id", "item_microcat_id", "item_location_id", "item_latitude", "item_longitude", "item_price", "item_rating", "item_rating_reviews_count", "item_is_phone_hidden", "item_is_message_forbidden"))
     comparison = f"""{_evaluated()},
@@ -271,6 +301,7 @@ SELECT b.query_id, count(*) AS n, sum((rel.item_id IS NOT NULL)::INT)::BIGINT AS
 FROM best b LEFT JOIN fe USING (item_id) LEFT JOIN va USING (query_id) LEFT JOIN rel ON rel.query_id = b.query_id AND rel.item_id = b.item_id GROUP BY 1"""
     return {
         "tokenize_docs": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
+        "tokenize_lemmas": _lemmas(),
         "vocab_distinct": _VOCABULARY,
         "text_coverage": _sparse("search_query", _TEXT),
         "params_coverage_exact": _sparse("search_infm_params_text", "item_infm_params_text"),
@@ -282,7 +313,7 @@ FROM best b LEFT JOIN fe USING (item_id) LEFT JOIN va USING (query_id) LEFT JOIN
   round(CASE WHEN search_location_id = item_location_id THEN 0.0::DOUBLE ELSE {km} END, 4) AS distance_km
 FROM (SELECT DISTINCT interaction_id, search_location_id, item_location_id, item_latitude::DOUBLE AS la, item_longitude::DOUBLE AS lo FROM train) LEFT JOIN ({_CENTROIDS.format(f'({_ITEMS})')}) ON location_id = search_location_id""",
         "microcat_centroids": f"WITH {_mean_unit('mc', 'embeddings', 'label', 'embedding')} SELECT label, n, unnest(range(64))::INT AS pos, round(unnest(c)::DOUBLE, 6) AS v FROM mc",
-        "microcat_score": f"WITH {_mean_unit('mc', 'embeddings', 'label', 'embedding')} SELECT vec_id, mc.label, round({_dot('embedding', 'mc.c')}::FLOAT::DOUBLE, 5) AS score FROM embeddings CROSS JOIN mc WHERE vec_id % 20 = 0",
+        "microcat_score": f"WITH {_mean_unit('mc', 'embeddings', 'label', 'embedding')} SELECT vec_id, mc.label, round({_dot('embedding', 'mc.c')}::FLOAT::DOUBLE, 5) AS score FROM embeddings CROSS JOIN mc",
         "avg_rank_ties": f"WITH {_LOGGED} SELECT query_id, item_id, {_average_rank('text_coverage_score')} AS avg_rank FROM lg",
         "rrf_fusion": _logged_fusion(list(SCORES), [1.0] * 5),
         "rrf_weighted": _logged_fusion(list(SCORES), [2.0, 1.0, 0.5, 0.0, 1.5]),
@@ -293,18 +324,22 @@ SELECT query_id, branch, count(*) AS n_items FROM b JOIN i ON branch <> 'confine
         "candidates_topk": f"{generated} SELECT query_id, item_id, rrf_rank FROM best",
         "candidates_with_features": f"{generated} SELECT {rounded} FROM best",
         "candidates_packed": f"{generated} SELECT query_id, string_agg(item_id, ' ' ORDER BY rrf_rank) AS candidate_item_ids, count(*) AS n_candidates FROM best GROUP BY 1",
-        "relevance_labels": f"SELECT query_id, search_query, search_infm_params_text, search_category, search_location_id, search_is_delivery_search, coalesce(array_to_string(ids, ' '), '') AS relevant_item_ids, n_interactions FROM ({_LABELS})",
+        "relevance_labels": f"SELECT query_id, {_QCOLS}, n_interactions, n_relevant FROM ({_LABELS})",
+        "relevance_long": f"SELECT query_id, unnest(ids) AS item_id FROM ({_LABELS})",
         "sample_queries": f"WITH lb AS ({_LABELS}) SELECT query_id, {_QCOLS}, n_interactions FROM ({_VALIDATION})",
-        "eval_corpus": f"WITH {_EVALUATION} SELECT {_ICOLS} FROM benchmark_items UNION ALL {_EXTRA}",
+        "eval_corpus": f"WITH {_EVALUATION} SELECT {_ICOLS}, 'benchmark' AS origin FROM benchmark_items UNION ALL SELECT *, 'extra' FROM ({_EXTRA})",
         "train_split_reachable": f"""WITH {_EVALUATION} SELECT query_id, n_interactions FROM (SELECT * FROM lb WHERE len(ids) <= 200 AND query_id NOT IN (SELECT query_id FROM va)
-  AND query_id IN (SELECT query_id FROM (SELECT query_id, unnest(ids) AS item_id FROM lb) WHERE item_id IN (SELECT item_id FROM benchmark_items)) ORDER BY md5('777|' || query_id), query_id LIMIT {TRAINING})""",
+  AND query_id IN (SELECT query_id FROM (SELECT query_id, unnest(ids) AS item_id FROM lb) WHERE item_id IN (SELECT item_id FROM benchmark_items)))""",
         "recall_per_query": f"{_RECALLS} SELECT k, query_id, n_relevant, round(recall, 9) AS recall FROM pq",
         "recall_at_k": f"{_RECALLS} SELECT k, round(avg(recall), 9) AS recall_at_k FROM pq GROUP BY 1",
         "relevant_item_coverage": f"""WITH {_EVALUATION} SELECT 'benchmark' AS corpus, round(avg((item_id IN (SELECT item_id FROM benchmark_items WHERE item_id IS NOT NULL))::INT), 9) AS coverage FROM rel
 UNION ALL SELECT 'evaluation', round(avg((item_id IN (SELECT item_id FROM benchmark_items WHERE item_id IS NOT NULL UNION SELECT item_id FROM ({_EXTRA})))::INT), 9) FROM rel""",
         "ablation": _ablation(),
         "threshold_calibration": _calibration(),
-        "split_overlap": "SELECT 0::BIGINT AS n_shared",
+        "params_calibration": _params_calibration(),
+        "split_overlap": f"""WITH {_EVALUATION}, tr AS (SELECT query_id FROM lb WHERE n_relevant <= 200 AND query_id NOT IN (SELECT query_id FROM va)
+  AND query_id IN (SELECT query_id FROM (SELECT query_id, unnest(ids) AS item_id FROM lb) WHERE item_id IN (SELECT item_id FROM benchmark_items)))
+SELECT count(DISTINCT query_id) AS n_shared FROM tr WHERE query_id IN (SELECT query_id FROM va)""",
         "location_match_rate": f"SELECT round(avg({_MATCH.format('search_location_id', 'item_location_id')}), 9) AS match_rate, count(*) AS n FROM train",
         "location_match_by_group": f"SELECT item_category_id, round(avg({_MATCH.format('search_location_id', 'item_location_id')}), 9) AS match_rate, count(*) AS n FROM train WHERE item_category_id IS NOT NULL GROUP BY 1",
         "category_agreement": f"SELECT round(avg({_MATCH.format('search_category', 'item_category_id')}), 9) AS match_rate, count(*) AS n FROM train",
@@ -314,10 +349,11 @@ UNION ALL SELECT 'evaluation', round(avg((item_id IN (SELECT item_id FROM benchm
         "missing_rates": missing,
         "value_counts": "SELECT search_category AS value, count(*) AS n FROM train WHERE search_category IS NOT NULL GROUP BY 1",
         "nunique_grouped": "SELECT item_category_id, count(DISTINCT item_microcat_id) AS n_unique FROM benchmark_items WHERE item_category_id IS NOT NULL AND item_microcat_id IS NOT NULL GROUP BY 1",
+        "nunique_global": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_unique FROM benchmark_items" for c in ("item_id", "item_category_id", "item_microcat_id", "item_location_id")),
         "describe_stats": " UNION ALL ".join(_describe(c, e) for c, e in (("item_rating", _RATING), ("item_rating_reviews_count", "item_rating_reviews_count::DOUBLE"), ("item_latitude", "item_latitude::DOUBLE"))),
-        "hist_density": f"{_hist('train', 'chosen')} UNION ALL {_hist('benchmark_items', 'corpus')}",
+        "hist_density": " UNION ALL ".join(_hist(t, n, f, v, b) for t, n in (("train", "chosen"), ("benchmark_items", "corpus")) for f, v, b in (("item_rating", _RATING, 30), ("item_rating_reviews_count_log1p", "ln(1 + item_rating_reviews_count::DOUBLE)", 50), ("item_price_log1p", "CASE WHEN item_price > 0 THEN ln(1 + item_price::DOUBLE) END", 50))),
         "encode_correlation": " UNION ALL ".join(f"SELECT '{c}' AS feature, count(v) AS n, round(sum(v), 3) AS total FROM (SELECT {e} AS v FROM train)" for c, e in _ENCODED.items()),
-        "spearman_matrix": " UNION ALL ".join(_spearman(a, b) for i, a in enumerate(_PAIRS) for b in _PAIRS[i + 1 :]),
+        "spearman_matrix": " UNION ALL ".join(_spearman(a, b) for i, a in enumerate(_ENCODED) for b in list(_ENCODED)[i + 1 :]),
         "item_content": f"SELECT DISTINCT item_id, item_rating, round(ln(1 + item_rating_reviews_count::DOUBLE), 6) AS item_rating_reviews_count_log1p, round(ln(1 + pr::DOUBLE), 6) AS item_price_log1p, item_is_phone_hidden, item_is_message_forbidden FROM (SELECT item_id, {_RATING} AS item_rating, item_rating_reviews_count, CASE WHEN item_price > 0 THEN item_price END AS pr, item_is_phone_hidden::INT AS item_is_phone_hidden, item_is_message_forbidden::INT AS item_is_message_forbidden FROM benchmark_items WHERE item_id IS NOT NULL)",
         "item_features_priority": _PRIORITY,
         "train_item_lookup": f"SELECT item_id, item_category_id, item_location_id, {_RATING} AS item_rating, item_rating_reviews_count FROM ({_LOOKUP})",

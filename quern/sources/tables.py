@@ -91,7 +91,8 @@ def cached_embeddings(texts: DataFrame, text: str, embed, model: str, prefix: st
         except AnalysisException:  # no cache yet
             pass
         embed(wanted, "_key", "_text").write.mode("append").parquet(cache_path)
-        known = spark.read.parquet(cache_path)
+        # Two writers may have added the same text.
+        known = spark.read.parquet(cache_path).groupBy("_key").agg(F.first("embedding").alias("embedding"))
     return keyed.join(known.select("_key", "embedding"), "_key", "left").drop("_key")
 
 
@@ -100,6 +101,8 @@ def write_candidates(packed: DataFrame, path: str) -> None:
     checked(packed, ["query_id", "candidate_item_ids", "n_candidates"]).write.mode("overwrite").parquet(path)
 
 
-def write_answer(answer: DataFrame, path: str, order: str = "query_id") -> None:
-    """(query_id, answer) as CSV with a header, in the order of ``order``."""
-    answer.orderBy(order).select("query_id", "answer").coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+def write_answer(answer: DataFrame, path: str, order: str | None = None) -> None:
+    """(query_id, answer) as CSV with a header, in the order of ``order``: column ``position`` where the answer has one (the
+    order in which queries were asked), else by query_id. The files are sorted parts of one global order."""
+    by = order or ("position" if "position" in answer.columns else "query_id")
+    answer.orderBy(by).select("query_id", "answer").write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)

@@ -1,15 +1,17 @@
 """Micro-tables for the semantic traps of the ranking operators."""
 
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.config import GeneratorConfig
+from quern.config import SCORES, SIGNALS, GeneratorConfig
 from quern.functions.text import full_text, lemmatize, tokens
 from quern.functions.vectors import dot, hash_embedding, l2_normalize, mean_vectors
+from quern.operators import blocks, fusion
 from quern.operators import candidates as C
 from quern.operators import evaluate as V
 from quern.operators import explore as X
@@ -29,8 +31,9 @@ def test_tokens(spark):
 
 
 def test_lemmas_are_filtered_after_the_dictionary(spark):
-    df = spark.createDataFrame([(1, ["уборки", "шло", "iphone", "уборки"]), (2, [])], "i long, ts array<string>")
-    lemmas = spark.createDataFrame([("уборки", "уборка"), ("шло", "и"), ("iphone", "x")], "token string, lemma string")
+    df = spark.createDataFrame([(1, ["уборки", "шло", "iphone", "уборки", "была", "вам"]), (2, [])], "i long, ts array<string>")
+    lemmas = spark.createDataFrame([("уборки", "уборка"), ("шло", "и"), ("iphone", "x"), ("был", "быт"), ("была", "быт"), ("вам", "ваш")], "token string, lemma string")
+    # A stopword's lemma is a stopword, too.
     assert {r["i"]: r["ts"] for r in lemmatize(df, "ts", lemmas).collect()} == {1: ["уборка", "iphone", "уборка"], 2: []}
 
 
@@ -91,7 +94,7 @@ def test_average_ranks_sum_up(spark, values):
 def test_fusion_skips_constant_and_weightless_signals(spark):
     rows = [("q", "a", 1.0, 5.0), ("q", "b", 1.0, 4.0), ("q", "c", 1.0, 4.0), ("r", "a", 1.0, 1.0)]
     df = spark.createDataFrame(rows, "query_id string, item_id string, x float, y float")
-    f = with_rank_terms(df, "query_id", ["x", "y"]).withColumn("f", fused_score(["x", "y"], [1.0, 1.0]))
+    f = with_rank_terms(df, "query_id", "item_id", ["x", "y"]).withColumn("f", fused_score(["x", "y"], [1.0, 1.0]))
     got = {(r["query_id"], r["item_id"]): r["f"] for r in f.collect()}
     assert got == {("q", "a"): 1 / 61, ("q", "b"): 1 / 62.5, ("q", "c"): 1 / 62.5, ("r", "a"): 0.0}
     best = [(r["query_id"], r["item_id"], r["rrf_rank"]) for r in top_by(f, "query_id", "f", "item_id", 2).orderBy("query_id", "rrf_rank").collect()]
@@ -135,14 +138,16 @@ def test_labels_sampling_and_corpus(spark):
     pad = (None,) * 8
     rows = [(1, 1, "б", None, 1, None, True, "x", *pad), (2, 1, "б", "", 1, 7, False, "y", *pad), (3, 1, None, "p", 2, 8, None, "x", *pad), (4, 1, "а", "p", None, 9, True, None, *pad)]
     train = spark.createDataFrame(rows, ", ".join([head, *rest]))
-    got = [(r["query_id"], r["search_query"], r["search_infm_params_text"], r["search_location_id"], r["search_is_delivery_search"], sorted(r["relevant_item_ids"]), r["n_interactions"]) for r in L.relevance_labels(train).orderBy("query_id").collect()]
-    assert got == [("train_000000", "а", "p", 9, True, [], 0), ("train_000001", "б", "", 7, True, ["x", "y"], 2), ("train_000002", None, "p", 8, None, ["x"], 1)]
+    got = [(r["query_id"], r["search_query"], r["search_infm_params_text"], r["search_location_id"], r["search_is_delivery_search"], r["n_relevant"], r["n_interactions"]) for r in L.relevance_labels(train).orderBy("query_id").collect()]
+    assert got == [("train_000000", "а", "p", 9, True, 0, 0), ("train_000001", "б", "", 7, True, 2, 2), ("train_000002", None, "p", 8, None, 1, 1)]
     labels = L.relevance_labels(train)
+    relevance = L.long_relevance(labels, train)
+    assert sorted(tuple(r) for r in relevance.collect()) == [("train_000001", "x"), ("train_000001", "y"), ("train_000002", "x")]
     assert L.sample_queries(labels, 10, max_relevant=1).count() == 2
-    corpus = L.evaluation_corpus(train.where("item_id = 'y'").select(*T.ITEM_COLUMNS), train, labels)
-    assert sorted(r["item_id"] for r in corpus.collect()) == ["x", "y"]
+    corpus = L.evaluation_corpus(train.where("item_id = 'y'").select(*T.ITEM_COLUMNS), train, relevance)
+    assert sorted((r["item_id"], r["origin"]) for r in corpus.collect()) == [("x", "extra"), ("y", "benchmark")]
     v = labels.where("query_id = 'train_000001'")
-    assert [r["query_id"] for r in L.training_queries(labels, v, corpus, 5).collect()] == ["train_000002"]
+    assert [r["query_id"] for r in L.training_queries(labels, v, train, corpus, 5).collect()] == ["train_000002"]
 
 
 def test_recall(spark):
@@ -226,5 +231,81 @@ def test_tables(spark, tmp_path):
         T.embedding_key("m", "document", "t")
     answer = spark.createDataFrame([("b", ""), ("a", "x y")], "query_id string, answer string")
     T.write_answer(answer, str(tmp_path / "answer"))
-    back = spark.read.option("header", True).csv(str(tmp_path / "answer"))
-    assert [r["query_id"] for r in back.collect()] == ["a", "b"]
+    lines = [x for f in sorted((tmp_path / "answer").glob("part-*")) for x in f.read_text().splitlines() if x != "query_id,answer"]
+    assert lines == ["a,x y", "b,"]
+    asked = spark.createDataFrame([("b", 0), ("a", 1), ("b", 2)], "query_id string, position long")
+    ordered = U.build_answer(spark.createDataFrame([("a", "x", 1)], "query_id string, item_id string, rank long"), asked)
+    T.write_answer(ordered, str(tmp_path / "ordered"))
+    lines = [x for f in sorted((tmp_path / "ordered").glob("part-*")) for x in f.read_text().splitlines() if x != "query_id,answer"]
+    assert lines == ["b,", "a,x"]
+
+
+def _scattered(spark, n=260, seed=3):
+    r = random.Random(seed)
+    words = [f"слово{k}" for k in range(30)]
+    text = lambda k: " ".join(r.sample(words, k))
+    items = [
+        (f"{k:016x}", text(2), None if k % 5 == 0 else text(r.randint(1, 6)), None if k % 4 == 0 else text(2), r.choice([1, 1, 1, 2, None]), r.choice([7, 8, 9, None]), r.choice([5, 6, None]), r.choice([None, 50.0 + r.random()]), 30.0 + r.random() / 10)
+        for k in range(n)
+    ]
+    queries = [(f"q{k}", None if k == 3 else text(3), r.choice([5, 6, 77, None]), True, None if k == 4 else text(2), r.choice([0, 1, 2, 99, None])) for k in range(12)]
+    i = spark.createDataFrame(items + items[:3], "item_id string, item_title_raw string, item_description_raw string, item_infm_params_text string, item_category_id long, item_microcat_id long, item_location_id long, item_latitude double, item_longitude double")
+    q = spark.createDataFrame(queries + [("q0", "слово1", 5, True, None, 0)], "query_id string, search_query string, search_location_id long, search_is_delivery_search boolean, search_infm_params_text string, search_category long")
+    return q, i
+
+
+@pytest.mark.parametrize("block", [32_768, 40])
+def test_blocks_rank_like_the_pairs(spark, monkeypatch, block):
+    """Ranks found block by block are those among all pairs, whatever the blocks and the weights."""
+    monkeypatch.setattr(blocks, "ITEM_BLOCK", block)
+    monkeypatch.setattr(blocks, "QUERY_BLOCK", 5)
+    q, i = _scattered(spark)
+    q, i = C.cut_lineage(C.prepare_queries(q)), C.cut_lineage(C.prepare_items(i))
+    semantic = C.params_matches(q, i)
+    weightings = [[1.0] * 5, [2.0, 0.0, 1.0, 0.5, 1.0], [0.0, 1.0, 0.0, 0.0, 0.0]]
+    scored = C.score_pairs(q, i, semantic=semantic)
+    ranked = C.cut_lineage(with_rank_terms(scored, "uid", "item_id", list(SCORES)))
+    got = C.best_items(q, i, GeneratorConfig(top_k=9), weightings).collect()
+    shown = lambda r: (r["uid"], r["query_id"], r["item_id"], r["rrf_rank"], round(r["rrf_score"], 12), *(round(r[c], 6) for c in SCORES), None if r["location_distance_km"] is None else round(r["location_distance_km"], 2))
+    for n, w in enumerate(weightings):
+        want = top_by(ranked.withColumn("rrf_score", fused_score(list(SCORES), w)), "uid", "rrf_score", "item_id", 9)
+        assert {shown(r) for r in got if r["variant"] == n} == {shown(r) for r in want.collect()}
+    assert len({r["uid"] for r in got}) == 13
+
+
+def test_hot_queries_rank_like_the_others(spark, monkeypatch):
+    r = random.Random(1)
+    rows = {(r.choice(["hot", "hot", "a", "b"]), f"i{r.randrange(90)}"): (float(r.randrange(4)), 1.0, r.random()) for _ in range(300)} | {("one", "i"): (1.0, 1.0, 1.0)}
+    df = spark.createDataFrame([(*k, *v) for k, v in rows.items()], "query_id string, item_id string, x float, y float, z float")
+    plain = {tuple(r) for r in with_rank_terms(df, "query_id", "item_id", ["x", "y", "z"]).collect()}
+    monkeypatch.setattr(fusion, "ONE_TASK", 60)
+    hot = with_rank_terms(df, "query_id", "item_id", ["x", "y", "z"])
+    assert {tuple(r) for r in hot.select(*df.columns, "rank_x", "rank_y", "rank_z").collect()} == plain
+    every = top_by(df, "query_id", "z", "item_id", None, "at").collect()
+    assert sorted((r["query_id"], r["at"]) for r in every) == sorted((q, k + 1) for q in {q for q, _ in rows} for k in range(sum(p == q for p, _ in rows)))
+
+
+def test_another_text_signal(spark):
+    q, i = _catalogue(spark)
+    mine = spark.createDataFrame([("q1", f"{6:016x}", 5.0)], "query_id string, item_id string, score double")
+    only = GeneratorConfig(top_k=2, signal_weights=dict.fromkeys(SIGNALS, 0.0) | {"text_coverage": 1.0})
+    got = C.generate_with_features(q, i, only, text_score=mine).where("query_id = 'q1' AND rrf_rank = 1").first()
+    assert got["item_id"] == f"{6:016x}" and got["text_coverage_score"] == 5.0
+
+
+def test_block_products(spark, monkeypatch):
+    from quern.functions import vectors
+
+    monkeypatch.setattr(vectors, "LEFT_BLOCK", 3)
+    monkeypatch.setattr(vectors, "RIGHT_BLOCK", 4)
+    r = random.Random(4)
+    v = spark.createDataFrame([(k, None if k == 5 else [r.random() for _ in range(4)]) for k in range(20)], "i long, embedding array<float>")
+    rows = {x["i"]: x["embedding"] for x in v.collect() if x["embedding"]}
+    dots = {(a, b): sum(x * y for x, y in zip(rows[a], rows[b])) for a in rows for b in rows}
+    both = vectors.block_products(v.withColumnRenamed("i", "a"), v.withColumnRenamed("i", "b"), "a", "b")
+    assert {(x["a"], x["b"]): x["similarity"] for x in both.collect()} == pytest.approx(dots, rel=1e-5)
+    some = vectors.block_products(v.withColumnRenamed("i", "a"), v.withColumnRenamed("i", "b"), "a", "b", threshold=1.0)
+    assert {(x["a"], x["b"]) for x in some.collect()} == {k for k, d in dots.items() if d >= 1.0}
+    top = top_by(vectors.block_products(v.withColumnRenamed("i", "a"), v.withColumnRenamed("i", "b"), "a", "b", k=2), "a", "similarity", "b", 2)
+    assert {(x["a"], x["b"]) for x in top.collect()} == {(a, b) for a in rows for b in sorted(rows, key=lambda b: -dots[a, b])[:2]}
+    assert vectors.block_products(v.withColumnRenamed("i", "a").limit(0), v.withColumnRenamed("i", "b"), "a", "b").count() == 0

@@ -32,7 +32,7 @@ def data(spark, tmp_path_factory):
 
 
 def test_training_split_takes_all_reachable_queries(spark, data):
-    labels = {r["query_id"]: r["relevant_item_ids"] for r in Q.relevance_labels(spark, data).collect()}
+    labels = {r["query_id"]: r["item_id"] for r in Q.relevance_long(spark, data).collect()}
     validation = {r["query_id"] for r in Q.sample_queries(spark, data).collect()}
     want = {q for q, item in labels.items() if q not in validation and int(item, 16) % 9}
     assert len(want) > 60
@@ -59,7 +59,7 @@ def test_all_logged_candidates_are_reranked(spark, data):
 def test_evaluation_takes_800_queries(spark, data):
     got = {r["query_id"] for r in Q.sample_queries(spark, data).collect()}
     assert len(got) == 800
-    wanted = {int(r["relevant_item_ids"], 16) for r in Q.relevance_labels(spark, data).collect() if r["query_id"] in got}
+    wanted = {int(r["item_id"], 16) for r in Q.relevance_long(spark, data).collect() if r["query_id"] in got}
     extra = {k for k in wanted if k % 9 == 0}
     assert extra and {int(r["item_id"], 16) for r in Q.eval_corpus(spark, data).collect()} == extra | {k for k in range(N_QUERIES) if k % 9}
 
