@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from quern.config import SCORES
 from quern.functions.geo import EARTH_RADIUS_KM
 from quern.plans.lineage import cut_lineage
 
-#: Items and queries that meet in one task at most, and marks of a signal.
-ITEM_BLOCK, QUERY_BLOCK = 32_768, 2048
+#: Items and queries that meet in one task at most, queries that are worth a task, and marks of a signal.
+ITEM_BLOCK, QUERY_BLOCK, LEAST_QUERIES = 32_768, 2048, 128
 MARKS = 28
 _N = len(SCORES)
 _QUERY = ["uid", "filter_category", "search_location_id", "centroid_lat", "centroid_lon", "q_params", "q_text", "q_embedding"]
@@ -60,11 +61,11 @@ def _filled(column: pa.Array, null) -> np.ndarray:
 
 def _vectors(column: pa.Array) -> np.ndarray:
     """A column of float lists as (position, row) in double; null is a zero vector."""
-    known = [v for v in column if v.is_valid]
-    dim = len(known[0]) if known else 0
+    known = column.drop_null()
+    dim = len(known[0]) if len(known) else 0
     out = np.zeros((dim, len(column)))
     at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-    out[:, at] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim).T if len(at) else 0.0
+    out[:, at] = known.flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim).T if len(at) else 0.0
     return out
 
 
@@ -118,6 +119,13 @@ class _Block:
         return rows, out[:, rows]
 
 
+def _pack(table: pa.Table) -> pa.Table:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return pa.table({"ib": table.column("ib").slice(0, 1), "block": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
 def _packed(rows: dict[str, list], schema: str) -> pa.Table:
     kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "float": pa.float32(), "double": pa.float64()}
     return pa.table({n: pa.array(rows[n], kinds[k]) for n, k in (x.split() for x in schema.split(", "))})
@@ -168,12 +176,14 @@ class BlockRanker:
         self.weightings, self.top_k, self.rrf_k, self.decay = weightings, top_k, rrf_k, decay_km
         n_queries, n_items = queries.count(), items.count()
         self.n_blocks = max(1, -(-n_items // ITEM_BLOCK))
-        tasks = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        size = min(QUERY_BLOCK, max(32, -(-n_queries * self.n_blocks // tasks)))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        size = min(QUERY_BLOCK, max(LEAST_QUERIES, -(-n_queries * self.n_blocks // tasks)))
         self.q_blocks = max(1, -(-n_queries // size))
         self.tasks = min(self.q_blocks * self.n_blocks, 4 * tasks)
         self.queries = queries.select(*_QUERY).withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(self.q_blocks)))
-        self.items = items.select(*_ITEM).withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(self.n_blocks)))
+        blocks = items.select(*_ITEM).withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(self.n_blocks)))
+        # A block travels as one value, so that repeating it for every block of queries costs no more than its bytes.
+        self.items = cut_lineage(blocks.groupBy("ib").applyInArrow(_pack, "ib long, block binary"))
 
     def _meet(self, work, schema: str, state: DataFrame | None = None, only: int | None = None) -> DataFrame:
         """``work(block, query)`` for every block of items and query; ``state`` adds columns to queries by uid."""
@@ -187,7 +197,7 @@ class BlockRanker:
         def run(q: pa.Table, i: pa.Table) -> pa.Table:
             rows: dict[str, list] = {n: [] for n in names}
             if q.num_rows and i.num_rows:
-                block = _Block(i, decay)
+                block = _Block(pa.ipc.open_stream(i.column("block")[0].as_buffer()).read_all(), decay)
                 for query in q.to_pylist():
                     for values in work(block, query):
                         for n, v in zip(names, values):

@@ -259,6 +259,7 @@ def test_blocks_rank_like_the_pairs(spark, monkeypatch, block):
     """Ranks found block by block are those among all pairs, whatever the blocks and the weights."""
     monkeypatch.setattr(blocks, "ITEM_BLOCK", block)
     monkeypatch.setattr(blocks, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(blocks, "LEAST_QUERIES", 3)
     q, i = _scattered(spark)
     q, i = C.cut_lineage(C.prepare_queries(q)), C.cut_lineage(C.prepare_items(i))
     semantic = C.params_matches(q, i)
