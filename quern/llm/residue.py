@@ -1,218 +1,141 @@
 """Template residue, filler, error pages and script notices instead of real content.
 
-Labelled exemplars are kept in an inverted index under their rarest terms. A document's tokens retrieve the exemplars
-whose rare terms it has; around each hit a passage window is held against the exemplar: TF-IDF containment is the share of
-the exemplar's weight that the window covers, where weights come from the document frequencies of all documents. A window
-that covers enough marks the document, unless an exemplar labelled as a mention (a text that only speaks about such
-things) covers the same place with at least as many terms.
-
-Filler that strings words of one vocabulary together in any order is found the other way round: a window whose weight is
-nearly all in the exemplar.
-
-Tokens are lower-case words and the marks that templates are written with, so that an unfilled slot is a short exemplar.
+Labelled exemplars (``residue_labels``) are kept in an inverted index under their rarest term. A document's terms retrieve the
+exemplars whose rarest term it has; around each hit a passage window, inside one sentence, is held against the exemplar.
+TF-IDF containment is the share of the exemplar's weight that the window covers, where weights come from the document
+frequencies of all documents; a high share marks the document. A message (not a slot or value) counts as spoken about, and
+doesn't mark, where a term of what sellers do, teach or explain stands in or right beside its window.
+
+Documents are tokenised once: one pass gives both the exemplars' document frequencies and, for each window that could cover
+enough under any weights, the set of terms covered. Only these few rows are weighed afterwards.
 """
 
 from __future__ import annotations
 
 import math
-import re
-import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Least share of an exemplar's weight that a window must cover.
-COVERED = 0.86
-#: Filler: windows of so many tokens, of which this share of weight must be in the filler's vocabulary.
-FILLER_WINDOW, FILLER_SHARE = 6, 0.8
-
-_TOKEN = re.compile(r"\{\{|\}\}|\{%|%\}|<%|%>|\[\[|\]\]|[$#]\{|@@|xxx_|_xxx|_{3,}|__|(?<=[^\W\d])%|%(?=[^\W\d])|[{}\[\]<>()|]|[^\W_]+")
-_MASK = re.compile(r"\b[xх]{2}\.[xх]{2}\.[xх]{2,4}\b")
-_HTTP = re.compile(r"[45]\d\d")
-_INVISIBLE = dict.fromkeys(c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf")
-
-
-def residue_tokens(text: str) -> list[str]:
-    """Tokens of a text: compatibility forms, case, ё/е, invisible characters and spacing don't matter."""
-    text = unicodedata.normalize("NFKC", text).translate(_INVISIBLE).lower().replace("ё", "е")
-    text = _MASK.sub(" datemask ", text)
-    return ["httpcode" if _HTTP.fullmatch(t) else t for t in _TOKEN.findall(text)]
-
-
-# Exemplars: label, slack (tokens a window may have besides), text. Slots of one shape are built by rule from the names.
-_NAMES = (
-    "brand", "discount", "deadline", "phone", "city", "region", "price", "serviceTitle", "UserName", "master_name", "item_title",
-    "rating_avg", "addr.street", "seller.name", "email", "date", "name", "title", "description", "описание", "цена", "город", "срок", "название",
-    "имя мастера", "название услуги", "адрес_мастерской", "имя", "телефон", "адрес", "дата", "услуга",
-)
-_NAMED_SLOTS = ("{%s}", "[%s]", "<%s>")
-_SLOTS = ("{{ }}", "{% %}", "<% %>", "${ }", "#{ }", "[[ ]]", "@@ @@", "xxx_ _xxx", "__ __", "[вставить ]", "[вставьте ]", "[insert here]", "<укажите >", "( заполнить)", "<введите >", "[введите ]")
-#: Marks that open and close a slot and differ: whatever stands between them, the slot ends at the closing mark.
-_PAIRED = {"{{": "}}", "{%": "%}", "<%": "%>", "${": "}", "#{": "}", "[[": "]]", "xxx_": "_xxx"}
-_EXACT = ("[object Object]", "{0}", "{1}", "%s от %d", "%s %d", "datemask", "NaN рублей", "undefined рублей", "за null час", "undefined undefined", "null null", "________ (впишите сами)", "keyerror", "nullpointerexception", "sqlstate", "ошибка 404", "код 404", "error 404", "http 1 1 404", "404 not found", "503 service unavailable", "504 gateway timeout", "403 forbidden", "bad gateway", "internal server error", "referenceerror", "noscript")
-_PHRASES = (
-    # error pages
-    "страница не найдена", "слишком много запросов", "не удалось загрузить карточку", "что-то пошло не так", "доступ запрещён",
-    "время ожидания ответа истекло", "нет соединения с сервером", "внутренняя ошибка сервера", "сервис временно недоступен",
-    "такой страницы больше нет", "объявление снято с публикации или никогда не существовало", "the page you requested could not be found",
-    "error establishing a database connection", "попробуйте обновить страницу", "проверьте адрес в строке браузера", "service temporarily unavailable",
-    "если страница не открылась, проверьте настройки", "too many requests", "access denied you don't have permission", "запрошенная страница не существует", "запрошенный адрес не существует", "сценарии отключены: карточка не откроется",
-    # program errors
-    "traceback most recent call last", "typeerror cannot read properties of undefined reading", "java lang nullpointerexception", "base table or view not found",
-    "fatal error allowed memory size exhausted in", "warning undefined variable in", "fatal error uncaught exception", "parse error syntax error unexpected",
-    "unhandled exception at", "segmentation fault core dumped", "object reference not set to an instance of an object", "notice undefined index in",
-    # filler
-    "тут какой-то текст про компанию, допишем позже", "это пример абзаца, он нужен только для оценки макета", "sample text goes here", "описание скоро появится",
-    "todo написать описание", "страница находится в разработке", "контент добавят позднее", "тест тест тест проверка", "asdf asdf qwerty йцукен фыва", "текст-заглушка, заменить перед публикацией",
-    "здесь будет описание услуги", "рыба рыба рыба, текст для проверки вёрстки", "заголовок номер один", "подзаголовок номер два", "абзац номер три", "здесь будет ваш текст",
-    "lorem ipsum dolor sit amet", "your text goes here", "insert your text here", "this page is under construction", "раздел в разработке",
-    # notices
-    "включите javascript", "включите cookies и скрипты", "активируйте скрипты в браузере", "разрешите выполнение сценариев", "подтвердите, что вы не робот", "отключите блокировщик и включите js",
-    "please enable javascript to view this page", "you need to enable javascript to run this app", "javascript is disabled in your browser", "this site requires cookies and active scripts",
-    "checking your browser before accessing", "ваш браузер не поддерживает скрипты", "в вашем браузере отключён javascript", "часть функций недоступна", "проверяем браузер, это займёт секунд",
-    "страница работает только со включёнными сценариями", "verify you are human", "please enable cookies",
-)
-_MENTIONS = (
-    "страница не найдена в поиске", "восстановлю сервер после сбоя 502, объясню причину", "сделаю макет с настоящими текстами, без заглушек", "учу программированию исключения шаблоны переменные",
-    "помогу, если браузер блокирует скрипты оплаты", "составлю шаблон договора и заполню поля за вас", "пишу на javascript, включая скрипты для каталога", "исправлю ошибку 404 на сайте", "исправляю на сайтах ошибку 404 и настраиваю страницы входа",
-    "объясню, почему страница не найдена", "настрою страницу ошибки 404",
-)
-_FILLER = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo"
-
-
-def exemplars() -> list[tuple[str, int, list[str]]]:
-    """The labelled table: (label, slack, tokens)."""
-    rows = [("slot", 0, form.replace("%s", n)) for n in _NAMES for form in _NAMED_SLOTS]
-    rows += [("slot", 4, s) for s in _SLOTS] + [("residue", 0, s) for s in _EXACT]
-    rows += [("residue", 1, s) for s in _PHRASES] + [("mention", 1, s) for s in _MENTIONS]
-    out = []
-    for label, slack, text in rows:
-        found = residue_tokens(text)
-        if label == "slot" and slack == 0:
-            found = [t for t in found if t]
-        out.append((label, slack, found))
-    # Percent signs around a name: the signs count only next to letters, so they are given as tokens.
-    out += [("slot", 2, ["%", "%"])]
-    return out
-
-
-def term_frequencies(docs: DataFrame, text: str) -> tuple[dict[str, int], int]:
-    """Document frequency of every exemplar term, and the number of documents with a text; over all documents.
-
-    The table has one row for each exemplar term, whatever the data.
-    """
-    terms = {t for _, _, e in exemplars() for t in e} | set(residue_tokens(_FILLER))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[str, int] = dict.fromkeys(terms, 0)
-        n[""] = 0
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                n[""] += 1
-                for x in terms.intersection(residue_tokens(t)):
-                    n[x] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+from quern.llm.residue_labels import ABOUT, ABOUT_SLACK, exemplars, residue_terms
+from quern.plans.lineage import cut_lineage
 
-    rows = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = {r["term"]: r["n"] for r in rows}
-    return df, df.pop("", 0)
+#: Least share of an exemplar's weight that a window must cover, and terms up to which an exemplar must be covered whole.
+COVERED, WHOLE = 0.86, 4
+#: Terms that say little in any text; an exemplar is never retrieved by one of them alone if it has another.
+_COMMON = {"PAGE", "SERVER", "TEXT", "FUTURE", "HERE", "TEMP", "UNIT", "REQUIRES", "MANY", "LATER", "HUMAN", "ERROR", "NUMBER", "YOUR", "ACCESS", "BROWSER", "в", "на", "под", "for", "для", "is", "of", "to", "or", "by", "you", "are", "я", "или", "и", "какой", "то"}
 
 
 class ResidueIndex:
-    """Inverted index of the exemplars under the terms without which a window can't cover enough."""
+    """Inverted index of the exemplars."""
 
-    def __init__(self, df: dict[str, int], n_docs: int):
-        self.idf = lambda t: math.log((n_docs + 2) / (df.get(t, 0) + 1))
-        self.weight = {t: self.idf(t) for t in df}
-        self.entries: list[tuple[str, int, dict[str, tuple[int, float]], float]] = []
+    def __init__(self):
+        self.entries = exemplars()
+        self.terms = sorted({t for _, _, e in self.entries for t in e})
         self.index: dict[str, list[int]] = {}
-        for label, slack, found in exemplars():
-            counts = {t: (found.count(t), self.weight.get(t, self.idf(t))) for t in found}
-            total = sum(n * w for n, w in counts.values())
-            k = len(self.entries)
-            self.entries.append((label, len(found) + slack, counts, total))
-            rest = total
-            for t, (n, w) in sorted(counts.items(), key=lambda x: (-x[1][1], x[0])):
-                self.index.setdefault(t, []).append(k)
-                rest -= n * w
-                if rest < COVERED * total:
-                    break
-        self.filler = set(residue_tokens(_FILLER))
-        self.heaviest = math.log(n_docs + 2)
-
-    def _covered(self, tokens: list[str], at: int, k: int) -> tuple[int, int] | None:
-        """The place of the best window around ``at`` that covers exemplar ``k``, if any does."""
-        _, size, counts, total = self.entries[k]
-        best = None
-        for start in range(max(0, at - size + 1), at + 1):
-            window = tokens[start : start + size]
-            got = sum(min(n, window.count(t)) * w for t, (n, w) in counts.items() if t in window)
-            if got >= COVERED * total and (best is None or got > best[0]):
-                best = (got, start, start + len(window))
-        return best and best[1:]
-
-    @staticmethod
-    def _slots(tokens: list[str]) -> Iterator[tuple[int, int, int]]:
-        """Places from an opening mark to the next closing mark of its kind, and the number of marks."""
-        opened: dict[str, int] = {}
-        for at, t in enumerate(tokens):
-            for mark in [m for m in opened if _PAIRED[m] == t]:
-                yield opened.pop(mark), at + 1, 2
-            if t in _PAIRED:
-                opened[t] = at
-
-    def _is_filler(self, tokens: list[str]) -> bool:
-        size = min(FILLER_WINDOW, max(3, len(tokens)))
-        inside = [t in self.filler for t in tokens]
-        if sum(inside) < size - 1:
-            return False
-        weights = [self.weight.get(t, self.heaviest) if i else self.heaviest for t, i in zip(tokens, inside)]
-        for s in range(len(tokens) - size + 1):
-            if sum(inside[s : s + size]) >= size - 1:
-                whole = sum(weights[s : s + size])
-                if sum(w for w, i in zip(weights[s : s + size], inside[s : s + size]) if i) >= FILLER_SHARE * whole:
-                    return True
-        return False
-
-    def matches(self, text: str | None) -> bool:
-        if not text or text.isspace():
-            return False
-        tokens = residue_tokens(text)
-        hits = [(at, k) for at, t in enumerate(tokens) if t in self.index for k in self.index[t]]
-        found: list[tuple[int, int, int]] = []
-        mentions: list[tuple[int, int, int]] = []
-        for at, k in hits:
-            label = self.entries[k][0]
-            if place := self._covered(tokens, at, k):
-                (mentions if label == "mention" else found).append((*place, len(self.entries[k][2])))
-        found += self._slots(tokens)
-        if any(not any(m[0] < f[1] and f[0] < m[1] and m[2] >= f[2] for m in mentions) for f in found):
-            return True
-        return self._is_filler(tokens)
+        for k, (_, _, terms) in enumerate(self.entries):
+            if len(terms) > WHOLE:
+                # A window may lack any one term of a long exemplar.
+                for t in set(terms):
+                    self.index.setdefault(t, []).append(k)
+            else:
+                self.index.setdefault(min(terms, key=lambda t: (t in _COMMON, -len(t), t)), []).append(k)
+        self.counts = [Counter(terms) for _, _, terms in self.entries]
+
+    def windows(self, terms: list[str]) -> dict[int, set[int]]:
+        """Per exemplar the sets of its terms, as bits, that some window covers; only sets that can suffice, and only where the
+        window isn't spoken about."""
+        at = [k for k, t in enumerate(terms) if t in self.index]
+        if not at:
+            return {}
+        ends = [k for k, t in enumerate(terms) if t == "¶"]
+        found: dict[int, set[int]] = {}
+        e = 0
+        for k in at:
+            while e < len(ends) and ends[e] < k:
+                e += 1
+            low, high = ends[e - 1] + 1 if e else 0, ends[e] if e < len(ends) else len(terms)
+            for n in self.index[terms[k]]:
+                speakable, slack, own = self.entries[n]
+                size, counts = len(own) + slack, self.counts[n]
+                least = len(own) - (len(own) > WHOLE)
+                for start in range(max(low, k - size + 1), k + 1):
+                    window = terms[start : min(high, start + size)]
+                    if window[0] not in counts or len(window) < least:
+                        continue
+                    have = {t: min(c, window.count(t)) for t, c in counts.items()}
+                    if sum(have.values()) < least:
+                        continue
+                    if speakable:
+                        last = start + max(i for i, t in enumerate(window) if t in counts)
+                        if ABOUT in terms[max(low, start - ABOUT_SLACK) : min(high, last + 1 + ABOUT_SLACK)]:
+                            continue
+                    mask, seen = 0, Counter()
+                    for bit, t in enumerate(own):
+                        seen[t] += 1
+                        mask |= (seen[t] <= have[t]) << bit
+                    found.setdefault(n, set()).add(mask)
+        return found
+
+    def sufficient(self, df: dict[str, int], n_docs: int) -> list[tuple[int, int]]:
+        """The (exemplar, set of terms) that cover enough, by the weights of ``df``: a table that doesn't grow with the data."""
+        weight = {t: math.log((n_docs + 2) / (df.get(t, 0) + 1)) for t in self.terms}
+        out = []
+        for n, (_, _, own) in enumerate(self.entries):
+            whole = sum(weight[t] for t in own) or 1.0
+            full = (1 << len(own)) - 1
+            masks = [full] if len(own) <= WHOLE else [full, *(full & ~(1 << b) for b in range(len(own)))]
+            out += [(n, m) for m in masks if m == full or sum(weight[t] for b, t in enumerate(own) if m >> b & 1) >= COVERED * whole]
+        return out
+
+
+def _scanned(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """One pass over the texts: ``id, entry, mask`` of windows, and rows with a negative entry that count documents by term."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = ResidueIndex()
+        known = frozenset(index.terms)
+        df: Counter[str] = Counter()
+        n_docs, id_type = 0, None
+        for batch in batches:
+            id_type = batch.column(0).type
+            at, entries, masks = [], [], []
+            for row, t in enumerate(batch.column(1).to_pylist()):
+                n_docs += 1
+                terms = residue_terms(t)
+                df.update(known.intersection(terms))
+                for n, sets in index.windows(terms).items():
+                    for m in sets:
+                        at.append(row)
+                        entries.append(n)
+                        masks.append(m)
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(entries, pa.int32()), pa.array(masks, pa.int64())], names=["id", "entry", "n"])
+        if id_type is not None:
+            counts = [n_docs, *(df[t] for t in index.terms)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(counts), id_type), pa.array(range(-1, -1 - len(counts), -1), pa.int32()), pa.array(counts, pa.int64())], names=["id", "entry", "n"])
+
+    return docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, entry int, n long")
 
 
 def residue_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ids of the documents whose text is or holds residue; each row counts by itself.
+    """Distinct ids of the documents whose text is or holds residue; a null id is one of its own.
 
     Null, empty and blank texts, and leftover markup alone, aren't residue. Whole texts are read; an empty table gives
     no rows. Extra columns are ignored.
     """
-    df, n_docs = term_frequencies(docs, text)
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = ResidueIndex(df, n_docs)
-        for pdf in batches:
-            keep = np.fromiter((index.matches(t) for t in pdf["t"]), bool, len(pdf))
-            yield pdf.loc[keep, ["id"]]
-
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"))
-    return rows.mapInPandas(find, f"id {dict(docs.dtypes)[id_col]}").select(F.col("id").alias(id_col))
+    index = ResidueIndex()
+    scanned = cut_lineage(_scanned(docs, id_col, text))
+    counts = {r["entry"]: r["n"] for r in scanned.where("entry < 0").groupBy("entry").agg(F.sum("n").alias("n")).collect()}
+    df = {t: counts.get(-2 - k, 0) for k, t in enumerate(index.terms)}
+    enough = docs.sparkSession.createDataFrame(index.sufficient(df, counts.get(-1, 0)), "entry int, n long")
+    return scanned.where("entry >= 0").join(F.broadcast(enough), ["entry", "n"], "left_semi").select(F.col("id").alias(id_col)).distinct()
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold residue; rows with a null id stay."""
-    return docs.join(residue_documents(docs, id_col, text).distinct(), id_col, "left_anti")
+    return docs.join(residue_documents(docs, id_col, text), id_col, "left_anti")

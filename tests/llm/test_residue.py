@@ -1,6 +1,9 @@
 import pytest
 
-from quern.llm import residue
+from quern.llm import residue, residue_labels
+
+from residue_cases import CLEAN as CLEAN_UNSEEN
+from residue_cases import RESIDUE
 
 FOUND = [
     "Страница  не найдена", "ОШИБКА 404.", "HTTP/1.1 504 The page you requested could not be found", "Мастер {{ имя }} приедет вовремя", "Работа за {PRICE} рублей и сегодня",
@@ -22,15 +25,40 @@ def rows():
 
 
 def test_residue(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string, t string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, entry string")
     got = [x["doc_id"] for x in residue.residue_documents(df).collect()]
-    assert sorted(x for x in got if x is not None) == sorted([0, *range(len(FOUND))]) and got.count(None) == 1
+    assert sorted(x for x in got if x is not None) == list(range(len(FOUND))) and got.count(None) == 1
     kept = {x["doc_id"] for x in residue.clean_documents(df).collect()}
     assert kept == {k for k, _, _ in rows if k is None or k >= len(FOUND)}
     assert residue.residue_documents(df.limit(0)).count() == 0
 
 
+def found(text):
+    return bool(residue.ResidueIndex().windows(residue_labels.residue_terms(text)))
+
+
+def test_unseen_texts():
+    """Texts that stand in no exemplar: at least nine in ten are told right, each way."""
+    assert len(set(RESIDUE)) >= 100 and len(set(CLEAN_UNSEEN)) >= 100
+    missed, wrong = [t for t in RESIDUE if not found(t)], [t for t in CLEAN_UNSEEN if found(t)]
+    assert len(missed) < 0.1 * len(RESIDUE), missed
+    assert len(wrong) < 0.1 * (len(RESIDUE) - len(missed) + len(wrong)), wrong
+
+
+def test_long_texts_take_linear_time():
+    assert not found("{{ не закрыто " * 20_000) and found("Хорошая работа. " * 20_000 + "{{ x }}")
+
+
+def test_weights_decide_long_exemplars():
+    index = residue.ResidueIndex()
+    n = next(k for k, (_, _, own) in enumerate(index.entries) if len(own) > residue.WHOLE)
+    own = index.entries[n][2]
+    full = (1 << len(own)) - 1
+    even = {m for k, m in index.sufficient({}, 1000) if k == n}
+    rare_first = {m for k, m in index.sufficient({t: 900 for t in own}, 1000) if k == n}
+    assert full in even and full in rare_first
+
+
 def test_slots_of_any_length_are_residue():
-    index = residue.ResidueIndex({}, 100)
-    assert all(map(index.matches, ["Цена {{ price | default('x') | round(2) }} руб", "Адрес {{ order.delivery.address.street.name }}", "{% if user.is_active and user.has_paid %} да"]))
-    assert not any(map(index.matches, ["Цена }} без начала, затем совсем другие слова подряд и лишь потом {{ без конца", "Обычный текст мастера"]))
+    assert all(map(found, ["Цена {{ price | default('x') | round(2) }} руб", "Адрес {{ order.delivery.address.street.name }}", "{% if user.is_active and user.has_paid %} да"]))
+    assert not any(map(found, ["Цена }} без начала, затем совсем другие слова подряд и лишь потом {{ без конца", "Обычный текст мастера"]))
