@@ -94,17 +94,31 @@ def near_pairs(df: DataFrame, id_col: str, lat: str, lon: str, radius_m: float)
     points = cut_lineage(points.select("*", *(cell(c).alias(f"i{c}") for c in "xyz")))
 
     idx = [F.col("ix"), F.col("iy"), F.col("iz")]
-    path = F.array(*(F.struct(F.lit(l).alias("level"), _key(l, last, *idx).alias("key"), (_key(levels[j - 1], last, *idx) if j else F.lit(-1).cast("long")).alias("parent")) for j, l in enumerate(levels)))
-    nodes = (
-        points.select(F.explode(path).alias("p"), "x", "y", "z")
-        .groupBy("p.level", "p.key", "p.parent")
-        .agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(c + k) for c in "xyz" for f, k in ((F.min, "0"), (F.max, "1"))))
-    )
     diagonal2 = sum((F.col(f"{c}1") - F.col(f"{c}0")) * (F.col(f"{c}1") - F.col(f"{c}0")) for c in "xyz")
-    nodes = nodes.withColumn("leaf", (F.col("n") <= LEAF_POINTS) | (diagonal2 <= sure2) | (F.col("level") == last))
-    above = F.element_at(F.create_map(*(F.lit(v) for j, l in enumerate(levels) for v in (l, levels[j - 1] if j else -1))), F.col("level"))
-    divided = nodes.where(~F.col("leaf")).select(F.col("level").alias("up"), F.col("key").alias("parent"))
-    nodes = nodes.withColumn("up", above)
+    is_leaf = (F.col("n") <= LEAF_POINTS) | (diagonal2 <= sure2) | (F.col("level") == last)
+
+    def path(some: list[int]) -> Column:
+        above = lambda l: _key(levels[levels.index(l) - 1], last, *idx) if l != levels[0] else F.lit(-1).cast("long")
+        return F.array(*(F.struct(F.lit(l).alias("level"), _key(l, last, *idx).alias("key"), above(l).alias("parent")) for l in some))
+
+    def counted(rows: DataFrame, some: list[int]) -> DataFrame:
+        boxes = (f(c).alias(c + k) for c in "xyz" for f, k in ((F.min, "0"), (F.max, "1")))
+        nodes = rows.select(F.explode(path(some)).alias("p"), "x", "y", "z").groupBy("p.level", "p.key", "p.parent").agg(F.count(F.lit(1)).alias("n"), *boxes)
+        return cut_lineage(nodes.withColumn("leaf", is_leaf))
+
+    # The tree is built in two steps: below the middle level, only points of divided nodes are counted. Divided nodes, and
+    # leaves below, are narrow tables: while they are small, their files' size lets the planner broadcast them, so that
+    # neither nodes nor points are shuffled to be looked up.
+    upper, lower = levels[:4], levels[4:]
+    nodes = counted(points, upper)
+    split_at = lambda df: cut_lineage(df.where(~F.col("leaf")).select(F.col("level").alias("up"), F.col("key").alias("parent")))
+    divided = split_at(nodes)
+    if lower:
+        crowded = divided.where(F.col("up") == upper[-1]).select(F.col("parent").alias("_key"))
+        deep = counted(points.withColumn("_key", _key(upper[-1], last, *idx)).join(crowded, "_key", "left_semi"), lower)
+        nodes, divided = nodes.unionByName(deep), divided.unionByName(split_at(deep))
+    up = F.element_at(F.create_map(*(F.lit(v) for j, l in enumerate(levels) for v in (l, levels[j - 1] if j else -1))), F.col("level"))
+    nodes = nodes.withColumn("up", up)
     tree = cut_lineage(nodes.where(F.col("up") < 0).unionByName(nodes.join(divided, ["up", "parent"], "left_semi")).drop("up"))
 
     # The first level: pairs of neighbouring cells, found by key.
@@ -151,8 +165,8 @@ def near_pairs(df: DataFrame, id_col: str, lat: str, lon: str, radius_m: float)
     # Two chunks of one leaf meet once.
     joined = joined.where(~F.col("one") | (F.col("a_salt") <= F.col("b_salt")))
 
-    leaves = tree.where("leaf").select("level", "key", "n")
-    placed = points.select("id", "lat", "lon", F.explode(F.transform(path, lambda p: F.struct(p["level"].alias("level"), p["key"].alias("key")))).alias("p"))
+    leaves = cut_lineage(tree.where("leaf").select("level", "key", "n"))
+    placed = points.select("id", "lat", "lon", F.explode(F.transform(path(levels), lambda p: F.struct(p["level"].alias("level"), p["key"].alias("key")))).alias("p"))
     placed = placed.select("id", "lat", "lon", "p.level", "p.key").join(leaves, ["level", "key"])
     placed = cut_lineage(placed.select("level", "key", F.pmod(F.xxhash64("id"), chunks("n")).cast("int").alias("salt"), "id", "lat", "lon"))
 
