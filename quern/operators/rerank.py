@@ -1,14 +1,19 @@
-"""Second-stage ranking: scoring, cutting, and a trainable pairwise linear ranker.
+"""Second-stage ranking: scoring, cutting, and trainable rankers.
 
-Spark has no listwise boosting; the ranker here learns from within-query differences between relevant and other candidates
-(logistic loss on standardised features), and a pointwise boosted ensemble is offered behind the same interface.
+``train_listwise`` boosts regression trees on the gradient of a listwise loss (the cross entropy between a query's labels and
+the softmax of its scores), with an evaluation set, early stopping and the best model kept. ``train_pairwise`` fits a linear
+ranker to within-query differences.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.plans.lineage import cut_lineage, discard
+
 
 def rerank(scored: DataFrame, score: str, k: int = 50, ties: list[Column] | None = None) -> DataFrame:
     """``query_id, item_id, rank``: the ``k`` best by ``score``; ties keep the incoming ``rrf_rank`` order, or go by ``ties``.
@@ -66,18 +71,93 @@ def apply_pairwise(features: DataFrame, columns: list[str], weights: dict[str, f
     return linear_score(filled, weights)
 
 
-def train_pointwise(features: DataFrame, columns: list[str], iterations: int = 20, depth: int = 4, seed: int = 42):
-    """A boosted ensemble on single candidates; ``model.transform`` of ``assembled`` rows gives ``probability``."""
-    from pyspark.ml.classification import GBTClassifier
-
-    return GBTClassifier(featuresCol="x", labelCol="label", maxIter=iterations, maxDepth=depth, seed=seed).fit(assembled(features, columns))
-
-
-def assembled(features: DataFrame, columns: list[str]) -> DataFrame:
+def assembled(features: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """Adds the feature vector ``x`` (nulls as 0, with indicators), and says what it holds."""
     from pyspark.ml.feature import VectorAssembler
 
     filled, names = imputed(features, columns)
-    return VectorAssembler(inputCols=names, outputCol="x").transform(filled)
+    return VectorAssembler(inputCols=names, outputCol="x").transform(filled), names
+
+
+@dataclass
+class BoostedRanker:
+    """A sum of regression trees; ``history`` has the evaluation recall after each tree, ``trees`` those of the best round."""
+
+    columns: list[str]
+    names: list[str]
+    rate: float
+    trees: list = field(default_factory=list)
+    scales: list[float] = field(default_factory=list)
+    history: list[float] = field(default_factory=list)
+
+    def score(self, features: DataFrame) -> DataFrame:
+        """Adds ``score`` to ``features``."""
+        out, _ = assembled(features, self.columns)
+        total = F.lit(0.0)
+        for n, (tree, scale) in enumerate(zip(self.trees, self.scales)):
+            out = tree.transform(out).withColumnRenamed("_t", f"_t{n}")
+            total = total + F.col(f"_t{n}") * (self.rate * scale)
+        out = out.withColumn("score", total)
+        keep = [c for c in features.columns if c != "score"]
+        return features.select(*keep).join(out.select("query_id", "item_id", "score"), ["query_id", "item_id"])
+
+    def importance(self, spark: SparkSession) -> DataFrame:
+        """``feature, importance``: mean importance over the trees, by size."""
+        totals = [0.0] * len(self.names)
+        for tree in self.trees:
+            for k, v in enumerate(tree.featureImportances.toArray()):
+                totals[k] += float(v) / len(self.trees)
+        return spark.createDataFrame(sorted(zip(self.names, totals), key=lambda x: (-x[1], x[0])), "feature string, importance double")
+
+
+def _recall(rows: DataFrame, k: int) -> float:
+    """Mean share of a query's relevant candidates among its ``k`` best by score; a query has a bounded list of candidates."""
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("rrf_rank"))
+    placed = rows.select("query_id", "label", (F.row_number().over(w) <= k).alias("top"))
+    per = placed.groupBy("query_id").agg(F.sum("label").alias("n"), F.sum(F.when(F.col("top"), F.col("label")).otherwise(0)).alias("h")).where("n > 0")
+    return float(per.agg(F.coalesce(F.avg(F.col("h") / F.col("n")), F.lit(0.0))).first()[0])
+
+
+def train_listwise(train: DataFrame, columns: list[str], evaluation: DataFrame | None = None, iterations: int = 12, rate: float = 0.5, depth: int = 5, patience: int = 3, k: int = 50, seed: int = 42) -> BoostedRanker:
+    """Listwise boosting on rows (query_id, item_id, rrf_rank, label, ``columns``), unique by query and item.
+
+    Each round fits a tree to labels / their sum - softmax(scores) within each query; queries without a relevant candidate
+    say nothing and are left out. With ``evaluation``, training stops after ``patience`` rounds without a better recall at
+    ``k`` there, and only the trees of the best round are kept. Scores are written once a round, so plans stay short.
+    """
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    wanted = train.groupBy("query_id").agg(F.sum("label").alias("_labels")).where("_labels > 0")
+    data, names = assembled(train.join(wanted, "query_id"), columns)
+    ranker = BoostedRanker(columns, names, rate)
+    now = cut_lineage(data.select("query_id", "item_id", "label", "_labels", "x").withColumn("score", F.lit(0.0)))
+    held = None if evaluation is None else cut_lineage(assembled(evaluation, columns)[0].select("query_id", "rrf_rank", "label", "x").withColumn("score", F.lit(0.0)))
+    best, best_at = (-1.0, 0)
+    for n in range(iterations):
+        # A score grows by at most ``rate`` a round, so exponentials stay small; the sums are one row a query.
+        sums = now.groupBy("query_id").agg(F.sum(F.exp("score")).alias("_all"))
+        target = now.join(sums, "query_id").withColumn("target", F.col("label") / F.col("_labels") - F.exp("score") / F.col("_all"))
+        tree = DecisionTreeRegressor(featuresCol="x", labelCol="target", predictionCol="_t", maxDepth=depth, seed=seed + n).fit(target)
+        # The largest step of a tree is ``rate``.
+        scale = tree.transform(target).agg(F.max(F.abs("_t"))).first()[0] or 1.0
+        ranker.trees.append(tree)
+        step = lambda rows: cut_lineage(tree.transform(rows).withColumn("score", F.col("score") + F.col("_t") * (rate / scale)).drop("_t"))  # noqa: E731, B023
+        ranker.scales.append(1.0 / scale)
+        before, now = now, step(now)
+        discard(before)
+        if held is not None:
+            before, held = held, step(held)
+            discard(before)
+            ranker.history.append(_recall(held, k))
+            if ranker.history[-1] > best:
+                best, best_at = ranker.history[-1], n + 1
+            elif n + 1 - best_at >= patience:
+                break
+    discard(now)
+    if held is not None:
+        discard(held)
+        ranker.trees, ranker.scales = ranker.trees[:best_at], ranker.scales[:best_at]
+    return ranker
 
 
 def importance(weights: dict[str, float], features: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from quern.operators import signals as S
 from quern.operators import submission as U
 from quern.operators.features import FEATURE_COLUMNS, feature_table, features_by_priority, item_content_features
 from quern.operators.fusion import fused_score, top_by, with_rank_terms
-from quern.plans.lineage import cut_lineage
+from quern.plans.lineage import cut_lineage, shared_dir
 from quern.plans.ranks import average_ranks
 from quern.plans.skew import join_weighted
 from quern.sources import tables as T
@@ -57,6 +58,17 @@ def tokenize_lemmas(spark: SparkSession, d: str) -> DataFrame:
     return lemmatize(searches, "ts", lemmas).select("query_id", F.size("ts").cast("long").alias("n_tokens"), F.md5(F.array_join("ts", " ")).alias("digest"))
 
 
+def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings of the searches' first 200 characters with their prompt, from a cache that a first run fills in part and a
+    second completes: the places and values that aren't zero."""
+    texts = _queries(spark, d).where("query_id IS NOT NULL").select("query_id", prefix(F.col("search_query")).alias("t")).distinct()
+    embed = lambda df, key, text: hash_embedding(df.withColumn("ts", tokens(F.col(text))), key, "ts")
+    path = f"{shared_dir(spark)}/embeddings-{uuid.uuid4().hex}"
+    T.cached_embeddings(texts.where("query_id < 'q8'"), "t", embed, "hash", "query", path)
+    both = T.cached_embeddings(texts, "t", embed, "hash", "query", path)
+    return both.select("query_id", F.posexplode("embedding").alias("pos", "v")).where("v <> 0").select("query_id", "pos", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
 def vocab_distinct(spark: SparkSession, d: str) -> DataFrame:
     texts = _train(spark, d).select(F.col("search_infm_params_text").alias("t")).unionByName(_queries(spark, d).select(F.col("search_infm_params_text").alias("t"))).distinct()
     return texts.select(F.explode(tokens(F.col("t"))).alias("token")).distinct()
@@ -438,18 +450,25 @@ def ltr_train_rerank(spark: SparkSession, d: str) -> DataFrame:
     return V.baseline_comparison(f, again, relevance)
 
 
+def ltr_listwise(spark: SparkSession, d: str) -> DataFrame:
+    """Recall@50 of boosting with a listwise loss, stopped early by the validation queries, and of the fused order there."""
+    relevance, f, train, _ = _ltr(spark, d)
+    again = R.rerank(R.train_listwise(train, FEATURE_COLUMNS, f).score(f), "score", TOP_K)
+    return V.baseline_comparison(f, again, relevance)
+
+
 def ltr_importance(spark: SparkSession, d: str) -> DataFrame:
     _, _, train, weights = _ltr(spark, d)
     return R.importance(weights, train)
 
 
 _QUERIES = (
-    tokenize_docs, tokenize_lemmas, vocab_distinct, text_coverage, params_coverage_exact, semantic_match_matrix, params_coverage_semantic, dense_similarity_topk, location_centroids, location_signal,
+    tokenize_docs, tokenize_lemmas, embedding_cache, vocab_distinct, text_coverage, params_coverage_exact, semantic_match_matrix, params_coverage_semantic, dense_similarity_topk, location_centroids, location_signal,
     microcat_centroids, microcat_score, avg_rank_ties, rrf_fusion, rrf_weighted, rrf_constant_skip, category_filter_branches, candidates_topk, candidates_with_features, candidates_packed,
     relevance_labels, relevance_long, sample_queries, eval_corpus, train_split_reachable, recall_per_query, recall_at_k, relevant_item_coverage, ablation, threshold_calibration, params_calibration, split_overlap,
     location_match_rate, location_match_by_group, category_agreement, location_dispersion, propensity_binary, propensity_numeric, missing_rates, value_counts, nunique_grouped, nunique_global,
     describe_stats, hist_density, encode_correlation, spearman_matrix, item_content, item_features_priority, train_item_lookup, feature_table_query, rerank_topk, rrf_baseline,
-    baseline_comparison, build_answer, validate_answer, ltr_train_rerank, ltr_importance,
+    baseline_comparison, build_answer, validate_answer, ltr_train_rerank, ltr_listwise, ltr_importance,
 )
 
 

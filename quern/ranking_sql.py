@@ -302,6 +302,9 @@ FROM best b LEFT JOIN fe USING (item_id) LEFT JOIN va USING (query_id) LEFT JOIN
     return {
         "tokenize_docs": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
         "tokenize_lemmas": _lemmas(),
+        "embedding_cache": f"""WITH t AS (SELECT DISTINCT query_id, concat('query: ', substr(coalesce(search_query, ''), 1, 200)) AS x FROM benchmark_queries WHERE query_id IS NOT NULL),
+xt AS (SELECT DISTINCT x, {_tokens("x")} AS ts FROM t), {_embedding("em", "xt", "x", "ts")}
+SELECT query_id, pos::INT AS pos, round(v::DOUBLE, 6) AS v FROM (SELECT query_id, unnest(range(64)) AS pos, unnest(e) AS v FROM t JOIN em USING (x)) WHERE v <> 0""",
         "vocab_distinct": _VOCABULARY,
         "text_coverage": _sparse("search_query", _TEXT),
         "params_coverage_exact": _sparse("search_infm_params_text", "item_infm_params_text"),

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.config import SCORES, SIGNALS, GeneratorConfig
+from quern.functions.encoder import model_encoder
 from quern.functions.text import full_text, lemmatize, tokens
 from quern.functions.vectors import dot, hash_embedding, l2_normalize, mean_vectors
 from quern.operators import blocks, fusion
@@ -310,3 +311,32 @@ def test_block_products(spark, monkeypatch):
     top = top_by(vectors.block_products(v.withColumnRenamed("i", "a"), v.withColumnRenamed("i", "b"), "a", "b", k=2), "a", "similarity", "b", 2)
     assert {(x["a"], x["b"]) for x in top.collect()} == {(a, b) for a in rows for b in sorted(rows, key=lambda b: -dots[a, b])[:2]}
     assert vectors.block_products(v.withColumnRenamed("i", "a").limit(0), v.withColumnRenamed("i", "b"), "a", "b").count() == 0
+
+
+def test_listwise_boosting_learns_and_stops(spark):
+    r = random.Random(7)
+    rows = []
+    for q in range(40):
+        good = r.randrange(12)
+        for k in range(12):
+            x = 1.0 if k == good else r.random() * 0.9
+            rows.append((f"q{q}", f"i{q}_{k}", k + 1, x, r.random(), None if r.random() < 0.1 else r.random(), int(k == good)))
+    df = spark.createDataFrame(rows, "query_id string, item_id string, rrf_rank long, good double, noise double, holes double, label int")
+    train, held = df.where("query_id < 'q3'"), df.where("query_id >= 'q3'")
+    model = R.train_listwise(train, ["good", "noise", "holes"], held, iterations=6, patience=2, k=1)
+    assert 1 <= len(model.trees) <= len(model.history) <= 6 and max(model.history) == model.history[len(model.trees) - 1] > 0.9
+    top = R.rerank(model.score(held), "score", 1)
+    wanted = {x["item_id"] for x in held.where("label = 1").collect()}
+    got = {x["item_id"] for x in top.collect()}
+    assert len(got & wanted) / len(wanted) == max(model.history)
+    assert model.importance(spark).first()["feature"] == "good"
+
+
+def test_a_model_is_loaded_once(spark):
+    def load():
+        return lambda texts: [[len(t), t.count("a"), 1.0] for t in texts]
+
+    embed = model_encoder("counts", load, batch=2, length=4)
+    df = spark.createDataFrame([("x", "aaaaaa"), ("y", None), ("z", "b"), ("w", "")], "id string, text string")
+    got = {r["id"]: list(r["embedding"]) for r in embed(df, "id", "text").collect()}
+    assert got["x"] == pytest.approx([4 / math.sqrt(33), 4 / math.sqrt(33), 1 / math.sqrt(33)]) and got["y"] == got["w"] == [0.0, 0.0, 1.0]
