@@ -39,7 +39,7 @@ _RUNS = 64
 
 
 def tokens_of(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
+    return [(*m.span(), m[0]) for m in _TOKEN.finditer(text)]
 
 
 @functools.lru_cache(maxsize=200_000)
@@ -64,15 +64,28 @@ def _attributes(token: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(x.encode()) % HASHED for x in names)
 
 
+class _Figures(dict):
+    """Whether a token is a figure or a figure's word, by token."""
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[token] = known = token.isdigit() or token.lower() in DIGITS
+        return known
+
+
+_FIGURE = _Figures()
+
+
 def _run_classes(found: list[tuple[int, int, str]]) -> list[int]:
     """For each token the class of its run of figures: 0 outside, else by the number of figures and the beginning."""
     out = [0] * len(found)
-    k = 0
-    while k < len(found):
+    figures, after = _FIGURE, 0
+    for k in [k for k, x in enumerate(found) if figures[x[2]] or x[2] == "+"]:
+        if k < after:
+            continue
         begin, end, t = found[k]
-        figure = t.isdigit() or t.lower() in DIGITS
-        if not (figure or (t == "+" and k + 1 < len(found) and found[k + 1][2].isdigit())):
-            k += 1
+        if t == "+" and not (k + 1 < len(found) and found[k + 1][2].isdigit()):
             continue
         count, last, at, where = 0, k, k, end
         while at < len(found):
@@ -98,7 +111,7 @@ def _run_classes(found: list[tuple[int, int, str]]) -> list[int]:
         cls = 1 + min(count, 15) * 4 - 4 + first
         for j in range(k, last + 1):
             out[j] = min(_RUNS - 1, max(1, cls))
-        k = last + 1
+        after = last + 1
     return out
 
 

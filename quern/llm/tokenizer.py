@@ -31,6 +31,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces, and pairs, that a task remembers; beyond that the table starts anew.
 MEMO = 400_000
+#: Ids that a task holds before it hands them on.
+HELD = 1 << 20
 
 
 class BacktrackingEncoder:
@@ -128,18 +130,31 @@ def encoder(path: str) -> BacktrackingEncoder:
 
 
 def _batches(path: str, counts_only: bool):
+    """Ids, or their number, of every row's text. A batch is handed on whenever it holds ``HELD`` ids, so memory follows
+    the longest text, not the number of rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            parts = [np.array(encode(t), "int32") for t in texts.to_pylist()]
-            sizes = np.array([len(p) for p in parts], "int32")
+
+        def ready(rows: pa.RecordBatch, ids: list[np.ndarray], sizes: list[int]) -> pa.RecordBatch:
             if counts_only:
-                value = pa.array(sizes.astype("int64"))
+                value = pa.array(sizes, pa.int64())
             else:
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("int32")
-                value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, "int32")))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], value], names=[*batch.schema.names[:-1], "value"])
+                value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            return pa.RecordBatch.from_arrays([*rows.columns[:-1], value], names=[*rows.schema.names[:-1], "value"])
+
+        for batch in batches:
+            ids, sizes, held, begin = [], [], 0, 0
+            for row, text in enumerate(batch.column(batch.num_columns - 1)):
+                found = encode(text.as_py())
+                sizes.append(len(found))
+                if not counts_only:
+                    ids.append(np.array(found, "int32"))
+                    held += len(found)
+                if held >= HELD or row + 1 == batch.num_rows:
+                    yield ready(batch.slice(begin, row + 1 - begin), ids, sizes)
+                    ids, sizes, held, begin = [], [], 0, row + 1
 
     return run
 
