@@ -77,8 +77,7 @@ def vocab_distinct(spark: SparkSession, d: str) -> DataFrame:
 def _sparse(spark: SparkSession, d: str, query_text: str, item_tokens) -> DataFrame:
     q = _queries(spark, d).where("query_id IS NOT NULL").distinct().select("query_id", S.distinct_tokens(F.col(query_text)).alias("qt"))
     i = _items(spark, d).where("item_id IS NOT NULL").distinct().select("item_id", item_tokens.alias("it"))
-    pairs = S.sparse_coverage(q, i, "query_id", "item_id", "qt", "it")
-    return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_items"), F.max("score").alias("best"), F.round(F.sum(F.col("score").cast("double")), 4).alias("total"))
+    return S.coverage_summary(q, i, "query_id", "item_id", "qt", "it").withColumn("total", F.round("total", 4))
 
 
 def text_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -105,8 +104,7 @@ def semantic_match_matrix(spark: SparkSession, d: str) -> DataFrame:
 def params_coverage_semantic(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(spark, d).where("query_id IS NOT NULL").distinct().select("query_id", S.distinct_tokens(F.col("search_infm_params_text")).alias("qt"))
     i = _items(spark, d).where("item_id IS NOT NULL").distinct().select("item_id", S.distinct_tokens(F.col("item_infm_params_text")).alias("it"))
-    pairs = S.sparse_coverage(q, i, "query_id", "item_id", "qt", "it", cut_lineage(_semantic(spark, d)))
-    return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_items"), F.max("score").alias("best"), F.round(F.sum(F.col("score").cast("double")), 4).alias("total"))
+    return S.coverage_summary(q, i, "query_id", "item_id", "qt", "it", cut_lineage(_semantic(spark, d))).withColumn("total", F.round("total", 4))
 
 
 def dense_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -268,8 +266,8 @@ def threshold_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 def params_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Params tokens of searches against the params of the chosen item, and against those of an item drawn by permutation,
-    for interactions where both have params; of the item's params the first 200 characters count."""
-    both = _train(spark, d).select("interaction_id", "search_infm_params_text", prefix(F.col("item_infm_params_text")).alias("p")).where("coalesce(search_infm_params_text, '') <> '' AND p <> '' AND interaction_id IS NOT NULL")
+    for all interactions whose search has params; of the item's params the first 200 characters count."""
+    both = _train(spark, d).select("interaction_id", "search_infm_params_text", prefix(F.col("item_infm_params_text")).alias("p")).where("coalesce(search_infm_params_text, '') <> '' AND interaction_id IS NOT NULL")
     rows = cut_lineage(both.groupBy("interaction_id").agg(F.min(F.struct("search_infm_params_text", "p")).alias("x")).select("interaction_id", tokens(F.col("x.search_infm_params_text")).alias("ts"), tokens(F.col("x.p")).alias("it")))
     docs = cut_lineage(hash_embedding(rows, "interaction_id", "it", name="b"))
     vocabulary = rows.select(F.explode("ts").alias("token")).distinct()

@@ -246,8 +246,8 @@ SELECT t AS threshold, round(a, 6) AS true_positive_rate, round(b, 6) AS false_p
 
 def _params_calibration() -> str:
     grid = ", ".join(f"({t}::DOUBLE)" for t in (*THRESHOLDS, 0.1, 0.2, 0.3, 0.4))
-    return f"""WITH r0 AS (SELECT interaction_id, min({{'s': search_infm_params_text, 'p': substr(item_infm_params_text, 1, 200)}}) AS x FROM train
-  WHERE coalesce(search_infm_params_text, '') <> '' AND coalesce(item_infm_params_text, '') <> '' AND interaction_id IS NOT NULL GROUP BY 1),
+    return f"""WITH r0 AS (SELECT interaction_id, min({{'s': search_infm_params_text, 'p': substr(coalesce(item_infm_params_text, ''), 1, 200)}}) AS x FROM train
+  WHERE coalesce(search_infm_params_text, '') <> '' AND interaction_id IS NOT NULL GROUP BY 1),
 r AS MATERIALIZED (SELECT interaction_id, {_tokens("x.s")} AS ts, {_tokens("x.p")} AS it FROM r0),
 {_embedding("de", "r", "interaction_id", "it")},
 {_embedding("te", "(SELECT token, [token] AS ts FROM (SELECT DISTINCT unnest(ts) AS token FROM r))", "token", "ts")},

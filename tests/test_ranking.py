@@ -63,6 +63,15 @@ def test_coverage_counts_unknown_tokens_in_the_denominator(spark):
     sem = spark.createDataFrame([("zz", "j"), ("a", "i")], "token string, item_id string")
     assert [tuple(r) for r in S.sparse_coverage(q, i, "query_id", "item_id", "qt", "it").collect()] == [("q", "i", 0.5)]
     assert {tuple(r) for r in S.sparse_coverage(q, i, "query_id", "item_id", "qt", "it", sem).collect()} == {("q", "i", 0.5), ("q", "j", 0.5)}
+    assert [tuple(r) for r in S.coverage_summary(q, i, "query_id", "item_id", "qt", "it", sem).collect()] == [("q", 2, 0.5, 1.0)]
+    r = random.Random(5)
+    some = lambda n: r.sample("abcdefgh", n)
+    q = spark.createDataFrame([(f"q{k}", some(r.randrange(4))) for k in range(30)], "query_id string, qt array<string>")
+    i = spark.createDataFrame([(f"i{k}", some(r.randrange(5))) for k in range(60)], "item_id string, it array<string>")
+    pairs = S.sparse_coverage(q, i, "query_id", "item_id", "qt", "it")
+    want = {x["query_id"]: (x["n"], x["b"], round(x["t"], 6)) for x in pairs.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("b"), F.sum("score").alias("t")).collect()}
+    got = {x["query_id"]: (x["n_items"], x["best"], round(x["total"], 6)) for x in S.coverage_summary(q, i, "query_id", "item_id", "qt", "it").collect()}
+    assert got == want
 
 
 def test_semantic_threshold_is_compared_as_float(spark):
