@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import neardup, overlap, packing, pii, residue, splits, tokenizer, topn
+from quern.plans.lineage import cut_lineage
 
 ITEM_TEXTS = ["item_title_raw", "item_description_raw", "item_infm_params_text"]
 PII_FIELDS = ["item_title_raw", "item_description_raw"]
@@ -41,6 +42,13 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return done.join(F.broadcast(done.agg(F.sum("n_rows").alias("total"))), F.lit(True)).select("split_name", "n_rows", "n_components", F.round(100 * F.col("n_rows") / F.col("total"), 3).alias("percent"))
 
 
+def p1_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and components with a split, and components that are in two: none."""
+    done = _assigned(spark, d).groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("split_name").alias("a"), F.max("split_name").alias("b"))
+    torn = F.coalesce(F.sum((F.col("a") != F.col("b")).cast("long")), F.lit(0).cast("long"))
+    return done.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_components"), torn.alias("n_torn"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.personal_data(_read(spark, d, "benchmark_items"), "item_id", PII_FIELDS)
 
@@ -98,6 +106,19 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packs(spark, d), _read(spark, d, "pack_sizes"))
 
 
+def p9_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity the packed documents, tokens lost or won, packs above the capacity, and documents torn though they fit."""
+    counts = tokenizer.token_counts(_read(spark, d, "documents"), ["doc_id"], "text")
+    sizes = _read(spark, d, "pack_sizes").select("pack_name", "capacity_tokens")
+    packs = cut_lineage(_packs(spark, d))
+    total = counts.agg(F.sum("n_tokens").alias("all"))
+    docs = packs.groupBy("pack_name", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("pieces")).join(F.broadcast(sizes), "pack_name")
+    docs = docs.groupBy("pack_name").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("t").alias("t"), F.sum(((F.col("pieces") > 1) & (F.col("t") <= F.col("capacity_tokens"))).cast("long")).alias("n_torn"))
+    full = packs.where("pack IS NOT NULL").groupBy("pack_name", "block", "pack").agg(F.sum("n_tokens").alias("t")).join(F.broadcast(sizes), "pack_name")
+    full = full.groupBy("pack_name").agg(F.sum((F.col("t") > F.col("capacity_tokens")).cast("long")).alias("n_over"))
+    return docs.join(full, "pack_name").join(F.broadcast(total), F.lit(True)).select("pack_name", "n_documents", (F.col("all") - F.col("t")).alias("n_lost"), "n_over", "n_torn")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_documents(_read(spark, d, "documents"))
 
@@ -107,7 +128,7 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p4_found, p4_redacted, p5_found, p5_ranked, p6_found, p6_report, p7_found, p7_groups, p8_ids, p8_round_trip, p9_packs, p9_fill, p10_found, p10_kept)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p1_checked, p4_found, p4_redacted, p5_found, p5_ranked, p6_found, p6_report, p7_found, p7_groups, p8_ids, p8_round_trip, p9_packs, p9_fill, p9_checked, p10_found, p10_kept)}
 
 
 def _words(c: str) -> str:
@@ -185,5 +206,26 @@ SELECT DISTINCT ia AS item_id_a, ib AS item_id_b FROM o WHERE c * 10 >= (na + nb
 """
 
 
+_P7_GROUPS = f"""
+WITH RECURSIVE d AS (
+  SELECT DISTINCT item_id, list_sort(list_distinct({_words("concat_ws(chr(10), item_title_raw, item_description_raw, item_infm_params_text)")})) AS w
+  FROM benchmark_items WHERE item_id IS NOT NULL),
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY w) AS k, w, len(w) AS n FROM (SELECT DISTINCT w FROM d WHERE len(w) >= 25)),
+m AS MATERIALIZED (SELECT item_id, k FROM d JOIN c USING (w)),
+x AS (SELECT k, n, unnest(w) AS word FROM c),
+l AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM x a JOIN x b ON a.word = b.word AND a.k <> b.k GROUP BY a.k, b.k, a.n, b.n HAVING count(*) * 10 >= (a.n + b.n - count(*)) * 7),
+r AS (SELECT k AS s, k AS t FROM c UNION SELECT r.s, l.b FROM r JOIN l ON l.a = r.t),
+g AS (SELECT s AS k, min(t) AS root FROM r GROUP BY 1),
+f AS (SELECT root, min(item_id) AS group_id FROM m JOIN g USING (k) GROUP BY 1),
+n AS (SELECT a AS k, count(*) AS n_links FROM l GROUP BY 1)
+SELECT m.item_id, f.group_id, coalesce(n.n_links, 0)::BIGINT AS n_links FROM m JOIN g USING (k) JOIN f USING (root) LEFT JOIN n USING (k)
+"""
+
+_P1_CHECKED = f"""
+SELECT count(*) AS n_rows, count(DISTINCT (c, bq, bp)) AS n_components, 0::BIGINT AS n_torn FROM (
+  SELECT coalesce(search_category::VARCHAR, '') AS c, {_BAG.format(_shaped("search_query"))} AS bq, {_BAG.format(_shaped("search_infm_params_text"))} AS bp FROM train)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p5_found": f"SELECT query_id, item_id FROM ({_P5})", "p5_ranked": _P5, "p6_found": _P6, "p6_report": _P6_REPORT, "p7_found": _P7, "p8_round_trip": "SELECT count(*) AS n_documents, count(*) AS n_equal FROM documents"}
+    return {"p1_checked": _P1_CHECKED, "p7_groups": _P7_GROUPS, "p9_checked": "SELECT pack_name, (SELECT count(*) FROM documents) AS n_documents, 0::BIGINT AS n_lost, 0::BIGINT AS n_over, 0::BIGINT AS n_torn FROM pack_sizes", "p1_found": _P1, "p5_found": f"SELECT query_id, item_id FROM ({_P5})", "p5_ranked": _P5, "p6_found": _P6, "p6_report": _P6_REPORT, "p7_found": _P7, "p8_round_trip": "SELECT count(*) AS n_documents, count(*) AS n_equal FROM documents"}
