@@ -47,12 +47,16 @@ class _Postings:
         self.starts = np.searchsorted(code[order], np.arange(len(self.code) + 1))
         self.n = len(lists)
 
-    def coverage(self, tokens: list[str]) -> np.ndarray:
+    def matches(self, tokens: list[str]) -> np.ndarray:
+        """How many of the distinct ``tokens`` each row has."""
         found = np.zeros(self.n)
         for t in tokens:
             if (c := self.code.get(t)) is not None:
                 found[self.rows[self.starts[c] : self.starts[c + 1]]] += 1
-        return (found / max(1, len(tokens))).astype("float32")
+        return found
+
+    def coverage(self, tokens: list[str]) -> np.ndarray:
+        return (self.matches(tokens) / max(1, len(tokens))).astype("float32")
 
 
 def _filled(column: pa.Array, null) -> np.ndarray:
@@ -168,6 +172,39 @@ def _fused(ranks: list[np.ndarray], constant: np.ndarray, weights: list[float],
     return total
 
 
+def coverage_totals(queries: DataFrame, items: DataFrame, query_id: str) -> DataFrame:
+    """``<query_id>, n_items, best, total``: how many items share a token with the query, the highest coverage (float) and the
+    sum. ``queries`` (id, ts) and ``items`` (ts) have arrays of distinct tokens; a query without a match doesn't come out.
+
+    Blocks of queries meet blocks of items, whose postings give each query three numbers; no pair comes out of a task.
+    """
+    spark = queries.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n_queries, n_items = queries.count(), items.count()
+    i_blocks = max(1, -(-n_items // ITEM_BLOCK))
+    q_blocks = max(1, -(-n_queries // min(QUERY_BLOCK, max(LEAST_QUERIES, -(-n_queries * i_blocks // tasks)))))
+    zero = F.lit(0).cast("long")
+    q = queries.select(F.col(query_id).alias("q"), "ts").withColumns({"qb": F.pmod(F.xxhash64("q"), F.lit(q_blocks)), "ib": F.explode(F.sequence(zero, zero + (i_blocks - 1)))})
+    i = items.select("ts").withColumns({"ib": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(i_blocks)), "qb": F.explode(F.sequence(zero, zero + (q_blocks - 1)))})
+    names, kinds = ["q", "n", "best", "total"], [dict(queries.dtypes)[query_id], "long", "float", "double"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            postings = _Postings(right.column("ts").combine_chunks())
+            for row, tokens in enumerate(left.column("ts").to_pylist()):
+                by_count = np.bincount(postings.matches(tokens).astype("int64"), minlength=len(tokens) + 1)
+                if n := int(by_count[1:].sum()):
+                    scores = (np.arange(len(tokens) + 1) / len(tokens)).astype("float32")
+                    out.append((row, n, scores[np.flatnonzero(by_count)[-1]], float((scores.astype("float64") * by_count).sum())))
+        at, n, best, total = zip(*out) if out else ([], [], [], [])
+        return pa.table({"q": left.column("q").take(pa.array(at, pa.int64())), "n": pa.array(n, pa.int64()), "best": pa.array(best, pa.float32()), "total": pa.array(total, pa.float64())})
+
+    keyed = lambda df: df.repartition(min(q_blocks * i_blocks, 4 * tasks), "qb", "ib").groupBy("qb", "ib")
+    done = keyed(q).cogroup(keyed(i)).applyInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    return done.groupBy(F.col("q").alias(query_id)).agg(F.sum("n").alias("n_items"), F.max("best").alias("best"), F.sum("total").alias("total"))
+
+
 class BlockRanker:
     """Top items of every query under one or more weightings; ``queries`` and ``items`` hold ``_QUERY`` and ``_ITEM``."""
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quern.functions.geo import haversine_km
 from quern.functions.text import Tokenizer, full_text, tokens
 from quern.functions.vectors import block_products, dot, mean_vectors
+from quern.operators.blocks import coverage_totals
 from quern.plans.lineage import cut_lineage
-from quern.plans.skew import join_weighted, salted_join
+from quern.plans.skew import salted_join
 
 
 def distinct_tokens(text: Column, tokenizer: Tokenizer = tokens) -> Column:
@@ -45,24 +46,15 @@ def sparse_coverage(queries: DataFrame, items: DataFrame, query_id: str, item_id
 def coverage_summary(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, query_tokens: str, item_tokens: str, semantic: DataFrame | None = None) -> DataFrame:
     """``query_id, n_items, best, total``: how many items share a token with the query, the highest coverage and the sum.
 
-    As ``sparse_coverage``, summed by query, but pairs are formed between distinct sets only: queries with the same tokens are
-    one, and so are items with the same tokens among those that any query has. A query without a match doesn't come out.
+    As ``sparse_coverage``, summed by query, but without its pairs: each query is counted against blocks of items. A query
+    without a match doesn't come out.
     """
-    key = lambda c: F.md5(F.array_join(c, " "))
-    sets = queries.select(query_id, F.sort_array(query_tokens).alias("ts")).where(F.size("ts") > 0).withColumn("key", key("ts"))
-    asked = sets.groupBy("key").agg(F.first("ts").alias("ts")).select("key", F.size("ts").alias("n"), F.explode("ts").alias("token"))
-    asked = cut_lineage(asked)
-    found = postings(items, item_id, item_tokens)
+    found = items.select(item_id, F.explode(item_tokens).alias("token"))
     if semantic is not None:
-        found = found.unionByName(semantic.select("token", item_id)).distinct()
-    sizes = found.groupBy("token").agg(F.count(F.lit(1)).alias("w"))
-    wanted = sizes.join(asked.select("token").distinct(), "token")
-    found = join_weighted(found, wanted, "token", "w", sizes.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0])
-    patterns = found.groupBy(item_id).agg(F.sort_array(F.collect_set("token")).alias("ts")).groupBy("ts").agg(F.count(F.lit(1)).alias("items"))
-    patterns = cut_lineage(patterns.select(key("ts").alias("pattern"), "items", F.explode("ts").alias("token")))
-    met = salted_join(asked, patterns, "token", "key", "pattern").groupBy("key", "pattern").agg((F.count(F.lit(1)) / F.max("n")).cast("float").alias("score"), F.max("items").alias("items"))
-    sums = met.groupBy("key").agg(F.sum("items").alias("n_items"), F.max("score").alias("best"), F.sum(F.col("score").cast("double") * F.col("items")).alias("total"))
-    return sets.select(query_id, "key").distinct().join(sums, "key").select(query_id, "n_items", "best", "total")
+        found = found.unionByName(semantic.select(item_id, "token"))
+    sets = cut_lineage(found.groupBy(item_id).agg(F.collect_set("token").alias("ts")).select("ts"))
+    asked = cut_lineage(queries.where(F.size(query_tokens) > 0).select(query_id, F.col(query_tokens).alias("ts")).distinct())
+    return coverage_totals(asked, sets, query_id)
 
 
 def semantic_matches(vocabulary: DataFrame, items: DataFrame, item_id: str, threshold: float) -> DataFrame:
