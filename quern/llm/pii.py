@@ -120,6 +120,11 @@ def text_gap(found: list[tuple[int, int, str]], at: int) -> bool:
     return at + 1 >= len(found) or found[at + 1][0] > found[at][1]
 
 
+def _scattered(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by place."""
+    return np.stack([np.bincount(at, rows[:, k], n) for k in range(rows.shape[1])], 1).astype("float32")
+
+
 class Tagger:
     """Weights, likelihood gradient and Viterbi decoder."""
 
@@ -248,7 +253,8 @@ class Tagger:
                 attributes = [_attributes(t) for t in kinds]
                 flat = np.fromiter((f for y in attributes for f in y), "int64")
                 owner = np.repeat(np.arange(len(kinds)), [len(y) for y in attributes])
-                grad = np.zeros_like(self.w)
+                used, where = np.unique(flat, return_inverse=True)
+                grad = np.zeros((len(OFFSETS), len(used), labels), "float32")
                 token = np.full((n, width), len(kinds), "int64")
                 rungrid = np.zeros((n, width + 2), "int64")
                 for k, (y, r) in enumerate(zip(ids, runs)):
@@ -258,16 +264,15 @@ class Tagger:
                     lo, hi = max(0, -off), min(width, width - off)
                     if hi <= lo:
                         continue
-                    per = np.zeros((len(kinds) + 1, labels), "float32")
-                    np.add.at(per, token[:, lo + off : hi + off].ravel(), diff[:, lo:hi].reshape(-1, labels))
-                    np.add.at(grad[o], flat, per[owner])
-                rungrad = np.zeros_like(self.run)
-                for o in range(3):
-                    np.add.at(rungrad[o], rungrid[:, o : o + width].ravel(), diff.reshape(-1, labels))
-                for name, d in (("w", grad), ("run", rungrad), ("bias", diff.sum((0, 1))), ("step", (pair - seen) / len(g))):
-                    d = d + 1e-5 * getattr(self, name)
-                    sums[name] += d * d
-                    setattr(self, name, getattr(self, name) - rate * d / np.sqrt(sums[name]))
+                    per = _scattered(token[:, lo + off : hi + off].ravel(), diff[:, lo:hi].reshape(-1, labels), len(kinds) + 1)
+                    grad[o] = _scattered(where, per[owner], len(used))
+                rungrad = np.stack([_scattered(rungrid[:, o : o + width].ravel(), diff.reshape(-1, labels), _RUNS) for o in range(3)])
+                # Of the attributes' weights only those in the batch change.
+                for name, at, d in (("w", (slice(None), used), grad), ("run", ..., rungrad), ("bias", ..., diff.sum((0, 1))), ("step", ..., (pair - seen) / len(g))):
+                    value, total = getattr(self, name), sums[name]
+                    d = d + 1e-5 * value[at]
+                    total[at] += d * d
+                    value[at] -= rate * d / np.sqrt(total[at])
         return self
 
 
