@@ -145,9 +145,8 @@ def _marked(values: np.ndarray) -> np.ndarray:
 
 def _counts(values: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many values are above, and at or above, each of the rising ``marks``."""
-    above = np.bincount(np.searchsorted(marks, values, "left"), minlength=len(marks) + 1)
-    least = np.bincount(np.searchsorted(marks, values, "right"), minlength=len(marks) + 1)
-    return np.cumsum(above[::-1])[::-1][1:], np.cumsum(least[::-1])[::-1][1:]
+    rising = np.sort(values)
+    return len(rising) - np.searchsorted(rising, marks, "right"), len(rising) - np.searchsorted(rising, marks, "left")
 
 
 def _bounds(values: np.ndarray, marks: np.ndarray, above: np.ndarray, least: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,11 +20,13 @@ from quern.plans.skew import spread
 
 
 def prepare_items(items: DataFrame, embed=hash_embedding, tokenizer: Tokenizer = tokens) -> DataFrame:
-    """Distinct items with an id, their distinct tokens and their embedding."""
-    base = items.where("item_id IS NOT NULL").distinct()
+    """Distinct items with an id, their distinct tokens (written once) and their embedding."""
+    # Tokens cost far more than the rows' bytes tell, so adaptive coalescing is kept from gathering the rows.
+    base = spread(items.where("item_id IS NOT NULL"), "item_id").distinct()
     base = base.withColumns({"params_tokens": S.distinct_tokens(F.col("item_infm_params_text"), tokenizer), "text_tokens": S.item_text_tokens(tokenizer)})
+    base = cut_lineage(base.drop("item_title_raw", "item_description_raw", "item_infm_params_text"))
     vectors = embed(base.groupBy("item_id").agg(F.min("text_tokens").alias("text_tokens")), "item_id", "text_tokens")
-    return base.join(vectors, "item_id", "left").drop("item_title_raw", "item_description_raw", "item_infm_params_text")
+    return base.join(vectors, "item_id", "left")
 
 
 def prepare_queries(queries: DataFrame, embed=hash_embedding, tokenizer: Tokenizer = tokens) -> DataFrame:

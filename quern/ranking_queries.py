@@ -22,7 +22,7 @@ from quern.operators.features import FEATURE_COLUMNS, feature_table, features_by
 from quern.operators.fusion import fused_score, top_by, with_rank_terms
 from quern.plans.lineage import cut_lineage, shared_dir
 from quern.plans.ranks import average_ranks
-from quern.plans.skew import join_weighted
+from quern.plans.skew import join_weighted, spread
 from quern.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,7 +76,7 @@ def vocab_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 def _sparse(spark: SparkSession, d: str, query_text: str, item_tokens) -> DataFrame:
     q = _queries(spark, d).where("query_id IS NOT NULL").distinct().select("query_id", S.distinct_tokens(F.col(query_text)).alias("qt"))
-    i = _items(spark, d).where("item_id IS NOT NULL").distinct().select("item_id", item_tokens.alias("it"))
+    i = spread(_items(spark, d).where("item_id IS NOT NULL"), "item_id").distinct().select("item_id", item_tokens.alias("it"))
     return S.coverage_summary(q, i, "query_id", "item_id", "qt", "it").withColumn("total", F.round("total", 4))
 
 
