@@ -28,7 +28,7 @@ from quern.functions.geo import EARTH_RADIUS_KM
 from quern.plans.lineage import cut_lineage
 
 #: Items and queries that meet in one task at most, queries that are worth a task, and marks of a signal.
-ITEM_BLOCK, QUERY_BLOCK, LEAST_QUERIES = 32_768, 2048, 128
+ITEM_BLOCK, QUERY_BLOCK, LEAST_QUERIES = 32_768, 512, 128
 MARKS = 28
 _N = len(SCORES)
 _QUERY = ["uid", "filter_category", "search_location_id", "centroid_lat", "centroid_lon", "q_params", "q_text", "q_embedding"]
@@ -124,9 +124,15 @@ class _Block:
 
 
 def _pack(table: pa.Table) -> pa.Table:
+    """A block as one value: tokens as numbers into the block's own dictionary, all compressed."""
+    columns = {}
+    for name in _ITEM:
+        c = table.column(name).combine_chunks()
+        columns[name] = pa.ListArray.from_arrays(c.offsets, c.flatten().dictionary_encode()) if name in ("params", "texts") else c
+    packed = pa.table(columns)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
+    with pa.ipc.new_stream(sink, packed.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(packed)
     return pa.table({"ib": table.column("ib").slice(0, 1), "block": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
