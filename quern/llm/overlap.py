@@ -12,6 +12,9 @@ the text's squared norm without its six heaviest terms; this bound is exact, and
   text whose list ends first in the common order) can still reach the bound; a few terms more than needed are listed, so
   that one common term alone doesn't. The lists are also divided by text length, which differs by two at most, and a list
   that is still long is cut into chunks on both sides;
+* parity sketches: an edit changes few letters and few bigrams, so the sketches of two matches differ in few bits. They travel
+  with the lists' entries, and a pair whose sketches differ more is dropped where it meets: of the pairs that meet, which grow
+  with the product of the inputs, only those near a match are shuffled;
 * exact dot products of the remaining pairs are held against the bound before the edit distance is computed.
 
 Texts of few letters have no such bound. They meet by what is left of them when up to two characters are removed.
@@ -40,10 +43,15 @@ EDITS = 2
 #: Terms that ``EDITS`` edits can change, and terms listed besides: as many at least must be met.
 LOST = 3 * EDITS
 BESIDES = 3
+#: Bits of the two sketches that ``EDITS`` edits can flip: a replaced letter flips two letters, and four bigrams.
+LETTER_BITS, BIGRAM_BITS = 2 * EDITS, 4 * EDITS
 #: A list longer than this, and than a thousandth of all entries, is cut into chunks.
 HOT_LIST = 4096
 
 
+_ENTRY = ["term", "id", "w", "rest", "edge", "bound", "letters", "bigrams"]
+
+
 def normal_text(column: str):
     """A text's normalised words joined by one space; empty if there are none."""
     return F.array_join(same_shape_words(F.col(column)), " ")
@@ -98,12 +106,24 @@ def _removals(text: str) -> set[str]:
     return {"".join(c for i, c in enumerate(text) if i not in out) for k in range(EDITS + 1) for out in map(set, combinations(range(len(text)), k))}
 
 
+def _sketches(text: str) -> tuple[int, int]:
+    """Parities of the text's letters and of its padded words' bigrams, hashed to 64 bits each; the order of words is no matter."""
+    letters = bigrams = 0
+    for w in text.split(" "):
+        for c in w:
+            letters ^= 1 << (ord(c) & 63)
+        w = f"^{w}$"
+        for k in range(len(w) - 1):
+            bigrams ^= 1 << ((ord(w[k]) * 37 + ord(w[k + 1]) * 11) & 63)
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (letters, bigrams))
+
+
 def _lists(weights: np.ndarray, spread: int):
     """Inverted-list entries of texts: the terms by which a match must meet them. ``spread``: lengths a match may differ by."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows: list[tuple[str, int, float, float, float, float]] = []
+            rows: list[tuple[str, int, float, float, float, float, int, int]] = []
             for number, text in zip(pdf["id"], pdf["text"]):
                 vector, size = _vector(text, weights), len(text)
                 bound = _bound(vector)
@@ -124,8 +144,9 @@ def _lists(weights: np.ndarray, spread: int):
                     keys.append(("=" + " ".join(sorted(text.split(" "))), math.inf))
                 if len(vector) <= LOST + EDITS:
                     keys += [("-" + r, math.inf) for r in _removals(text)]
-                rows += [(k, number, w, rest, edge, bound) for k, w in keys]
-            yield pd.DataFrame(rows, columns=["term", "id", "w", "rest", "edge", "bound"])
+                sketches = _sketches(text)
+                rows += [(k, number, w, rest, edge, bound, *sketches) for k, w in keys]
+            yield pd.DataFrame(rows, columns=_ENTRY)
 
     return run
 
@@ -151,6 +172,17 @@ def _dots(weights: np.ndarray):
     return run
 
 
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``id_a, id_b, w_a, needed``: a row for each term under which two texts with near sketches meet in the lists."""
+    side = lambda df, s: df.select("term", *(F.col(c).alias(f"{c}_{s}") for c in _ENTRY[1:]))
+    # The list that ends first ends with the heavier term; what its text has beyond is all that may still be shared.
+    first = F.when(F.col("edge_a") > F.col("edge_b"), F.col("rest_a")).when(F.col("edge_b") > F.col("edge_a"), F.col("rest_b")).otherwise(F.greatest("rest_a", "rest_b"))
+    met = salted_join(side(a, "a"), side(b, "b"), "term", "id_a", "id_b", HOT_LIST)
+    differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    met = met.where((differ("bigrams") <= BIGRAM_BITS) & (differ("letters") <= LETTER_BITS))
+    return met.select("id_a", "id_b", "w_a", (F.greatest("bound_a", "bound_b") - first - 1e-6).alias("needed"))
+
+
 def matching_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs ``text_a, text_b, cosine`` of matching normal texts of ``left`` and ``right`` (column text), each text once.
 
@@ -159,13 +191,10 @@ def matching_texts(left: DataFrame, right: DataFrame) -> DataFrame:
     once = lambda df: cut_lineage(df.select("text").where("text <> ''").distinct().select(F.monotonically_increasing_id().alias("id"), "text"))
     left, right = once(left), once(right)
     weights = term_weights(left.select("text").unionByName(right.select("text")))
-    schema = "term string, id long, w double, rest double, edge double, bound double"
+    schema = "term string, id long, w double, rest double, edge double, bound double, letters long, bigrams long"
     a = cut_lineage(left.mapInPandas(_lists(weights, EDITS), schema))
     b = cut_lineage(right.mapInPandas(_lists(weights, 0), schema))
-    side = lambda df, s: df.select("term", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "w", "rest", "edge", "bound")))
-    # The list that ends first ends with the heavier term; what its text has beyond is all that may still be shared.
-    first = F.when(F.col("edge_a") > F.col("edge_b"), F.col("rest_a")).when(F.col("edge_b") > F.col("edge_a"), F.col("rest_b")).otherwise(F.greatest("rest_a", "rest_b"))
-    met = salted_join(side(a, "a"), side(b, "b"), "term", "id_a", "id_b", HOT_LIST).select("id_a", "id_b", "w_a", (F.greatest("bound_a", "bound_b") - first - 1e-6).alias("needed"))
+    met = _met(a, b)
     # What is needed is the same in all rows of a pair. Only numbers are shuffled; texts join the pairs that are left.
     met = met.groupBy("id_a", "id_b").agg(F.sum("w_a").alias("dot"), F.max("needed").alias("needed")).where("dot >= needed")
     for s, df in (("a", left), ("b", right)):

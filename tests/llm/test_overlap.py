@@ -45,6 +45,30 @@ def test_no_match_is_lost(spark, monkeypatch, share):
     assert len(got) == len(set(got)) and set(got) == brute and len(brute) > 200
 
 
+def test_pairs_far_from_a_match_end_where_they_meet(spark, monkeypatch):
+    # All texts share a long word, so that every pair meets under its terms; only repeated texts match.
+    r = random.Random(3)
+    word = lambda: "".join(r.choice(CYR) for _ in range(12))
+    texts = [f"водонагреватель {word()} {word()}" for _ in range(150)]
+    met, join = [], overlap._met
+    monkeypatch.setattr(overlap, "_met", lambda a, b: met.append(join(a, b)) or met[0])
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert overlap.matching_texts(frame, frame).count() == len(texts)
+    assert met[0].select("id_a", "id_b").distinct().count() < 2 * len(texts)
+
+
+def test_edits_flip_few_bits_of_the_sketches():
+    r = random.Random(4)
+    for _ in range(3000):
+        t = u = " ".join("".join(r.choice(CYR + "ab19") for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 5)))
+        for _ in range(overlap.EDITS):
+            k, c = r.randrange(len(u) + 1), r.choice(CYR + " ")
+            u = r.choice([u[:k] + c + u[k:], u[:k] + u[k + 1 :], u[:k] + c + u[k + 1 :]])
+        flips = [(x ^ y).bit_count() if x ^ y >= 0 else 64 - (~(x ^ y)).bit_count() for x, y in zip(overlap._sketches(t), overlap._sketches(u))]
+        assert flips[0] <= overlap.LETTER_BITS and flips[1] <= overlap.BIGRAM_BITS
+        assert overlap._sketches(t) == overlap._sketches(" ".join(r.sample(t.split(), len(t.split()))))
+
+
 def test_pairs_and_report(spark):
     q = spark.createDataFrame(
         [("q1", "Ремонт ОКОН", None, "test", "app"), ("q1", "Ремонт ОКОН", None, "test", "app"), ("q2", None, "окон ремонт!", "test", None), ("q3", "ремонт окан", "", "validation", "app"), ("q4", "!!!", None, "validation", "app"), (None, "ремонт окон", None, "test", "app"), ("q5", "x" * 4000, None, "validation", "app")],
