@@ -55,6 +55,36 @@ def test_vectors(spark):
     assert norms[1] == pytest.approx(1.0) and norms[2] == 0.0
 
 
+@pytest.mark.parametrize("size", [3, 10_000])
+def test_coverage_by_meaning_needs_no_table_of_matches(spark, monkeypatch, size):
+    monkeypatch.setattr(blocks, "ITEM_BLOCK", size)
+    monkeypatch.setattr(blocks, "COVERAGE_QUERIES", size)
+    r = random.Random(6)
+    some = lambda n: r.sample("abcdefghij", n)
+    q = spark.createDataFrame([(f"q{k}", some(r.randrange(4))) for k in range(30)], "query_id string, qt array<string>")
+    rows = [(f"i{k % 50}", some(r.randrange(5))) for k in range(60)]
+    i = spark.createDataFrame(rows, "item_id string, it array<string>")
+    v = spark.createDataFrame([(t, [r.uniform(-1, 1) for _ in range(4)]) for t in "abcdefg"] + [("h", None)], "token string, embedding array<float>")
+    e = spark.createDataFrame([(f"i{k}", [r.uniform(-1, 1) for _ in range(4)] if k % 7 else None) for k in range(48)], "item_id string, embedding array<float>")
+    table = S.semantic_matches(v, e, "item_id", 0.3)
+    want = {x["query_id"]: (x["n_items"], x["best"], round(x["total"], 6)) for x in S.coverage_summary(q, i, "query_id", "item_id", "qt", "it", table).collect()}
+    got = {x["query_id"]: (x["n_items"], x["best"], round(x["total"], 6)) for x in S.coverage_summary(q, i, "query_id", "item_id", "qt", "it", near=(v, e, 0.3)).collect()}
+    plain = {x["query_id"]: x["n_items"] for x in S.coverage_summary(q, i, "query_id", "item_id", "qt", "it").collect()}
+    assert got == want and any(got[k][0] > plain.get(k, 0) for k in got)
+
+
+def test_coverage_moves_items_as_blocks(spark, monkeypatch):
+    """Many queries don't repeat the items: 3000 of them, 24 blocks of queries before, meet each block of items once."""
+    made = []
+    run = blocks.cut_lineage
+    monkeypatch.setattr(blocks, "cut_lineage", lambda df: made.append(run(df)) or made[-1])
+    q = spark.createDataFrame([(f"q{k}", ["a", "b"]) for k in range(3000)], "query_id string, ts array<string>")
+    i = spark.createDataFrame([(["a", f"t{k}"],) for k in range(40)], "ts array<string>").repartition(2)
+    got = blocks.coverage_totals(q, i, "query_id")
+    assert made[0].columns == ["ib", "block"] and made[0].count() == 2
+    assert {tuple(x)[1:] for x in got.collect()} == {(40, 0.5, 20.0)} and got.count() == 3000
+
+
 def test_coverage_counts_unknown_tokens_in_the_denominator(spark):
     df = spark.createDataFrame([(["a", "zz"], ["a", "b"]), ([], ["a"]), (["a"], [])], "q array<string>, i array<string>")
     assert [r[0] for r in df.select(S.coverage(F.col("q"), F.col("i"))).collect()] == [0.5, 0.0, 0.0]
