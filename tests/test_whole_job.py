@@ -70,6 +70,19 @@ def test_first_stage_keeps_500_candidates(spark, data):
     assert Q.candidates_with_features(spark, data).count() == 1000
 
 
+@pytest.mark.parametrize("query", [Q.candidates_topk, Q.candidates_with_features, Q.candidates_packed])
+def test_candidates_are_not_shuffled(spark, data, query):
+    """They leave the task that ranks them for the result: its queries are exchanged, and nothing after it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = query(spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CoGroup" not in plan and "Join" not in plan and plan.count("Exchange ") == 1
+    assert plan.index("MapInArrow") < plan.index("Exchange ")
+
+
 def test_all_encoded_columns_are_explored(spark, tmp_path):
     d = str(tmp_path)
     features = "item_price double, item_rating double, item_rating_reviews_count long, item_is_phone_hidden boolean, item_is_message_forbidden boolean"
