@@ -4,6 +4,8 @@ import pytest
 
 from quern import ranking_queries as Q
 from quern.config import SCORES
+from quern.functions.vectors import hash_embedding, with_hash_vectors
+from quern.operators import blocks
 from quern.operators import candidates as C
 
 N_QUERIES = 900
@@ -83,6 +85,27 @@ def test_candidates_are_not_shuffled(spark, data, query):
     assert plan.index("MapInArrow") < plan.index("Exchange ")
 
 
+def test_items_are_written_once_besides_their_blocks(spark, data, monkeypatch):
+    """Of the items' tokens and vectors there is one table and the packed blocks: further copies fill the disk."""
+    written = []
+
+    def noted(df, cut=C.cut_lineage):
+        written.append(set(df.columns))
+        return cut(df)
+
+    monkeypatch.setattr(C, "cut_lineage", noted)
+    monkeypatch.setattr(blocks, "cut_lineage", noted)
+    Q.candidates_with_features(spark, data)
+    assert sum("item_id" in c for c in written) == 1 and sum("block" in c for c in written) == 1
+
+
+def test_vectors_made_in_place_are_those_of_the_embedder(spark):
+    rows = [(1, ["слово", "b", "b", "c"]), (2, []), (3, None), (4, [None, "x1", "x2", "x3"])]
+    df = spark.createDataFrame(rows, "i long, ts array<string>")
+    want = {r["i"]: r["embedding"] for r in hash_embedding(df, "i", "ts").collect()}
+    assert {r["i"]: r["embedding"] for r in with_hash_vectors(df, "ts").collect()} == want
+
+
 def test_all_encoded_columns_are_explored(spark, tmp_path):
     d = str(tmp_path)
     features = "item_price double, item_rating double, item_rating_reviews_count long, item_is_phone_hidden boolean, item_is_message_forbidden boolean"
