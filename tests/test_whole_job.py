@@ -1,12 +1,14 @@
 """The registered queries do the whole job: no sample or cut where the reference has none."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern import ranking_queries as Q
 from quern.config import SCORES
 from quern.functions.vectors import hash_embedding, with_hash_vectors
 from quern.operators import blocks
 from quern.operators import candidates as C
+from quern.operators.features import feature_table
 
 N_QUERIES = 900
 _ITEM = "item_id string, item_title_raw string, item_description_raw string, item_infm_params_text string, item_category_id long, item_microcat_id long, item_location_id long, item_latitude double, item_longitude double"
@@ -106,6 +108,43 @@ def test_vectors_made_in_place_are_those_of_the_embedder(spark):
     assert {r["i"]: r["embedding"] for r in with_hash_vectors(df, "ts").collect()} == want
 
 
+def test_features_and_labels_come_along_with_the_candidates(spark, data):
+    """The reranker's table is the joined one, but no candidate is shuffled or joined for it."""
+    q, i = (spark.read.parquet(f"{data}/benchmark_{x}.parquet") for x in ("queries", "items"))
+    content = spark.createDataFrame([(f"{k:016x}", k / 2, None if k % 3 else k) for k in range(0, N_QUERIES, 2)], "item_id string, item_rating double, item_is_phone_hidden int")
+    relevance = spark.createDataFrame([("q0", f"{k:016x}") for k in (1, 1, 2, 9, 400)] + [("q7", f"{3:016x}")], "query_id string, item_id string")
+    flags = q.selectExpr("query_id", "int(query_id = 'q1') AS search_is_delivery_search")
+    asked = q.drop("search_is_delivery_search").withColumn("search_is_delivery_search", F.lit(None).cast("boolean"))
+    got = C.generate_labelled(asked, i, content, relevance, flags)
+    want = feature_table(C.generate_with_features(asked, i), content, relevance, flags)
+    assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert got.where("label = 1").count() >= 2
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = C.generate_labelled(asked, i, content, relevance, flags)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Join" not in plan and plan.count("Exchange ") == 1 and plan.index("MapInArrow") < plan.index("Exchange ")
+
+
+def test_importance_ranks_the_training_queries_only(spark, monkeypatch):
+    """And the rerankers each table once."""
+    made = []
+    table = spark.createDataFrame([], "query_id string, item_id string, label int, rrf_rank long")
+    monkeypatch.setattr(Q, "_features", lambda spark, d, queries, corpus, relevance: made.append(queries) or table)
+    for name in ("_labels", "_train", "_items"):
+        monkeypatch.setattr(Q, name, lambda spark, d: table)
+    monkeypatch.setattr(Q, "_validation", lambda labels: table)
+    for name in ("training_queries", "long_relevance", "evaluation_corpus"):
+        monkeypatch.setattr(Q.L, name, lambda *_: table)
+    fitted = []
+    monkeypatch.setattr(Q.R, "train_pairwise", lambda *_: fitted.append(1) or {})
+    monkeypatch.setattr(Q.R, "importance", lambda *_: table)
+    Q.ltr_importance(spark, "")
+    assert len(made) == len(fitted) == 1
+
+
 def test_all_encoded_columns_are_explored(spark, tmp_path):
     d = str(tmp_path)
     features = "item_price double, item_rating double, item_rating_reviews_count long, item_is_phone_hidden boolean, item_is_message_forbidden boolean"
