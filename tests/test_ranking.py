@@ -239,6 +239,13 @@ def test_pairwise_training_learns_the_signal(spark):
     assert R.importance(w, df).first()["feature"] == "good"
 
 
+def test_pairs_are_formed_once_for_fitting(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(R, "cut_lineage", lambda df, cut=R.cut_lineage: written.append(df.columns) or cut(df))
+    df = spark.createDataFrame([("q", f"i{k}", k % 3 / 2, int(k == 2)) for k in range(6)], "query_id string, item_id string, good double, label int")
+    assert R.train_pairwise(df, ["good"])["good"] > 0 and written == [["y", "good"]]
+
+
 def test_answers(spark):
     pred = spark.createDataFrame([("q", "a" * 16, 1), ("q", "a" * 16, 2), ("q", "b" * 16, 3), ("q", "c" * 16, 4)], "query_id string, item_id string, rank long")
     ids = spark.createDataFrame([("q",), ("r",), ("q",)], "query_id string")
