@@ -378,6 +378,23 @@ def test_listwise_boosting_learns_and_stops(spark):
     assert model.importance(spark).first()["feature"] == "good"
 
 
+def test_boosting_shuffles_rows_once_a_round(spark, monkeypatch):
+    """Scores and targets are written together, and neither they nor the scored rows are joined."""
+    plans = []
+
+    def noted(df, cut=R.cut_lineage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(R, "cut_lineage", noted)
+    df = spark.createDataFrame([(f"q{q}", f"i{k}", k + 1, k / 5, int(k == q % 3)) for q in range(6) for k in range(5)], "query_id string, item_id string, rrf_rank long, good double, label int")
+    model = R.train_listwise(df, ["good"], iterations=2)
+    assert len(plans) == 2 and all("Join" not in p and p.count("Exchange ") <= 1 for p in plans)
+    scored = model.score(df)
+    assert scored.columns == [*df.columns, "score"] and "Join" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert max(abs(r["s"]) for r in model.trees[0].transform(R.assembled(df, ["good"])[0]).selectExpr("_t AS s").collect()) * model.scales[0] == pytest.approx(1)
+
+
 def test_a_model_is_loaded_once(spark):
     def load():
         return lambda texts: [[len(t), t.count("a"), 1.0] for t in texts]
