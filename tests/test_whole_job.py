@@ -8,6 +8,7 @@ from quern.config import SCORES
 from quern.functions.vectors import hash_embedding, with_hash_vectors
 from quern.operators import blocks
 from quern.operators import candidates as C
+from quern.operators import labels as L
 from quern.operators.features import feature_table
 
 N_QUERIES = 900
@@ -128,6 +129,22 @@ def test_features_and_labels_come_along_with_the_candidates(spark, data):
     assert "Join" not in plan and plan.count("Exchange ") == 1 and plan.index("MapInArrow") < plan.index("Exchange ")
 
 
+def test_queries_of_many_relevant_items_are_trained_on_too(spark, data, monkeypatch):
+    """However many: their labels come from a table that workers read, not from a list."""
+    labels = spark.createDataFrame([("a", "few", 1), ("b", "many", 201)], "query_id string, search_query string, n_relevant long").withColumn("search_infm_params_text", F.lit("")).withColumn("search_category", F.lit(1).cast("long")).withColumn("group_key", L._group_key())
+    train = labels.withColumn("item_id", F.lit("x"))
+    assert {r["query_id"] for r in L.training_queries(labels, labels.limit(0), train, train, None).collect()} == {"a", "b"}
+    monkeypatch.setattr(C, "LISTED", 3)
+    q, i = (spark.read.parquet(f"{data}/benchmark_{x}.parquet") for x in ("queries", "items"))
+    pairs = [("q0", f"{k:016x}") for k in range(1, 800)] + [("q1", f"{k:016x}") for k in (1, 2, 3)] + [("q7", f"{k:016x}") for k in range(9)]
+    relevance = spark.createDataFrame(pairs, "query_id string, item_id string")
+    content, flags = i.select("item_id", F.lit(1.0).alias("item_rating")), q.select("query_id", F.lit(1).alias("flag"))
+    got = C.generate_labelled(q, i, content, relevance, flags)
+    want = feature_table(C.generate_with_features(q, i), content, relevance, flags)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert got.where("label = 1").groupBy("query_id").count().where("count > 3").count() == 1
+
+
 def test_importance_ranks_the_training_queries_only(spark, monkeypatch):
     """And the rerankers each table once."""
     made = []
