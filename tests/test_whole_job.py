@@ -129,6 +129,25 @@ def test_features_and_labels_come_along_with_the_candidates(spark, data):
     assert "Join" not in plan and plan.count("Exchange ") == 1 and plan.index("MapInArrow") < plan.index("Exchange ")
 
 
+def test_queries_pass_over_blocks_of_other_categories(spark, monkeypatch):
+    """And the next task of a worker finds its blocks unpacked."""
+    rows = [(*_item(k)[:4], k % 3 or None, *_item(k)[5:]) for k in range(300)]
+    items = spark.createDataFrame(rows, _ITEM)
+    queries = spark.createDataFrame([("q", "номер7", 5, False, None, 1), ("r", "номер8", 5, False, None, 0)], f"query_id string, {_QUERY}")
+    made = []
+    run = blocks.BlockRanker.run
+    monkeypatch.setattr(blocks, "ITEM_BLOCK", 30)
+    monkeypatch.setattr(blocks.BlockRanker, "run", lambda ranker, lists: made.append(ranker) or run(ranker, lists))
+    got = C.generate_with_features(queries, items)
+    assert {(r["query_id"], r["n"]) for r in got.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {("q", 100), ("r", 300)}
+    corpus = blocks._corpus(made[0].items._cut_at, 5.0)
+    every, some = list(corpus({None})), list(corpus({1}))
+    of_one = lambda found: sum(b - a for a, b in (x.span(1) for _, x in found))
+    assert len(some) < len(every) and sum(x.n for _, x in every) == 300 and of_one(some) == of_one(every) == 100
+    again = list(blocks._corpus(made[0].items._cut_at, 5.0)({1}))
+    assert [n for n, _ in again] == [n for n, _ in some] and again[0][1] is some[0][1]
+
+
 def test_queries_of_many_relevant_items_are_trained_on_too(spark, data, monkeypatch):
     """However many: their labels come from a table that workers read, not from a list."""
     labels = spark.createDataFrame([("a", "few", 1), ("b", "many", 201)], "query_id string, search_query string, n_relevant long").withColumn("search_infm_params_text", F.lit("")).withColumn("search_category", F.lit(1).cast("long")).withColumn("group_key", L._group_key())
